@@ -1,0 +1,8 @@
+"""Streaming.
+
+The surveyed system has no streaming operator (no watermark, event-time
+window or state): data is a whole file re-read on start or reload, and every
+panel operator needs an entity's full history (backward fill, medians,
+quartiles). This package is therefore empty by design; a reload is a batch
+re-run of ``panelkit.plans.etl.etl_pipeline``.
+"""
