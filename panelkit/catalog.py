@@ -49,9 +49,19 @@ METRIC_DIM = [
 ]
 
 
+def sig_round(c: str) -> F.Column:
+    """12 significant digits, at most 6 decimals; Inf/NaN/0/null unchanged."""
+    x = F.col(c)
+    d = F.least(F.lit(6), F.lit(11) - F.floor(F.log10(F.abs(x))))
+    m_up, m_dn = F.pow(F.lit(10.0), d), F.pow(F.lit(10.0), -d)
+    return (F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x == 0), x)
+            .when(d >= 0, F.round(x * m_up, 0) / m_up)
+            .otherwise(F.round(x / m_dn, 0) * m_dn))
+
+
 def present(df: DataFrame) -> DataFrame:
     fl = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
-    return df.withColumns({c: F.round(F.col(c), 6) for c in fl}) if fl else df
+    return df.withColumns({c: sig_round(c) for c in fl}) if fl else df
 
 
 def _ud(s, d):

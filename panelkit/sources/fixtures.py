@@ -45,6 +45,26 @@ def _running(col: str, part: str, order: str) -> F.Column:
     return F.sum(col).over(w)
 
 
+# Money/value columns carry 2 decimals: they are summed exactly as DECIMAL and
+# turned into double once, so the result does not depend on summation order.
+MONEY = "decimal(18,2)"
+
+
+def xsum(c) -> F.Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.cast(MONEY)).cast("double")
+
+
+def xavg(c) -> F.Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.cast(MONEY)).cast("double") / F.count(c)
+
+
+def xrunning(col: str, part: str, order: str) -> F.Column:
+    w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(F.col(col).cast(MONEY)).over(w).cast("double")
+
+
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
     ev = ev.withColumn("day", F.to_date("ts"))
@@ -53,18 +73,18 @@ def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = ev.groupBy("user_id", "day").agg(
         F.count(F.lit(1)).cast("double").alias("_n"),
         F.count(F.when(is_p, 1)).cast("double").alias("_np"),
-        F.sum("value").alias("_v"),
-        F.avg("value").alias("_a"),
+        xsum("value").alias("_v"),
+        xavg("value").alias("_a"),
         F.max("value").alias("_mx"),
-        F.sum(F.when(is_p, F.col("value"))).alias("_pv"),
-        F.sum(F.when(is_e, F.col("value"))).alias("_ev"),
+        xsum(F.when(is_p, F.col("value"))).alias("_pv"),
+        xsum(F.when(is_e, F.col("value"))).alias("_ev"),
     )
     users = ev.groupBy("user_id").agg(
         F.min("day").alias("_d0"),
         F.max("day").alias("_d1"),
         F.min_by("event_type", "event_id").alias("continent"),
         F.count(F.lit(1)).cast("double").alias("_pop"),
-        F.avg("value").alias("_gdp"),
+        xavg("value").alias("_gdp"),
     )
     grid = users.select("user_id", "continent", "_pop", "_gdp",
                         F.explode(F.sequence("_d0", "_d1")).alias("day"))
@@ -82,7 +102,7 @@ def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_v").alias("new_tests"),
         F.when(has_ev, _running("_n", "user_id", "day")).alias("total_cases"),
         F.when(has_p, _running("_np", "user_id", "day")).alias("total_deaths"),
-        F.when(has_p, _running("_pv", "user_id", "day")).alias("people_vaccinated"),
+        F.when(has_p, xrunning("_pv", "user_id", "day")).alias("people_vaccinated"),
         F.col("_a").alias("reproduction_rate"),
         F.col("_mx").alias("stringency_index"),
         F.col("_ev").alias("icu_patients"),
@@ -97,8 +117,8 @@ def type_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ev.groupBy("event_type", "day").agg(
         F.count(F.lit(1)).cast("double").alias("new_cases"),
         F.count_distinct("user_id").cast("double").alias("new_deaths"),
-        F.sum("value").alias("new_tests"),
-        F.avg("value").alias("reproduction_rate"),
+        xsum("value").alias("new_tests"),
+        xavg("value").alias("reproduction_rate"),
         F.max("value").alias("stringency_index"),
     )
     tot = Window.partitionBy("event_type")
@@ -112,7 +132,7 @@ def type_day(spark: SparkSession, sf_dir: str) -> DataFrame:
         "new_cases", "new_deaths", "new_tests",
         _running("new_cases", "event_type", "day").alias("total_cases"),
         _running("new_deaths", "event_type", "day").alias("total_deaths"),
-        _running("new_tests", "event_type", "day").alias("total_tests"),
+        xrunning("new_tests", "event_type", "day").alias("total_tests"),
         "reproduction_rate", "stringency_index",
         F.sum("new_cases").over(tot).alias("population"),
     )
@@ -137,8 +157,8 @@ def _daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("n_nationkey", "n_name", "r_name", F.to_date("o_orderdate").alias("day")).agg(
         F.count(F.lit(1)).cast("double").alias("new_cases"),
         F.count(F.when(F.col("o_orderstatus") == "F", 1)).cast("double").alias("new_deaths"),
-        F.sum("o_totalprice").alias("new_tests"),
-        F.sum("c_acctbal").alias("new_vaccinations"),
+        xsum("o_totalprice").alias("new_tests"),
+        xsum("c_acctbal").alias("new_vaccinations"),
     )
 
 
@@ -147,8 +167,8 @@ def _statics(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     cn = _customer_nation(spark, sf_dir)
     c = cn.groupBy(level).agg(
         F.count(F.lit(1)).cast("double").alias("population"),
-        F.avg("c_acctbal").alias("gdp_per_capita"),
-        F.avg(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("life_expectancy"),
+        xavg("c_acctbal").alias("gdp_per_capita"),
+        xavg(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("life_expectancy"),
         (F.avg((F.col("c_acctbal") < 0).cast("double")) * 100).alias("extreme_poverty"),
     )
     sup = read_table(spark, sf_dir, "supplier", ["s_nationkey", "s_acctbal"])
@@ -157,7 +177,7 @@ def _statics(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     geo = join_small(nat, reg, nat.n_regionkey == reg.r_regionkey, "inner").select("n_nationkey", "n_name", "r_name")
     s = join_small(sup, geo, sup.s_nationkey == geo.n_nationkey, "inner").groupBy(level).agg(
         F.count(F.lit(1)).cast("double").alias("population_density"),
-        F.avg("s_acctbal").alias("median_age"),
+        xavg("s_acctbal").alias("median_age"),
     )
     return c.join(s, level, "left")
 
@@ -169,7 +189,7 @@ def _with_running(d: DataFrame, ent: str) -> DataFrame:
     return d.withColumns({
         "total_cases": _running("new_cases", ent, "date"),
         "total_deaths": _running("new_deaths", ent, "date"),
-        "total_tests": _running("new_tests", ent, "date"),
+        "total_tests": xrunning("new_tests", ent, "date"),
     })
 
 
@@ -192,7 +212,8 @@ def nation_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-aggregate rows: one per region and day, with a null group."""
     d = _daily_orders(spark, sf_dir).groupBy("r_name", "day").agg(
-        *[F.sum(c).alias(c) for c in ["new_cases", "new_deaths", "new_tests", "new_vaccinations"]])
+        *[F.sum(c).alias(c) for c in ["new_cases", "new_deaths"]],
+        *[xsum(c).alias(c) for c in ["new_tests", "new_vaccinations"]])
     st = _statics(spark, sf_dir, "r_name")
     p = d.join(st, "r_name", "left").select(
         F.col("r_name").alias("location"),
@@ -228,7 +249,7 @@ def nation_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
     k = F.regexp_extract("props", r"(\d+)", 1)
-    raw_date = F.when(k.cast("int") >= 90, F.concat(F.lit("2024-01-"), k)).otherwise(
+    raw_date = F.when(k.try_cast("int") >= 90, F.concat(F.lit("2024-01-"), k)).otherwise(
         F.date_format("ts", "yyyy-MM-dd"))
     return ev.select(
         F.col("user_id").cast("string").alias("location"),
@@ -238,7 +259,7 @@ def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("_ord"),
         F.col("value").alias("new_cases"),
         (F.col("value") - 100.0).alias("new_deaths"),
-        F.pow(F.lit(10.0), F.col("value")).alias("positive_rate"),
+        F.when(F.col("value") > 480, F.col("value") * 1e308).otherwise(F.col("value")).alias("positive_rate"),
         F.when(F.col("event_type") == "error", F.col("value")).alias("icu_patients"),
         F.col("value").alias("hosp_patients"),
         F.lit(1.0).alias("population"),
