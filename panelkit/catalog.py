@@ -65,27 +65,27 @@ def present(df: DataFrame) -> DataFrame:
 
 
 def _ud(s, d):
-    return fx.user_day(s, d)
+    return fx.stored(s, d, "user_day")
 
 
 def _td(s, d):
-    return fx.type_day(s, d)
+    return fx.stored(s, d, "type_day")
 
 
 def _nd(s, d):
-    return fx.nation_day(s, d)
+    return fx.stored(s, d, "nation_day")
 
 
 def _nr(s, d):
-    return fx.nation_raw(s, d)
+    return fx.stored(s, d, "nation_raw")
 
 
 def _nl(s, d):
-    return fx.nation_latest(s, d)
+    return fx.stored(s, d, "nation_latest")
 
 
 def _er(s, d):
-    return P.parse_dates(fx.event_reports(s, d), SPEC)
+    return P.parse_dates(fx.stored(s, d, "event_reports"), SPEC)
 
 
 def _cross(s, d, metric):
@@ -131,7 +131,7 @@ def q_sink_partitioned(s, d):
 
 
 def q_parse_dates(s, d):
-    raw = fx.event_reports(s, d).select("location", "_ord", F.col("date").alias("date_text"), "date")
+    raw = fx.stored(s, d, "event_reports").select("location", "_ord", F.col("date").alias("date_text"), "date")
     return P.parse_dates(raw, SPEC)
 
 

@@ -85,12 +85,14 @@ def world_rollup(df: DataFrame, spec: PanelSpec, sum_cols=None, weighted=None) -
     """A5: countries plus a recomputed world row per date.
 
     Source aggregates (null group, or an existing world row) are dropped.
-    If there is no country row the input is returned unchanged.
+    If there is no country row the input is returned unchanged (the world
+    aggregates are then empty too).
     """
     E, T, G, C, O = spec.entity, spec.time, spec.group, spec.code, spec.ord
-    countries = df.where(is_country(spec))
-    if countries.isEmpty():
-        return df
+    # "no country row -> input unchanged", kept lazy with a one-row flag
+    flag = df.agg(F.max(is_country(spec)).alias("_has_c"))
+    countries = join_one_row(df, flag).where(
+        is_country(spec) | ~F.coalesce(F.col("_has_c"), F.lit(False))).drop("_has_c")
     per_date = world_sum_by_date(df, spec, sum_cols)
     if spec.weight in df.columns:
         per_date = join_one_row(per_date, world_statics(df, spec, weighted))

@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 from panelkit.spec import AGGREGATE_NAMES, PanelSpec
 
-# A side is broadcast only when a count proves it has at most this many rows.
-BROADCAST_MAX_ROWS = 200_000
+# A side is broadcast only when the optimizer's size estimate proves it small.
+BROADCAST_MAX_BYTES = 32 * 1024 * 1024
+
+
+def plan_size_bytes(df: DataFrame) -> int:
+    """Optimizer estimate of the plan's output size (no job is run).
+
+    For scans it is the file size after column pruning; filters, projections
+    and aggregates never grow it and joins multiply it, so it bounds the
+    data from above.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only after its row count is checked.
+               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Join with ``small`` broadcast only if its size bound is below ``max_bytes``.
 
-    Beyond ``max_rows`` the plain join is kept and Spark plans a shuffle
-    (sort-merge) join; AQE can still convert it at run time.
+    Otherwise the plain join is kept and Spark plans a shuffle (sort-merge)
+    join; AQE may still switch to a broadcast from the measured shuffle size.
     """
-    n = small.limit(max_rows + 1).count()
-    side = F.broadcast(small) if n <= max_rows else small
+    side = F.broadcast(small) if plan_size_bytes(small) <= max_bytes else small
     return big.join(side, on, how)
 
 

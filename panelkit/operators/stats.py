@@ -11,6 +11,10 @@ instead:
 3. numbers the values inside each task (window by key and task id),
 4. adds the totals of the earlier tasks, from a table of one row per
    (key, task): its size is bounded by keys x tasks, not by the data.
+
+When a count proves the input small (``SMALL_ROWS``), the same exact values
+come from one ``percentile`` aggregate / one rank window instead: the many
+stages of the distributed path cost more than the data on small inputs.
 """
 
 from __future__ import annotations
@@ -20,11 +24,18 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import sign_label
 from panelkit.operators.joins import join_one_row, join_small
+from panelkit.session import cut_lineage
 from panelkit.spec import (
     HIGHER_IS_BETTER, HISTOGRAM_BINS, LOWER_IS_BETTER, MIN_CORRELATION_ROWS, TOP_K, TRIM_FACTOR,
 )
 
 _ALL = "_all"
+SMALL_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
+    """Row-count check (reads at most ``max_rows + 1`` rows)."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def _keys(df: DataFrame, keys):
@@ -49,6 +60,12 @@ def value_positions(df: DataFrame, keys, value: str) -> DataFrame:
 
 def average_rank(df: DataFrame, keys, value: str, out: str = "rank") -> DataFrame:
     """Average rank (ties share the mean of their positions, 1-based)."""
+    keys = list(keys or [])
+    if is_small(df):
+        v = F.col(value)
+        r = F.rank().over(Window.partitionBy(*keys).orderBy(v))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+        return df.withColumn(out, F.when(v.isNotNull(), r + (ties - 1) / 2.0))
     pos = value_positions(df, keys, value).select(
         *keys, value, (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(out))
     return df.join(pos, [*keys, value], "left")
@@ -56,6 +73,13 @@ def average_rank(df: DataFrame, keys, value: str, out: str = "rank") -> DataFram
 
 def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
     """Exact linear-interpolated quantiles per key: (keys, p, q)."""
+    if is_small(df):
+        keys = list(keys or [])
+        d = df.where(F.col(value).isNotNull())
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        g = d.groupBy(*keys).agg(F.percentile(value, arr).alias("_qs"))
+        return g.select(*keys, F.posexplode("_qs").alias("_i", "q")).select(
+            *keys, F.element_at(arr, F.col("_i") + 1).alias("p"), "q")
     df, keys = _keys(df, keys)
     pos = value_positions(df, keys, value)
     n = pos.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
@@ -76,12 +100,19 @@ def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
     return out.drop(_ALL) if _ALL in keys else out
 
 
-def quantile_columns(df: DataFrame, keys, value: str, named: dict) -> DataFrame:
-    """Quantiles as columns, e.g. ``{"q1": .25, "median": .5, "q3": .75}``."""
+def quantile_columns(df: DataFrame, keys, value: str, named: dict, store: bool = True) -> DataFrame:
+    """Quantiles as columns, e.g. ``{"q1": .25, "median": .5, "q3": .75}``.
+
+    The result has one row per key; with ``store`` it is checkpointed, so
+    plans that join it back (trims, fences) run the quantile job once instead
+    of once per reference.
+    """
     keys = list(keys or [])
+    small = is_small(df)
     q = quantiles(df, keys, value, list(named.values()))
     aggs = [F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(name) for name, p in named.items()]
-    return q.groupBy(*keys).agg(*aggs) if keys else q.agg(*aggs)
+    out = q.groupBy(*keys).agg(*aggs) if keys else q.agg(*aggs)
+    return cut_lineage(out) if (store and not small) else out
 
 
 def _attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:

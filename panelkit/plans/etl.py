@@ -57,12 +57,19 @@ def clean_numeric(df: DataFrame, spec: PanelSpec, keywords=NON_NEGATIVE_KEYWORDS
 
 
 def clean_pipeline(df: DataFrame, spec: PanelSpec, threshold: float = NULL_THRESHOLD,
-                   method: str = "iqr", factor: float = IQR_CAP_FACTOR) -> CleanResult:
+                   method: str = "iqr", factor: float = IQR_CAP_FACTOR, materialize=None) -> CleanResult:
     """Dedupe (A7) -> null-ratio pruning (P17, the one data-dependent
     step) -> invalid-date removal (P14) -> Inf/negative repair (F2, F3) ->
-    outlier capping (W6, or W7 with ``method='zscore'``)."""
+    outlier capping (W6, or W7 with ``method='zscore'``).
+
+    ``materialize`` (e.g. ``cut_lineage``) is applied to the de-duplicated
+    panel, so the null-ratio pass and the rest of the plan read it instead of
+    recomputing the upstream plan twice.
+    """
     E, T = spec.entity, spec.time
     dedup = dedupe_last(df, spec) if (E in df.columns and T in df.columns) else dedupe_rows(df, spec)
+    if materialize is not None:
+        dedup = materialize(dedup)
     dropped = null_ratio_columns(dedup, threshold)
     d = dedup.drop(*dropped)
     if T in d.columns:
@@ -211,12 +218,12 @@ class EtlResult:
 def etl_pipeline(raw: DataFrame, spec: PanelSpec, checkpoint: bool = True) -> EtlResult:
     """World rollup (A5) -> clean (X1) -> impute (X2) -> features.
 
-    The cleaned panel is checkpointed into the shared checkpoint folder: it
-    cuts the plan before the window-heavy stages and lets a lost executor
-    recompute from the stored panel instead of from the raw scan.
+    The de-duplicated panel is checkpointed into the shared checkpoint
+    folder: the two passes of the null-ratio step read it, it cuts the plan
+    before the window-heavy stages, and a lost executor recomputes from the
+    stored panel instead of from the raw scan.
     """
     rolled = world_rollup(raw, spec)
-    cl = clean_pipeline(rolled, spec)
-    cleaned = cut_lineage(cl.df) if checkpoint else cl.df
-    im = impute_pipeline(cleaned, spec)
+    cl = clean_pipeline(rolled, spec, materialize=cut_lineage if checkpoint else None)
+    im = impute_pipeline(cl.df, spec)
     return EtlResult(feature_pipeline(im.df, spec), cl, im)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators.joins import join_small
+from panelkit.session import cut_lineage
 from panelkit.spec import PanelSpec
 
 USER_SPEC = PanelSpec()
@@ -40,6 +41,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, cols=None) -> DataFr
     return df.select(*cols) if cols else df
 
 
+_STORED: dict = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The named panel, derived once per session and kept as a checkpoint in
+    the shared checkpoint folder (like a processed table); later queries scan
+    the stored rows instead of re-deriving them from the base tables."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(BUILDERS[name](spark, sf_dir))
+    return _STORED[key]
+
+
 def _running(col: str, part: str, order: str) -> F.Column:
     w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return F.sum(col).over(w)
@@ -138,98 +152,110 @@ def type_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _customer_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer -> (nation, region) names; nation/region are joined through a size check."""
+def _nation_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nation_day, region_day), built from shared pieces.
+
+    nation/region (25/5 rows) and the customer/supplier dimensions are joined
+    through a size check; orders meet customers in a shuffle join on custkey
+    (broadcast only when the planner's size bound allows it). Region statics
+    are derived from exact nation-level sums and counts, so the dimension
+    tables are aggregated once.
+    """
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     nat = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
     reg = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    geo = join_small(nat, reg, nat.n_regionkey == reg.r_regionkey, "inner").select(
-        "n_nationkey", "n_name", "r_name")
-    return join_small(cust, geo, cust.c_nationkey == geo.n_nationkey, "inner").select(
-        "c_custkey", "n_nationkey", "n_name", "r_name", "c_acctbal", "c_mktsegment")
+    sup = read_table(spark, sf_dir, "supplier", ["s_nationkey", "s_acctbal"])
+    orders = read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
 
+    geo = join_small(nat, reg, nat.n_regionkey == reg.r_regionkey, "inner").select("n_nationkey", "n_name", "r_name")
+    cn = join_small(cust, geo, cust.c_nationkey == geo.n_nationkey, "inner").select(
+        "c_custkey", "n_nationkey", "n_name", "r_name", "c_acctbal", "c_mktsegment")
 
-def _daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(nation, region, day) order aggregates: orders shuffle-join customers on custkey."""
-    orders = read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
-    cn = _customer_nation(spark, sf_dir)
-    j = orders.join(cn, orders.o_custkey == cn.c_custkey, "inner")
-    return j.groupBy("n_nationkey", "n_name", "r_name", F.to_date("o_orderdate").alias("day")).agg(
+    od = orders.join(cn, orders.o_custkey == cn.c_custkey, "inner").groupBy(
+        "n_nationkey", "n_name", "r_name", F.to_date("o_orderdate").alias("day")).agg(
         F.count(F.lit(1)).cast("double").alias("new_cases"),
         F.count(F.when(F.col("o_orderstatus") == "F", 1)).cast("double").alias("new_deaths"),
-        xsum("o_totalprice").alias("new_tests"),
-        xsum("c_acctbal").alias("new_vaccinations"),
+        F.sum(F.col("o_totalprice").cast(MONEY)).alias("_tp"),
+        F.sum(F.col("c_acctbal").cast(MONEY)).alias("_ab"),
     )
 
-
-def _statics(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
-    """Per nation (level='n_name') or region (level='r_name') attributes."""
-    cn = _customer_nation(spark, sf_dir)
-    c = cn.groupBy(level).agg(
-        F.count(F.lit(1)).cast("double").alias("population"),
-        xavg("c_acctbal").alias("gdp_per_capita"),
-        xavg(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("life_expectancy"),
-        (F.avg((F.col("c_acctbal") < 0).cast("double")) * 100).alias("extreme_poverty"),
+    bld = F.col("c_mktsegment") == "BUILDING"
+    cstat = cn.groupBy("n_name", "r_name").agg(
+        F.count(F.lit(1)).alias("_nc"),
+        F.sum(F.col("c_acctbal").cast(MONEY)).alias("_sc"),
+        F.sum(F.when(bld, F.col("c_acctbal")).cast(MONEY)).alias("_sb"),
+        F.count(F.when(bld, F.col("c_acctbal"))).alias("_nb"),
+        F.count(F.when(F.col("c_acctbal") < 0, 1)).alias("_neg"),
     )
-    sup = read_table(spark, sf_dir, "supplier", ["s_nationkey", "s_acctbal"])
-    nat = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
-    reg = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    geo = join_small(nat, reg, nat.n_regionkey == reg.r_regionkey, "inner").select("n_nationkey", "n_name", "r_name")
-    s = join_small(sup, geo, sup.s_nationkey == geo.n_nationkey, "inner").groupBy(level).agg(
-        F.count(F.lit(1)).cast("double").alias("population_density"),
-        xavg("s_acctbal").alias("median_age"),
-    )
-    return c.join(s, level, "left")
-
-
-_RUN = ["new_cases", "new_deaths", "new_tests"]
+    sstat = join_small(sup, geo, sup.s_nationkey == geo.n_nationkey, "inner").groupBy("n_name").agg(
+        F.count(F.lit(1)).alias("_ns"), F.sum(F.col("s_acctbal").cast(MONEY)).alias("_ss"))
+    nstat = cstat.join(sstat, "n_name", "left")
+
+    def statics(d: DataFrame) -> DataFrame:
+        return d.select(
+            "*",
+            F.col("_nc").cast("double").alias("population"),
+            (F.col("_sc").cast("double") / F.col("_nc")).alias("gdp_per_capita"),
+            (F.col("_sb").cast("double") / F.col("_nb")).alias("life_expectancy"),
+            (F.col("_neg").cast("double") / F.col("_nc") * 100).alias("extreme_poverty"),
+            F.col("_ns").cast("double").alias("population_density"),
+            (F.col("_ss").cast("double") / F.col("_ns")).alias("median_age"),
+        )
+
+    st_cols = ["population", "gdp_per_capita", "life_expectancy", "extreme_poverty", "population_density", "median_age"]
+    n_st = statics(nstat).select("n_name", *st_cols)
+    r_st = statics(nstat.groupBy("r_name").agg(
+        *[F.sum(c).alias(c) for c in ["_nc", "_sc", "_sb", "_nb", "_neg", "_ns", "_ss"]])).select("r_name", *st_cols)
+
+    flows = [F.col("new_cases"), F.col("new_deaths"),
+             F.col("_tp").cast("double").alias("new_tests"), F.col("_ab").cast("double").alias("new_vaccinations")]
+    nd = od.join(n_st, "n_name", "left").select(
+        F.col("n_name").alias("location"),
+        F.format_string("N%02d", "n_nationkey").alias("iso_code"),
+        F.col("r_name").alias("continent"),
+        F.col("day").alias("date"),
+        F.unix_date("day").cast("long").alias("_ord"),
+        *flows, *st_cols, "_tp")
+    rd = od.groupBy("r_name", "day").agg(
+        F.sum("new_cases").alias("new_cases"), F.sum("new_deaths").alias("new_deaths"),
+        F.sum("_tp").alias("_tp"), F.sum("_ab").alias("_ab"),
+    ).join(r_st, "r_name", "left").select(
+        F.col("r_name").alias("location"),
+        F.concat(F.lit("OWID_"), F.upper(F.substring("r_name", 1, 3))).alias("iso_code"),
+        F.lit(None).cast("string").alias("continent"),
+        F.col("day").alias("date"),
+        F.unix_date("day").cast("long").alias("_ord"),
+        *flows, *st_cols, "_tp")
+    return _with_running(nd, "location"), _with_running(rd, "location")
 
 
 def _with_running(d: DataFrame, ent: str) -> DataFrame:
+    w = Window.partitionBy(ent).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return d.withColumns({
-        "total_cases": _running("new_cases", ent, "date"),
-        "total_deaths": _running("new_deaths", ent, "date"),
-        "total_tests": xrunning("new_tests", ent, "date"),
-    })
+        "total_cases": F.sum("new_cases").over(w),
+        "total_deaths": F.sum("new_deaths").over(w),
+        "total_tests": F.sum("_tp").over(w).cast("double"),
+    }).drop("_tp")
 
 
 def nation_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _daily_orders(spark, sf_dir)
-    st = _statics(spark, sf_dir, "n_name")
-    p = d.join(st, "n_name", "left").select(
-        F.col("n_name").alias("location"),
-        F.format_string("N%02d", "n_nationkey").alias("iso_code"),
-        F.col("r_name").alias("continent"),
-        F.col("day").alias("date"),
-        F.unix_date("day").cast("long").alias("_ord"),
-        "new_cases", "new_deaths", "new_tests", "new_vaccinations",
-        "population", "gdp_per_capita", "life_expectancy", "extreme_poverty",
-        "population_density", "median_age",
-    )
-    return _with_running(p, "location")
+    return _nation_parts(spark, sf_dir)[0]
 
 
 def region_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source-aggregate rows: one per region and day, with a null group."""
-    d = _daily_orders(spark, sf_dir).groupBy("r_name", "day").agg(
-        *[F.sum(c).alias(c) for c in ["new_cases", "new_deaths"]],
-        *[xsum(c).alias(c) for c in ["new_tests", "new_vaccinations"]])
-    st = _statics(spark, sf_dir, "r_name")
-    p = d.join(st, "r_name", "left").select(
-        F.col("r_name").alias("location"),
-        F.concat(F.lit("OWID_"), F.upper(F.substring("r_name", 1, 3))).alias("iso_code"),
-        F.lit(None).cast("string").alias("continent"),
-        F.col("day").alias("date"),
-        F.unix_date("day").cast("long").alias("_ord"),
-        "new_cases", "new_deaths", "new_tests", "new_vaccinations",
-        "population", "gdp_per_capita", "life_expectancy", "extreme_poverty",
-        "population_density", "median_age",
-    )
-    return _with_running(p, "location")
+    return _nation_parts(spark, sf_dir)[1]
+
+
+def nation_raw(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """Stored like a source table: the plan (two joins, three aggregations) is
+    checkpointed once, and every query branch then scans the stored panel."""
+    nd, rd = _nation_parts(spark, sf_dir)
+    raw = nd.unionByName(rd)
+    return cut_lineage(raw) if materialize else raw
 
 
-def nation_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nation_day(spark, sf_dir).unionByName(region_day(spark, sf_dir))
+BUILDERS = {}
 
 
 def nation_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,13 +263,14 @@ def nation_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelkit.operators.aggregates import latest_per_entity
     from panelkit.functions.scalar import safe_div
 
-    lat = latest_per_entity(nation_raw(spark, sf_dir), NATION_SPEC)
-    return lat.withColumns({
+    lat = latest_per_entity(nation_raw(spark, sf_dir, materialize=False), NATION_SPEC)
+    lat = lat.withColumns({
         "total_cases_per_million": safe_div("total_cases", "population", 1e6),
         "total_deaths_per_million": safe_div("total_deaths", "population", 1e6),
         "total_tests_per_thousand": safe_div("total_tests", "population", 1e3),
         "case_fatality_rate": safe_div("total_deaths", "total_cases", 100.0),
     })
+    return lat
 
 
 def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,3 +291,10 @@ def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("hosp_patients"),
         F.lit(1.0).alias("population"),
     )
+
+
+BUILDERS.update({
+    "user_day": user_day, "type_day": type_day, "nation_day": nation_day,
+    "nation_raw": lambda s, d: nation_raw(s, d, materialize=False),
+    "nation_latest": nation_latest, "event_reports": event_reports,
+})
