@@ -51,12 +51,12 @@ METRIC_DIM = [
 
 def sig_round(c: str) -> F.Column:
     """12 significant digits, at most 6 decimals; Inf/NaN/0/null unchanged."""
-    x = F.col(c)
-    d = F.least(F.lit(6), F.lit(11) - F.floor(F.log10(F.abs(x))))
-    m_up, m_dn = F.pow(F.lit(10.0), d), F.pow(F.lit(10.0), -d)
-    return (F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x == 0), x)
-            .when(d >= 0, F.round(x * m_up, 0) / m_up)
-            .otherwise(F.round(x / m_dn, 0) * m_dn))
+    x = "`" + c.replace("`", "``") + "`"
+    d = f"least(6, 11 - floor(log10(abs({x}))))"
+    return F.expr(
+        f"CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) = double('inf') OR {x} = 0 THEN {x} "
+        f"WHEN {d} >= 0 THEN round({x} * pow(10.0, {d}), 0) / pow(10.0, {d}) "
+        f"ELSE round({x} / pow(10.0, -{d}), 0) * pow(10.0, -{d}) END")
 
 
 def present(df: DataFrame) -> DataFrame:

@@ -109,7 +109,10 @@ class ImputeResult:
 
 
 def _nulls(cols) -> F.Column:
-    return sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0))
+    """Number of nulls among ``cols`` in the row (one SQL expression)."""
+    if not cols:
+        return F.lit(0)
+    return F.expr(" + ".join(f"CAST(`{c}` IS NULL AS INT)" for c in cols))
 
 
 def impute_pipeline(df: DataFrame, spec: PanelSpec, method: str = "median") -> ImputeResult:
