@@ -533,7 +533,7 @@ sp AS (SELECT factor, corr(rank, ry) AS rho, count(*) AS n FROM rk JOIN y USING
     q["ols_by_group"] = (f"{_with(N, _trimmed('nation_latest', g, 'tx', 'location, continent, ' + OUTCOME))}, "
                          + _trimmed('tx', OUTCOME, 'ty', 'location, continent, gdp_per_capita').strip()
                          + f" SELECT continent, regr_slope({OUTCOME}, {g}) AS slope, regr_intercept({OUTCOME}, {g}) AS intercept, "
-                         f"regr_r2({OUTCOME}, {g}) AS r2, regr_count({OUTCOME}, {g}) AS n FROM ty "
+                         f"regr_r2({OUTCOME}, {g}) AS r2, CAST(regr_count({OUTCOME}, {g}) AS BIGINT) AS n FROM ty "
                          f"WHERE continent IS NOT NULL GROUP BY continent")
     types = ",".join(f"{c}:{t}" for c, t in zip(UD_COLS, ["string", "string", "string", "date", "bigint"] + ["double"] * 11))
     q["dataset_metadata"] = (f"{_with(U)} SELECT count(*) AS total_rows, min(date) AS date_start, max(date) AS date_end, "
