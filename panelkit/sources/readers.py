@@ -32,6 +32,8 @@ def _finish(df: DataFrame, spec: PanelSpec, add_ord: bool, metrics_to_double: bo
         df = df.withColumns(conv)
     if add_ord and spec.ord not in df.columns:
         df = df.withColumn(spec.ord, F.monotonically_increasing_id())
+    elif spec.ord in df.columns:
+        df = df.withColumn(spec.ord, F.col(spec.ord).cast("long"))  # inference may give int
     return df
 
 
