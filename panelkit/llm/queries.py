@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from panelkit.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelkit.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1]).drop("draws")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelkit.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
