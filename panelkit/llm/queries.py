@@ -29,6 +29,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelkit.llm.hamming import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k: v for k, v in sorted(globals().items()) if k.startswith("op") and callable(v)
 }
