@@ -21,6 +21,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelkit.llm import warc
+    from panelkit.session import scratch_path
+
+    path = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return warc.read_pages(spark, path)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelkit.llm import langid
+    from panelkit.llm.common import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    found = langid.language(docs, langid.fit(docs))
+    return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
