@@ -255,7 +255,7 @@ def by_text(b: Bucket, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> pa.Tab
     first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     pairs = np.stack([lo, hi], axis=1).ravel().astype(np.int32)
     offsets = np.concatenate([first, [len(text)]]) * 2
-    return pa.table({"k1": b.k1[text[first]], "k2": b.k2[text[first]],
+    return pa.table({"k1": pa.array(b.k1[text[first]]), "k2": pa.array(b.k2[text[first]]),
                      "iv": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pairs, pa.int32()))})
 
 

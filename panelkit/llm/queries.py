@@ -30,6 +30,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, path)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelkit.llm.suffixes import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelkit.llm.passages import substring_dedup
 
