@@ -21,6 +21,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelkit.llm import crf
+    from panelkit.llm.common import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    found = crf.quality(docs, crf.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "score", "predicted", "good_share")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelkit.llm import warc
     from panelkit.session import scratch_path
@@ -59,6 +68,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelkit.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k1", "k2")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelkit.llm.hamming import near_duplicates
 
