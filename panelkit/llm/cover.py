@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from panelkit.llm.common import pick, text_key
 
 PIECE = 1 << 17  # symbols hashed at once
-BLOCK_ENTRIES = 1_500_000
-BUCKET_ENTRIES = 1_000_000
-LEAST_BUCKETS = 64
+BLOCK_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 3_000_000
+LEAST_BUCKETS = 16
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -46,24 +46,24 @@ def memo(f: Callable) -> Callable:
 
 @memo
 def difference_cover(v: int) -> tuple[int, ...]:
-    """The first perfect difference cover modulo v = q*q + q + 1 in lexical order, by backtracking."""
-    size = next(k for k in range(2, v) if k * (k - 1) + 1 >= v)
-
-    def grow(d: list[int], used: set[int], lo: int) -> list[int] | None:
-        if len(d) == size:
-            return d
-        for x in range(lo, v):
-            new = [y for a in d for y in ((x - a) % v, (a - x) % v)]
-            if len(set(new)) == len(new) and not used.intersection(new):
-                found = grow(d + [x], used.union(new), x + 1)
-                if found:
-                    return found
-        return None
-
-    found = grow([0, 1], {1, v - 1}, 2)
-    if found is None or size * (size - 1) + 1 != v:
-        raise ValueError(f"no perfect difference cover modulo {v}")
-    return tuple(found)
+    """A perfect difference cover modulo v = q*q + q + 1, q prime: q + 1 residues.
+
+    Singer's construction: the powers of a generator x of the field of q**3
+    elements, modulo v, that lie in a plane.
+    """
+    q = next((k for k in range(2, v) if k * k + k + 1 == v), 0)
+    if not q or any(q % k == 0 for k in range(2, q)):
+        raise ValueError(f"{v} is not q*q + q + 1 of a prime q")
+    for c in range(q ** 3):  # x**3 = c0 + c1 x + c2 x**2; most choices generate
+        c0, c1, c2 = c % q, c // q % q, c // q // q
+        p, found = (1, 0, 0), []
+        for i in range(v):
+            if p[2] == 0:
+                found.append(i)
+            p = (p[2] * c0 % q, (p[0] + p[2] * c1) % q, (p[1] + p[2] * c2) % q)
+        if len(found) == q + 1 and len({(a - b) % v for a in found for b in found}) == v:
+            return tuple(found)
+    raise ValueError(f"no generator for {v}")
 
 
 def cover_positions(n: int, v: int) -> np.ndarray:
@@ -135,7 +135,11 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per distinct text: its key (k1, k2), the text, how many rows have it and their smallest id."""
+    """One row per distinct text: its key (k1, k2), the text, how many rows have it and their smallest id.
+
+    Users read all its columns each time, so that one shuffle of the texts
+    serves all of them.
+    """
     d = pick(docs, doc_id=id_col, text=text_col)
     return d.select(*text_key(F.col("text")), "doc_id", F.coalesce("text", F.lit("")).alias("text")).groupBy("k1", "k2").agg(
         F.first("text").alias("text"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
@@ -161,10 +165,15 @@ KNOWN, MULTI = 1, 2  # flags: settled in its block, only passes through; stands
 
 
 class Packer:
-    """Collects entries of consecutive texts and packs them by bucket."""
+    """Collects entries of consecutive texts and packs them by bucket.
+
+    ``short``: of a hash, only the bucket and 32 bits travel, which is enough
+    where equality is checked again later.
+    """
 
-    def __init__(self, buckets: int, settle: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
-        self.buckets, self.settle, self.turn = buckets, settle, 0
+    def __init__(self, buckets: int, settle: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
+                 short: bool = False):
+        self.buckets, self.settle, self.short = buckets, settle, short
         self.shift = np.uint64(64 - (buckets.bit_length() - 1))
         self._clear()
 
@@ -202,7 +211,8 @@ class Packer:
             if len(i):
                 own, local = np.unique(text[i], return_inverse=True)
                 has_aux = aux[i].any()
-                rows.append((b, k1[own].tobytes(), k2[own].tobytes(), rank[own].tobytes(), h[i].tobytes(), _planes(local.astype(np.uint32)),
+                name = h[i].astype(np.uint32) if self.short else h[i]
+                rows.append((b, k1[own].tobytes(), k2[own].tobytes(), rank[own].tobytes(), name.tobytes(), _planes(local.astype(np.uint32)),
                              _planes(pos[i]), aux[i].tobytes() if has_aux else b"", flag[i].tobytes() if flag[i].any() else b""))
         names = [x.split()[0] for x in PACKED.split(", ")]
         types = [pa.int32()] + [pa.binary()] * 8
@@ -221,11 +231,11 @@ def _unplanes(b: bytes) -> np.ndarray:
 class Bucket:
     """The unpacked entries of a bucket: h, text (index into k1, k2, rank), pos, aux, flag."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, short: bool = False):
         col = {n: t.column(n).to_pylist() for n in t.column_names if n != "bucket"}
         ints = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in col[c]])
-        self.k1, self.k2, self.rank, self.h = ints("k1", np.int64), ints("k2", np.int64), ints("rank", np.int64), ints("h", np.uint64)
-        n = [len(x) // 8 for x in col["h"]]
+        self.k1, self.k2, self.rank, self.h = ints("k1", np.int64), ints("k2", np.int64), ints("rank", np.int64), ints("h", np.uint32 if short else np.uint64)
+        n = [len(x) // 4 for x in col["text"]]
         base = np.cumsum([0] + [len(x) // 8 for x in col["k1"]])
         self.text = np.concatenate([_unplanes(x).astype(np.int64) + b for x, b in zip(col["text"], base)])
         self.pos = np.concatenate([_unplanes(x) for x in col["pos"]]).astype(np.int64)
@@ -318,7 +328,7 @@ def repeated_samples(t: DataFrame, buckets: int, symbols: Callable[[bytes], np.n
     width = window - v + 1
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = Packer(buckets, settle_all)
+        pack = Packer(buckets, settle_all, short=True)
         for b in batches:
             for k1, k2, text in rows(b, "k1", "k2", "text"):
                 x = symbols(text.encode("utf-8", "surrogatepass"))
@@ -328,11 +338,11 @@ def repeated_samples(t: DataFrame, buckets: int, symbols: Callable[[bytes], np.n
         yield from pack.flush()
 
     def match(table: pa.Table) -> pa.Table:
-        b = Bucket(table)
+        b = Bucket(table, short=True)
         at = np.flatnonzero(repeated(b, b.h))
         return by_text(b, b.pos[at], b.pos[at] + 1, at)
 
-    return gather(t.select("k1", "k2", "text").mapInArrow(sample, PACKED).groupBy("bucket").applyInArrow(match, IV))
+    return gather(t.mapInArrow(sample, PACKED).groupBy("bucket").applyInArrow(match, IV))
 
 
 def rows(b: pa.RecordBatch, *names: str, step: int = 64) -> Iterator[tuple]:

@@ -67,7 +67,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         at = np.concatenate([out, live[order[rank > least[run]]] if len(run) else out[:0]])
         return C.by_text(b, b.pos[at], b.pos[at] + 1, at)
 
-    packed = t.select("k1", "k2", "rank", "text").join(anchors, ["k1", "k2"]).mapInArrow(candidates, C.PACKED)
+    packed = t.join(anchors, ["k1", "k2"]).mapInArrow(candidates, C.PACKED)
     found = C.gather(packed.groupBy("bucket").applyInArrow(decide, C.IV))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("rank"), *own], names)
 
     names = ["k1", "k2", "rank", "n_words", "removed", "sha", "kept"]
-    done = t.select("k1", "k2", "rank", "text").join(found, ["k1", "k2"], "left").mapInArrow(
+    done = t.join(found, ["k1", "k2"], "left").mapInArrow(
         finish, "k1 long, k2 long, rank long, n_words long, removed long, sha string, kept string")
     rows = C.keyed(docs, id_col, text_col).join(done, ["k1", "k2"])
     # A row with a larger id than another row with its text has all its windows there.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from panelkit.llm import cover as C
 
 WINDOW = 200
-PERIOD = 91
+PERIOD = 133
 HOT = 20_000  # neighbourhoods in one bucket of equal ranks, above which it is dealt by windows
 ROWS_AT_ONCE = 16_384
 
@@ -55,8 +55,6 @@ def repeats(t: DataFrame, total: int, window: int = WINDOW, period: int = PERIOD
     density = len(C.difference_cover(period)) / period
     buckets = C.buckets_for(total * density)
     ranked = C.repeated_samples(t, buckets, C.byte_symbols, window, period)
-    body = t.select("k1", "k2", "text")
-
     def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = C.Packer(buckets, C.settle_all)
         for b in batches:
@@ -88,7 +86,7 @@ def repeats(t: DataFrame, total: int, window: int = WINDOW, period: int = PERIOD
                       "g": b.aux[one].view(np.int64), "s": b.pos[one].astype(np.int32), "multi": multi})
         return pa.concat_tables([a, r])
 
-    ties = body.join(ranked, ["k1", "k2"]).mapInArrow(neighbourhoods, C.PACKED).groupBy("bucket").applyInArrow(tie, TIES)
+    ties = t.join(ranked, ["k1", "k2"]).mapInArrow(neighbourhoods, C.PACKED).groupBy("bucket").applyInArrow(tie, TIES)
     sure = ties.where("iv IS NOT NULL").select("k1", "k2", "iv")
     alone = ties.where("iv IS NULL").select("k1", "k2", "g", "s", "multi")
     # A bucket needs its windows compared if it has several neighbourhoods and one of them is not settled.
@@ -97,7 +95,7 @@ def repeats(t: DataFrame, total: int, window: int = WINDOW, period: int = PERIOD
     per_text = todo.groupBy("k1", "k2").agg(
         F.collect_list(F.when(F.col("n_around") <= hot, F.col("s"))).alias("some"),
         F.collect_list(F.when(F.col("n_around") > hot, F.col("s"))).alias("many"))
-    work = body.join(per_text, ["k1", "k2"])
+    work = t.join(per_text, ["k1", "k2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in AROUND.split(", ")]
@@ -128,7 +126,7 @@ def repeats(t: DataFrame, total: int, window: int = WINDOW, period: int = PERIOD
             at = to
         return pa.concat_tables(parts)
 
-    around = work.where(F.size("some") > 0).select("k1", "k2", "text", "some").mapInArrow(cut, AROUND)
+    around = work.where(F.size("some") > 0).mapInArrow(cut, AROUND)
     some = around.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).groupBy("bucket").applyInArrow(
         lambda table: compare(table.drop_columns(["bucket"])), C.IV)
 
@@ -148,7 +146,7 @@ def repeats(t: DataFrame, total: int, window: int = WINDOW, period: int = PERIOD
         at = np.flatnonzero(C.repeated(b, b.h))
         return C.by_text(b, b.pos[at], b.pos[at] + 1, at)
 
-    many = work.where(F.size("many") > 0).select("k1", "k2", "text", "many").mapInArrow(deal, C.PACKED).groupBy("bucket").applyInArrow(match, C.IV)
+    many = work.where(F.size("many") > 0).mapInArrow(deal, C.PACKED).groupBy("bucket").applyInArrow(match, C.IV)
     return sure.unionByName(some).unionByName(many)
 
 
@@ -219,7 +217,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, ho
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *own], names)
 
     names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    done = t.select("k1", "k2", "text", "n").join(found, ["k1", "k2"], "left").mapInArrow(
+    done = t.join(found, ["k1", "k2"], "left").mapInArrow(
         finish, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     out = C.keyed(docs, id_col, text_col).join(done, ["k1", "k2"]).drop("k1", "k2")
     return out if keep_text else out.drop("kept_text")
