@@ -72,12 +72,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [_result(*r, window) for r in C.rows(b, "text", "iv")]
+            out = [_result(*r, window, keep_text) for r in C.rows(b, "text", "iv")]
             cols = list(zip(*out)) or [[]] * 4
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             own = [pa.array(c, k) for c, k in zip(cols, kinds)]
-            if not keep_text:
-                own[3] = pa.nulls(b.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("rank"), *own], names)
 
     names = ["k1", "k2", "rank", "n_words", "removed", "sha", "kept"]
@@ -101,7 +99,7 @@ def settle_smaller(h: np.ndarray, text: np.ndarray, aux: np.ndarray, rank: np.nd
     return np.arange(len(h)), flag
 
 
-def _result(text: str, iv: list[int] | None, window: int) -> tuple[int, int, str, str]:
+def _result(text: str, iv: list[int] | None, window: int, keep_text: bool) -> tuple[int, int, str, str | None]:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
@@ -110,4 +108,4 @@ def _result(text: str, iv: list[int] | None, window: int) -> tuple[int, int, str
     for a, z in zip(lo, hi):
         keep[a:z] = False
     kept = b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep)])
-    return n, int(n - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")
+    return n, int(n - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if keep_text else None

@@ -1,3 +1,54 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
 
-STAGES: list = []
+All but the last return the columns of ``documents``. Each is one operator
+with the parameters of its query, and its decisions take effect.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelkit.llm import crf, decontaminate, hamming, mixing, suffixes
+from panelkit.llm.common import table
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the line classifier does not reject."""
+    field = crf.train(docs, table(spark, sf_dir, "labels"))
+    return crf.quality(docs, field, carry=True).where("predicted = 1").select("row.*")
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: that whose id names the group.
+
+    Of rows with one id the first by text and the other columns stays; rows
+    without an id, whose group has no name, stay.
+    """
+    found = hamming.near_duplicates(docs, shingle=4, bits=4).where("component_id IS NOT NULL")
+    named = found.select(F.col("component_id").alias("kept_id")).distinct()
+    known = docs.where("doc_id IS NOT NULL").join(named, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the bytes of strings that start in two places; n_chars follows the text."""
+    return suffixes.suffix_dedup_rows(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no benchmark item was found."""
+    return decontaminate.without_matches(docs, decontaminate.matches(docs, table(spark, sf_dir, "benchmark")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix draws, with size, source_size, target, taken and draws (shard, pass, words)."""
+    return mixing.mixed_texts(docs, weights=[5, 2, 1])
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mix_sources", mix_sources),
+]

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm import cover as C
+from panelkit.llm.common import text_key
 
 WINDOW = 200
 PERIOD = 133
@@ -194,36 +195,55 @@ class _Entries:
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, hot: int = HOT,
-                 id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and kept_text: the kept bytes as text).
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     A byte goes if a string of ``window`` bytes of its own text that covers it
     also starts at any other place, in the same row or another; matches never
     cross rows and are judged on the input. Null and empty texts have no bytes.
     Repeated rows, whatever their ids, are repeats of each other. Null ids keep
-    their rows. In kept_text, bytes of cut characters are replaced. An empty
-    table gives an empty result.
+    their rows. An empty table gives an empty result.
     """
+    done = _distinct_texts(docs, window, period, hot, id_col, text_col, keep=False).drop("kept_text")
+    return C.keyed(docs, id_col, text_col).join(done, ["k1", "k2"]).drop("k1", "k2")
+
+
+def suffix_dedup_rows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, hot: int = HOT, id_col: str = "doc_id",
+                      text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with the repeated bytes cut out of their texts and ``size_col``, if there is one, counted anew.
+
+    As ``suffix_dedup`` decides. A cut inside a character leaves a replacement
+    character. Null texts stay null; texts cut to nothing stay as empty ones.
+    """
+    done = _distinct_texts(docs, window, period, hot, id_col, text_col, keep=True)
+    other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
+    keyed = docs.select(other, F.col(f"`{text_col}`").isNull().alias("no_text"), *text_key(F.col(f"`{text_col}`")))
+    out = keyed.join(done.select("k1", "k2", "kept_text"), ["k1", "k2"])
+    text = F.when(~F.col("no_text"), F.col("kept_text"))
+    cols = {c: F.col("row").getField(c) for c in docs.columns if c != text_col} | {text_col: text}
+    if size_col in docs.columns:
+        cols[size_col] = F.length(text).cast(docs.schema[size_col].dataType)
+    return out.select(*[cols[c].alias(c) for c in docs.columns])
+
+
+def _distinct_texts(docs: DataFrame, window: int, period: int, hot: int, id_col: str, text_col: str, keep: bool) -> DataFrame:
+    """One row per distinct text: k1, k2, n_bytes, n_removed, n_spans, kept_sha256, kept_text (null unless ``keep``)."""
     t = C.texts(docs, id_col, text_col)
     found = C.gather(repeats(t, C.total_bytes(docs, text_col), window, period, hot))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
-            out = [_result(*r, window) for r in C.rows(b, "text", "n", "iv")]
+            out = [_result(*r, window, keep) for r in C.rows(b, "text", "n", "iv")]
             own = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 5, kinds)]
-            if not keep_text:
-                own[4] = pa.nulls(b.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *own], names)
 
     names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    done = t.join(found, ["k1", "k2"], "left").mapInArrow(
+    return t.join(found, ["k1", "k2"], "left").mapInArrow(
         finish, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    out = C.keyed(docs, id_col, text_col).join(done, ["k1", "k2"]).drop("k1", "k2")
-    return out if keep_text else out.drop("kept_text")
 
 
-def _result(text: str, n: int, iv: list[int] | None, window: int) -> tuple[int, int, int, str, str]:
+def _result(text: str, n: int, iv: list[int] | None, window: int, keep: bool) -> tuple[int, int, int, str, str | None]:
     raw = text.encode("utf-8", "surrogatepass")
     if n > 1 and len(raw) >= window:
         lo, hi = np.array([0]), np.array([len(raw)])
@@ -231,4 +251,4 @@ def _result(text: str, n: int, iv: list[int] | None, window: int) -> tuple[int,
         lo, hi = C.grow(*C.union(iv), window)
     edges = [0, *np.stack([lo, hi], axis=1).ravel().tolist(), len(raw)]
     kept = b"".join(raw[a:z] for a, z in zip(edges[0::2], edges[1::2]))
-    return len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")
+    return len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if keep else None
