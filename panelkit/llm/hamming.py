@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from panelkit.session import scratch_path
 
 VIEWS = 4
 BLOCK = 16
-LEAF_POINTS = 256  # a shard with fewer points is not split further
+LEAF_POINTS = 1_024  # a shard with fewer points is not split further
 CHUNK = 2_048
 _VALUES = np.arange(1 << BLOCK, dtype=np.uint32)
 
@@ -131,25 +130,36 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
         weight[r["view"], r["value"]] = r["count"]
     trees = spark.sparkContext.broadcast([(t.own, t.asks, t.first) for t in (VantageTree(w, LEAF_POINTS, radius) for w in weight)])
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = pdf["fp"].to_numpy()
-            u = fp.view(np.uint64)
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = b.column("fp").to_numpy().view(np.uint64)
+            parts = []
             for v, (own, asks, first) in enumerate(trees.value):
                 value = ((u >> np.uint64(BLOCK * v)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
                 n = first[value + 1] - first[value]
                 at = np.repeat(first[value] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                shard = asks[at]
-                yield pd.DataFrame({"shard": shard.astype(np.int64) * VIEWS + v, "fp": np.repeat(fp, n),
-                                    "stored": np.repeat(own[value], n) == shard})
-
-    routed = fps.mapInPandas(route, "shard long, fp long, stored boolean")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = shard_links(pdf["fp"].to_numpy().view(np.uint64), pdf["stored"].to_numpy(), bits)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return routed.groupBy("shard").applyInPandas(search, "a long, b long").distinct()
+                shard, home, fp = asks[at], np.repeat(own[value], n), np.repeat(u, n)
+                # each of two linked points would ask the other's shard; the later shard is enough
+                keep = shard >= home
+                parts.append((shard[keep].astype(np.int64) * VIEWS + v, fp[keep], (shard == home)[keep]))
+            shard, fp, stored = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((stored, shard))
+            shard, fp, stored = shard[order], fp[order], stored[order]
+            first = np.flatnonzero(np.diff(shard, prepend=-1))
+            ends = np.append(first[1:], len(shard))
+            n_asks = np.add.reduceat(~stored, first) if len(first) else first
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard[first]), pa.array([fp[a:a + k].tobytes() for a, k in zip(first, n_asks)], pa.binary()),
+                 pa.array([fp[a + k:z].tobytes() for a, k, z in zip(first, n_asks, ends)], pa.binary())], ["shard", "asks", "points"])
+
+    def search(t: pa.Table) -> pa.Table:
+        asks, points = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64) for c in ("asks", "points"))
+        stored = np.arange(len(asks) + len(points)) >= len(asks)
+        a, b = shard_links(np.concatenate([asks, points]), stored, bits)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    routed = fps.mapInArrow(route, "shard long, asks binary, points binary")
+    return routed.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
 def shard_links(fp: np.ndarray, stored: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
