@@ -35,7 +35,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from panelkit.session import scratch_path
 
     path = scratch_path(spark, "warc")
-    warc.write_pages(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    warc.write_pages(table(spark, sf_dir, "pages"), path, min_bytes=0, compress=True)
     return warc.read_pages(spark, path)
 
 
