@@ -5,7 +5,6 @@ Layout
   functions/  column expressions (scalar functions)
   operators/  DataFrame -> DataFrame operators (filters, windows, aggregates, ...)
   plans/      composite pipelines (ETL, views, dashboard analytics)
-  streaming/  (empty by design: the surveyed system has no streaming)
 """
 
 from panelkit.spec import PanelSpec

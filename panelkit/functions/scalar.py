@@ -47,8 +47,10 @@ def sign_label(c) -> Column:
 
 
 def label_fallback(name) -> Column:
-    """``_`` -> space, then title case."""
-    return F.initcap(F.regexp_replace(_c(name), "_", " "))
+    """``_`` -> space, then title case: a letter is upper-case after a non-letter, else lower-case."""
+    text = F.lower(F.regexp_replace(_c(name), "_", " "))
+    # runs of letters and runs of other characters, each run of letters capitalised
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)")), F.initcap), "")
 
 
 def date_text(c) -> Column:
@@ -72,17 +74,18 @@ def log_metric(c) -> Column:
 def format_big_number(c) -> Column:
     """N/A, B (2 dp), M (2 dp), K (1 dp), |x|<10 (1 dp), else thousands separator.
 
-    ``format_number`` rounds half-up on the decimal value, Python formats the
-    binary value half-even; the texts can differ on exact ties.
+    ``format_number`` rounds the binary value half-even; the scaled texts and
+    those below 10 have no thousands separator.
     """
     c = _c(c)
     a = F.abs(c)
+    fixed = lambda x, places: F.replace(F.format_number(x, places), F.lit(","), F.lit(""))
     return (
         F.when(c.isNull() | F.isnan(c), F.lit("N/A"))
-        .when(a >= 1e9, F.concat(F.format_number(c / 1e9, 2), F.lit(" B")))
-        .when(a >= 1e6, F.concat(F.format_number(c / 1e6, 2), F.lit(" M")))
-        .when(a >= 1e3, F.concat(F.format_number(c / 1e3, 1), F.lit(" K")))
-        .when((a < 10) & (c != 0), F.format_string("%.1f", c))
+        .when(a >= 1e9, F.concat(fixed(c / 1e9, 2), F.lit(" B")))
+        .when(a >= 1e6, F.concat(fixed(c / 1e6, 2), F.lit(" M")))
+        .when(a >= 1e3, F.concat(fixed(c / 1e3, 1), F.lit(" K")))
+        .when((a < 10) & (c != 0), fixed(c, 1))
         .otherwise(F.format_number(c, 0))
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.spec import AGGREGATE_NAMES, PanelSpec
@@ -36,12 +36,20 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
 def join_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a global aggregate (exactly one row by construction).
 
-    An equi-join on a constant key keeps it a broadcast hash join; the
-    right side is a global aggregate, so its size is 1 row whatever the data.
+    Planned as a nested-loop join with a broadcast side of one row, whatever
+    the data: each row is read once.
     """
-    k = "_one"
-    return df.withColumn(k, F.lit(1)).join(
-        F.broadcast(one_row.withColumn(k, F.lit(1))), k, "inner").drop(k)
+    return df.crossJoin(F.broadcast(one_row))
+
+
+def null_safe_join(df: DataFrame, stats: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the columns of ``stats`` follow those of ``df``. Without keys ``stats`` is one row."""
+    keys = list(keys or [])
+    if not keys:
+        return join_one_row(df, stats)
+    other = stats.select(*[F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in stats.columns])
+    on = [df[c].eqNullSafe(other[f"_key_{c}"]) for c in keys]
+    return df.join(other, on, how).drop(*[f"_key_{c}" for c in keys])
 
 
 def group_stat_join(df: DataFrame, spec: PanelSpec, cols, stat: str = "median") -> DataFrame:
@@ -82,7 +90,3 @@ def aggregate_anti(df: DataFrame, spec: PanelSpec, names=None) -> DataFrame:
     agg = spark.createDataFrame([(n,) for n in names], "_k string")
     return df.withColumn("_k", F.lower(F.col(spec.entity))).join(
         F.broadcast(agg), "_k", "left_anti").drop("_k")
-
-
-def first_in_order(cols, order_cols) -> Window:
-    return Window.partitionBy(*cols).orderBy(*order_cols)

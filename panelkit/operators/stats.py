@@ -7,14 +7,15 @@ aggregate (all distinct values merged in one task). ``value_positions``
 instead:
 
 1. collapses equal values with a partial aggregation (a hot value is one row),
-2. range-partitions the distinct values, so each task holds a value range,
-3. numbers the values inside each task (window by key and task id),
-4. adds the totals of the earlier tasks, from a table of one row per
-   (key, task): its size is bounded by keys x tasks, not by the data.
-
-When a count proves the input small (``SMALL_ROWS``), the same exact values
-come from one ``percentile`` aggregate / one rank window instead: the many
-stages of the distributed path cost more than the data on small inputs.
+2. deals the distinct values of a key to ``BINS`` ascending bins between its
+   extremes (equal steps of asinh, so long tails spread too),
+3. numbers the values inside each bin (window by key and bin),
+4. adds the totals of the earlier bins, from a table of one row per
+   (key, bin): its size is bounded by keys x BINS, not by the data.
+
+A value's bin depends on the value and the extremes alone, so all branches of
+a plan agree on it. There is one path for every input size; null values have
+no rank and null keys are a group of their own.
 """
 
 from __future__ import annotations
@@ -23,101 +24,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import sign_label
-from panelkit.operators.joins import join_one_row, join_small
-from panelkit.session import cut_lineage
+from panelkit.operators.joins import join_one_row, join_small, null_safe_join
 from panelkit.spec import (
     HIGHER_IS_BETTER, HISTOGRAM_BINS, LOWER_IS_BETTER, MIN_CORRELATION_ROWS, TOP_K, TRIM_FACTOR,
 )
 
-_ALL = "_all"
-SMALL_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> bool:
-    """Row-count check (reads at most ``max_rows + 1`` rows)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def _keys(df: DataFrame, keys):
-    keys = list(keys or [])
-    if keys:
-        return df, keys
-    return df.withColumn(_ALL, F.lit(0)), [_ALL]
+BINS = 4096
 
 
 def value_positions(df: DataFrame, keys, value: str) -> DataFrame:
-    """(keys, value, _cnt, _before): ``_before`` = rows with a smaller value in the key."""
-    d = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    d = d.repartitionByRange(*keys, value).withColumn("_pid", F.spark_partition_id())
-    loc = Window.partitionBy(*keys, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_loc", F.sum("_cnt").over(loc))
-    part = d.groupBy(*keys, "_pid").agg(F.sum("_cnt").alias("_ptot"))
-    off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(*keys, "_pid", F.coalesce(F.sum("_ptot").over(off), F.lit(0)).alias("_off"))
-    j = join_small(d, part, [*keys, "_pid"], "inner")
-    return j.select(*keys, value, "_cnt", (F.col("_off") + F.col("_loc") - F.col("_cnt")).alias("_before"))
+    """(keys, value, _cnt, _before): ``_before`` = rows with a smaller value in the key; nulls and NaN have no row."""
+    keys = list(keys or [])
+    v = F.col(value)
+    d = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    ends = F.asinh(v.cast("double"))
+    lim = d.groupBy(*keys).agg(F.min(ends).alias("_lo"), F.max(ends).alias("_hi"))
+    d = null_safe_join(d, lim, keys)
+    share = (ends - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    # equal or infinite extremes give no share: the first bin, and the last for +inf
+    d = d.withColumn("_bin", F.when(v.cast("double") == float("inf"), BINS).when(F.col("_hi") > F.col("_lo"), F.coalesce(
+        F.floor(F.nanvl(share, F.lit(0.0)) * (BINS - 1)), F.lit(0))).otherwise(0).cast("int")).drop("_lo", "_hi")
+    part = d.groupBy(*keys, "_bin").agg(F.sum("_cnt").alias("_ptot"))
+    off = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*keys, "_bin", F.coalesce(F.sum("_ptot").over(off), F.lit(0)).alias("_off"))
+    j = null_safe_join(d, part, [*keys, "_bin"])
+    loc = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return j.select(*keys, value, "_cnt", (F.col("_off") + F.sum("_cnt").over(loc) - F.col("_cnt")).alias("_before"))
 
 
 def average_rank(df: DataFrame, keys, value: str, out: str = "rank") -> DataFrame:
-    """Average rank (ties share the mean of their positions, 1-based)."""
+    """Average rank of the non-null values (ties share the mean of their positions, 1-based); null values get null."""
     keys = list(keys or [])
-    if is_small(df):
-        v = F.col(value)
-        r = F.rank().over(Window.partitionBy(*keys).orderBy(v))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        return df.withColumn(out, F.when(v.isNotNull(), r + (ties - 1) / 2.0))
     pos = value_positions(df, keys, value).select(
         *keys, value, (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return df.join(pos, [*keys, value], "left")
+    return null_safe_join(df, pos, [*keys, value], "left")
 
 
 def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
     """Exact linear-interpolated quantiles per key: (keys, p, q)."""
-    if is_small(df):
-        keys = list(keys or [])
-        d = df.where(F.col(value).isNotNull())
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        g = d.groupBy(*keys).agg(F.percentile(value, arr).alias("_qs"))
-        return g.select(*keys, F.posexplode("_qs").alias("_i", "q")).select(
-            *keys, F.element_at(arr, F.col("_i") + 1).alias("p"), "q")
-    df, keys = _keys(df, keys)
-    pos = value_positions(df, keys, value)
-    n = pos.groupBy(*keys).agg(F.sum("_cnt").alias("_n"))
-    t = n.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    t = t.withColumn("_h", (F.col("_n") - 1) * F.col("p"))
-    t = t.withColumns({"_lo": F.floor("_h"), "_hi": F.ceil("_h")})
-    j = join_small(pos, t, keys, "inner")
-    first, last = F.col("_before"), F.col("_before") + F.col("_cnt") - 1
-    j = j.where((first <= F.col("_hi")) & (last >= F.col("_lo")))
-    has = lambda c: (first <= F.col(c)) & (last >= F.col(c))
-    g = j.groupBy(*keys, "p").agg(
-        F.max(F.when(has("_lo"), F.col(value))).alias("_vlo"),
-        F.max(F.when(has("_hi"), F.col(value))).alias("_vhi"),
-        F.first(F.col("_h") - F.col("_lo")).alias("_f"),
-    )
-    q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")
-    out = g.select(*keys, "p", q.alias("q"))
-    return out.drop(_ALL) if _ALL in keys else out
-
+    keys = list(keys or [])
+    wide = quantile_columns(df, keys, value, {f"_q{i}": p for i, p in enumerate(probs)})
+    pairs = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"_q{i}").alias("q")) for i, p in enumerate(probs)])
+    return wide.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.p", "_x.q")
 
-def quantile_columns(df: DataFrame, keys, value: str, named: dict, store: bool = True) -> DataFrame:
-    """Quantiles as columns, e.g. ``{"q1": .25, "median": .5, "q3": .75}``.
 
-    The result has one row per key; with ``store`` it is checkpointed, so
-    plans that join it back (trims, fences) run the quantile job once instead
-    of once per reference.
-    """
+def quantile_columns(df: DataFrame, keys, value: str, named: dict) -> DataFrame:
+    """Exact quantiles as columns, e.g. ``{"q1": .25, "median": .5, "q3": .75}``; one row per key with values."""
     keys = list(keys or [])
-    small = is_small(df)
-    q = quantiles(df, keys, value, list(named.values()))
-    aggs = [F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(name) for name, p in named.items()]
-    out = q.groupBy(*keys).agg(*aggs) if keys else q.agg(*aggs)
-    return cut_lineage(out) if (store and not small) else out
+    pos = value_positions(df, keys, value)
+    j = null_safe_join(pos, pos.groupBy(*keys).agg(F.sum("_cnt").alias("_n")), keys)
+    first, last = F.col("_before"), F.col("_before") + F.col("_cnt") - 1
+    aggs, out = [F.first("_n").alias("_n")], []
+    for name, p in named.items():
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((first <= place) & (last >= place), F.col(value))).alias(f"_{side}_{name}"))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return j.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
 def _attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
     keys = list(keys or [])
-    return join_small(df, stats, keys, "left") if keys else join_one_row(df, stats)
+    return null_safe_join(df, stats, keys, "left")
 
 
 def iqr_trim(df: DataFrame, value: str, factor: float = TRIM_FACTOR, keys=()) -> DataFrame:
@@ -127,7 +96,7 @@ def iqr_trim(df: DataFrame, value: str, factor: float = TRIM_FACTOR, keys=()) ->
     d = df.where(F.col(value).isNotNull())
     qs = quantile_columns(d, keys, value, {"_q1": 0.25, "_q3": 0.75})
     cnt = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else d.agg(F.count(F.lit(1)).alias("_n"))
-    st = qs.join(cnt, keys, "inner") if keys else join_one_row(qs, cnt)
+    st = null_safe_join(qs, cnt, keys)
     iqr = F.when((F.col("_q3") - F.col("_q1")) > 0, F.col("_q3") - F.col("_q1")).otherwise(F.lit(1.0))
     st = st.select(*keys, "_n", (F.col("_q1") - factor * iqr).alias("_lo"), (F.col("_q3") + factor * iqr).alias("_hi"))
     j = _attach(d, st, keys)
@@ -148,7 +117,7 @@ def describe_metric(df: DataFrame, value: str, keys=()) -> DataFrame:
     aggs = [F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(F.lit(1)).alias("n")]
     base = d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
     qs = quantile_columns(d, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    out = base.join(qs, keys, "left") if keys else join_one_row(base, qs)
+    out = null_safe_join(base, qs, keys, "left")
     return out.select(*keys, "mean", "median", "std", "n", "q1", "q3")
 
 

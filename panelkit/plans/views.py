@@ -57,9 +57,9 @@ def history(df: DataFrame, spec: PanelSpec, name: str) -> DataFrame:
 
 
 def latest(df: DataFrame, spec: PanelSpec, entities: str | None = None) -> DataFrame:
-    """Latest row per entity, optionally for a comma list, sanitised."""
+    """Latest row per entity, optionally for a comma list, sanitised; an empty list text filters nothing."""
     d = latest_per_entity(df, spec)
-    if entities is not None:
+    if entities:
         d = entities_in(d, spec, entities)
     return sanitize_output(d)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,8 +31,9 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is used as is; only when it is unset (local tests)
-    a private folder is created and registered.
+    The cluster's setting is used as is. Where it is unset, a private folder
+    is made for a local master (tests); on any other master that folder would
+    be invisible to the executors, so it is an error.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
@@ -39,6 +41,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="panelkit-ckpt-")
     sc.setCheckpointDir(root)
     return sc.getCheckpointDir() or root

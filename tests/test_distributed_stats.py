@@ -1,34 +1,61 @@
-"""The distributed rank/quantile path (used on large inputs) equals the native one."""
+"""Ranks and quantiles: one distributed path, equal to pandas with ties, nulls, null keys and hot groups."""
 import numpy as np
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from panelkit.operators import stats as S
 
 
 @pytest.fixture()
-def values(spark):
+def rows():
     rng = np.random.default_rng(11)
-    rows = [(k, float(v)) for k in ("a", "b", "c") for v in rng.integers(0, 40, 300)]  # many ties
-    rows += [("hot", 7.0)] * 500  # one key/value holding a large share of the rows
+    rows = [(k, float(v)) for k in ("a", "b", None) for v in rng.integers(0, 40, 300)]  # many ties, a null key
+    rows += [("tail", float(np.sign(x) * 10 ** abs(x))) for x in rng.normal(size=400) * 3]
+    rows += [("near", 1e6 + i * 1e-9) for i in range(50)]  # all in one bin
+    rows += [("hot", 7.0)] * 500 + [("a", None)] * 40 + [(None, None)] * 5 + [("empty", None)]
+    return rows
+
+
+def frame(spark, rows):
     return spark.createDataFrame(rows, "k string, v double").repartition(6)
 
 
-def test_distributed_quantiles_equal_native(spark, values, monkeypatch):
-    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    native = {(r["k"], r["p"]): r["q"] for r in S.quantiles(values, ["k"], "v", probs).collect()}
-    monkeypatch.setattr(S, "SMALL_ROWS", 0)
-    dist = {(r["k"], r["p"]): r["q"] for r in S.quantiles(values, ["k"], "v", probs).collect()}
-    assert native.keys() == dist.keys()
-    for key in native:
-        assert native[key] == pytest.approx(dist[key], abs=1e-12)
-    exp = values.groupBy("k").agg(F.percentile("v", F.lit(0.25)).alias("q")).collect()
-    for r in exp:
-        assert dist[(r["k"], 0.25)] == pytest.approx(r["q"])
-
-
-def test_distributed_average_rank_equal_native(spark, values, monkeypatch):
-    native = sorted(tuple(r) for r in S.average_rank(values, ["k"], "v").select("k", "v", "rank").collect())
-    monkeypatch.setattr(S, "SMALL_ROWS", 0)
-    dist = sorted(tuple(r) for r in S.average_rank(values, ["k"], "v").select("k", "v", "rank").collect())
-    assert native == dist
+PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+
+
+def test_quantiles_equal_pandas(spark, rows):
+    got = {(r["k"], r["p"]): r["q"] for r in S.quantiles(frame(spark, rows), ["k"], "v", PROBS).collect()}
+    want = pd.DataFrame(rows, columns=["k", "v"]).dropna(subset=["v"]).groupby("k", dropna=False)["v"].quantile(PROBS)
+    want = {(None if k != k else k, p): q for (k, p), q in want.items()}
+    assert got.keys() == want.keys()
+    for key in want:
+        assert got[key] == pytest.approx(want[key], rel=1e-12, abs=1e-12)
+
+
+def test_quantiles_without_keys(spark, rows):
+    got = S.quantile_columns(frame(spark, rows), [], "v", {"q1": 0.25, "m": 0.5}).collect()
+    v = pd.Series([x for _, x in rows if x is not None])
+    assert len(got) == 1 and got[0]["q1"] == pytest.approx(v.quantile(0.25)) and got[0]["m"] == pytest.approx(v.median())
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_average_rank_equals_pandas(spark, rows, keys):
+    got = S.average_rank(frame(spark, rows), keys, "v").select("k", "v", "rank").collect()
+    p = pd.DataFrame(rows, columns=["k", "v"])
+    p["rank"] = p.groupby("k", dropna=False)["v"].rank() if keys else p["v"].rank()
+    key = lambda r: tuple("~" if x is None or x != x else f"{x:.12g}" if isinstance(x, float) else x for x in r)
+    assert sorted(map(key, got)) == sorted(map(key, p.itertuples(index=False)))
+
+
+def test_nulls_have_no_rank(spark):
+    got = S.average_rank(spark.createDataFrame([(None,), (None,), (1.0,), (2.0,), (2.0,)], "v double"), [], "v").collect()
+    assert sorted((r["rank"] for r in got), key=str) == [1.0, 2.5, 2.5, None, None]
+
+
+def test_plan_is_distributed_and_lazy(spark, rows):
+    df = frame(spark, rows)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    q = S.quantile_columns(df, ["k"], "v", {"m": 0.5})
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before  # nothing runs while building
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "_bin" in plan and "CartesianProduct" not in plan and "percentile" not in plan

@@ -3,7 +3,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from panelkit.functions.scalar import format_big_number
+from panelkit.functions.scalar import format_big_number, label_fallback
 from panelkit.operators import aggregates as A
 from panelkit.operators import filters as P
 from panelkit.operators import windows as W
@@ -69,17 +69,14 @@ def test_zero_iqr_flattens(spark):
 
 
 def test_format_big_number(spark):
-    vals = [None, 2.5e9, 3.25e6, 12345.0, 7.25, 0.0, 123.0]
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    want = {2.5e9: "2.50 B", 2.5e12: "2500.00 B", 999999999.0: "1000.00 M", 3.25e6: "3.25 M", 999960.0: "1000.0 K", 12345.0: "12.3 K",
+            7.25: "7.2", 0.25: "0.2", 0.35: "0.3", 8.85: "8.8", -0.75: "-0.8", 0.0: "0", 123.0: "123", -2500.0: "-2.5 K"}
+    df = spark.createDataFrame([(v,) for v in [None, *want]], "x double")
     got = [r[0] for r in df.select(format_big_number("x")).collect()]
-    assert got == ["N/A", "2.50 B", "3.25 M", "12.3 K", "7.3", "0", "123"]
+    assert got == ["N/A", *want.values()]
 
 
-def test_synthetic_panel_shape(spark):
-    from panelkit.sources.synthetic import synthetic_panel
-
-    df = synthetic_panel(spark, "2020-12-30", "2021-01-02")
-    rows = df.collect()
-    assert len(rows) == 27 * 4
-    assert {r["continent"] for r in rows} == {"South America", "North America", "Europe", "Asia", "Africa", "Oceania"}
-    assert all((r["people_vaccinated"] is None) == (r["date"].year < 2021) for r in rows)
+def test_label_fallback_is_title_case(spark):
+    names = ["total_cases_per_million", "per_100k_x", "x-y_z", "gdp2_2x"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(label_fallback("n")).collect()] == [n.replace("_", " ").title() for n in names]
