@@ -2,7 +2,7 @@
 Spark derives from the TESTDATA tables (whole tables, no row caps).
 
 Each callable takes ``(spark, sf_dir)`` and returns a DataFrame whose double
-columns are rounded to 6 decimals (summation order differs between engines).
+columns are rounded to 12 significant digits (summation order differs between engines).
 """
 
 from __future__ import annotations
@@ -50,9 +50,9 @@ METRIC_DIM = [
 
 
 def sig_round(c: str) -> F.Column:
-    """12 significant digits, at most 6 decimals; Inf/NaN/0/null unchanged."""
+    """12 significant digits; Inf/NaN/0/null unchanged."""
     x = "`" + c.replace("`", "``") + "`"
-    d = f"least(6, 11 - floor(log10(abs({x}))))"
+    d = f"least(22, 11 - floor(log10(abs({x}))))"
     return F.expr(
         f"CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) = double('inf') OR {x} = 0 THEN {x} "
         f"WHEN {d} >= 0 THEN round({x} * pow(10.0, {d}), 0) / pow(10.0, {d}) "
@@ -281,6 +281,36 @@ def q_entity_list(s, d):
     return A.entity_list(_nr(s, d), SPEC)
 
 
+def q_entity_selector(s, d):
+    return A.entity_selector(_nr(s, d), SPEC)
+
+
+def q_bad_date_sample(s, d):
+    raw = fx.stored(s, d, "event_reports").withColumn("date_text", F.col("date"))
+    return P.bad_date_sample(P.parse_dates(raw, SPEC), SPEC, "date_text")
+
+
+def q_materialize(s, d):
+    return sinks.materialize(readers.require_rows(_ud(s, d), "user_day"), scratch_path(s, "materialize"))
+
+
+def q_save_all_formats(s, d):
+    nd = _nd(s, d)
+    out = sinks.save_all_formats(nd, SPEC, scratch_path(s, "all_formats"), "panel")
+    back = {"csv": s.read.option("header", True).schema(nd.schema).csv(out["csv"]),
+            "json": s.read.schema(nd.schema).json(out["json"]), "parquet": s.read.parquet(out["parquet"])}
+    one = [df.agg(F.lit(k).alias("format"), F.count(F.lit(1)).alias("rows"), F.count_distinct("location").alias("entities"),
+                  F.min("date").alias("min_date"), F.max("date").alias("max_date"), F.count("new_cases").alias("values"))
+           for k, df in back.items()]
+    return one[0].unionByName(one[1]).unionByName(one[2])
+
+
+def q_compare_nested(s, d):
+    n = V.compare_timeseries_nested(_nr(s, d), SPEC, COMPARE_ENTITIES, "new_cases", "1996-01-01", "1996-03-31")
+    return n.select("entity", F.size("series").alias("points"), F.posexplode_outer("series")).select(
+        "entity", "points", F.col("pos"), F.col("col.date").alias("date"), F.col("col.value").alias("value"))
+
+
 def q_entity_count(s, d):
     return A.entity_count(_nr(s, d), SPEC)
 

@@ -179,34 +179,46 @@ def period_stock_kpis(df: DataFrame, spec: PanelSpec, metric: str, start=None, e
     ).withColumn("increment", F.col("recent_value") - F.col("initial_value"))
 
 
-def global_kpis(latest: DataFrame, spec: PanelSpec, exclude_aggregates: bool = False,
-                metrics=("total_cases", "new_cases", "total_deaths", "new_deaths")) -> DataFrame:
+KPI_METRICS = ("total_cases", "new_cases", "total_deaths", "new_deaths")
+
+
+def global_sums(latest: DataFrame, metrics=KPI_METRICS) -> list[F.Column]:
+    """The sums of A15 as aggregate columns."""
+    return [F.coalesce(F.sum(m), F.lit(0)).cast("double").alias(m) for m in metrics if m in latest.columns]
+
+
+def global_kpis(latest: DataFrame, spec: PanelSpec, exclude_aggregates: bool = False, metrics=KPI_METRICS) -> DataFrame:
     """Sums over all latest rows (the world row included unless excluded)."""
     from panelkit.operators.filters import exclude_aggregates as excl
 
     d = excl(latest, spec) if exclude_aggregates else latest
-    return d.agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("double").alias(m) for m in metrics if m in d.columns])
+    return d.agg(*global_sums(d, metrics))
 
 
-def world_pop_fallback(latest: DataFrame, spec: PanelSpec) -> DataFrame:
-    """The world row's weight if such a row exists (even if null), else
-    the sum over non-aggregate rows. Also the non-aggregate entity count."""
+def population_parts(spec: PanelSpec) -> list[F.Column]:
+    """Aggregates behind A16: world rows, their weight, the sum and number of the other entities."""
     from panelkit.operators.filters import not_aggregate
 
     E, W = spec.entity, spec.weight
-    is_w = F.lower(F.col(E)) == F.lit("world")
-    na = not_aggregate(spec)
-    agg = latest.agg(
+    is_w, na = F.lower(F.col(E)) == F.lit("world"), not_aggregate(spec)
+    return [
         F.count_if(is_w).alias("_nw"),
         F.min_by(F.col(W), F.when(is_w, F.struct(F.col(E), F.col(spec.ord)))).alias("_wp"),
         F.coalesce(F.sum(F.when(na, F.col(W))), F.lit(0)).cast("double").alias("_sp"),
         F.count_distinct(F.when(na, F.col(E))).cast("long").alias("entities"),
-    )
-    return agg.select(
-        F.when(F.col("_nw") > 0, F.col("_wp")).otherwise(F.col("_sp")).cast("double").alias("world_population"),
-        F.when(F.col("_nw") > 0, F.lit("world_row")).otherwise(F.lit("sum_of_countries")).alias("population_source"),
-        "entities",
-    )
+    ]
+
+
+def world_population_columns() -> list[F.Column]:
+    has = F.col("_nw") > 0
+    return [F.when(has, F.col("_wp")).otherwise(F.col("_sp")).cast("double").alias("world_population"),
+            F.when(has, F.lit("world_row")).otherwise(F.lit("sum_of_countries")).alias("population_source")]
+
+
+def world_pop_fallback(latest: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The world row's weight if such a row exists (even if null), else
+    the sum over non-aggregate rows. Also the non-aggregate entity count."""
+    return latest.agg(*population_parts(spec)).select(*world_population_columns(), "entities")
 
 
 def entity_context(df: DataFrame, spec: PanelSpec,

@@ -167,15 +167,15 @@ def _with(*blocks: str) -> str:
 
 
 def sig_round(c: str) -> str:
-    """12 significant digits, at most 6 decimals (same arithmetic as the Spark side)."""
-    d = f"least(6, 11 - CAST(floor(log10(abs({c}))) AS BIGINT))"
+    """12 significant digits (same arithmetic as the Spark side)."""
+    d = f"least(22, 11 - CAST(floor(log10(abs({c}))) AS BIGINT))"
     return (f"CASE WHEN {c} IS NULL OR isinf({c}) OR isnan({c}) OR {c} = 0 THEN {c} "
             f"WHEN {d} >= 0 THEN round({c} * pow(10, {d})) / pow(10, {d}) "
             f"ELSE round({c} / pow(10, -{d})) * pow(10, -{d}) END")
 
 
 def _wrap(key: str, sql: str) -> str:
-    """Round the query's double columns to 6 decimals."""
+    """Round the query's double columns as the Spark side does."""
     dbl = _DOUBLES.get(key, [])
     if not dbl:
         return sql
@@ -451,6 +451,24 @@ FROM req LEFT JOIN (pts JOIN nm USING (_k)) ON req._k = pts._k"""
                         f"ORDER BY _ord DESC) AS _rn FROM er) WHERE _rn = 1")
     q["dedupe_rows"] = f"{_with(E)} SELECT location, continent, date, min(_ord) AS _ord FROM er GROUP BY ALL"
     q["entity_list"] = f"{_with(N)} SELECT DISTINCT location FROM nation_raw WHERE location IS NOT NULL"
+    titled = ", ".join(f"'{n.title()}'" for n in AGGREGATE_NAMES)
+    q["entity_selector"] = (f"{_with(N)} SELECT location FROM nation_raw WHERE location IS NOT NULL AND location NOT IN ({titled}) "
+                            f"UNION SELECT 'World' AS location")
+    q["bad_date_sample"] = (f"{_with(E)} SELECT DISTINCT date AS date_text FROM er_raw WHERE TRY_CAST(date AS DATE) IS NULL "
+                            f"ORDER BY 1 LIMIT 10")
+    q["materialize"] = q["sink_parquet_roundtrip"]
+    q["save_all_formats"] = (f"{_with(N)} SELECT f.format, count(*) AS rows, count(DISTINCT location) AS entities, min(date) AS min_date, "
+                             f"max(date) AS max_date, count(new_cases) AS \"values\" FROM nation_day, "
+                             f"(VALUES ('csv'), ('json'), ('parquet')) AS f(format) GROUP BY f.format")
+    q["compare_nested"] = (f"SELECT entity, CAST(count(date) OVER (PARTITION BY entity) AS INTEGER) AS points, CASE WHEN date IS NOT NULL THEN "
+                           f"CAST(row_number() OVER (PARTITION BY entity ORDER BY date, value) - 1 AS INTEGER) END AS pos, date, value "
+                           f"FROM ({q['compare_timeseries']}) AS _c")
+    text = lambda c: (
+        f"CASE WHEN {c} IS NULL OR isnan({c}) THEN 'N/A' WHEN abs({c}) >= 1e9 THEN format('{{:.2f}} B', {c} / 1e9) "
+        f"WHEN abs({c}) >= 1e6 THEN format('{{:.2f}} M', {c} / 1e6) WHEN abs({c}) >= 1e3 THEN format('{{:.1f}} K', {c} / 1e3) "
+        f"WHEN abs({c}) < 10 AND {c} <> 0 THEN format('{{:.1f}}', {c}) ELSE format('{{:,}}', CAST(round_even({c}, 0) AS BIGINT)) END AS {c}_text")
+    q["format_number_text"] = (f"{_with(N)} SELECT location, " + ", ".join(
+        text(c) for c in ("total_tests", "population", "gdp_per_capita", "extreme_poverty", "new_cases")) + " FROM nation_latest")
     q["entity_count"] = f"{_with(N)} SELECT count(DISTINCT location) AS entities FROM nation_raw"
     q["date_bounds"] = f"{_with(U)} SELECT min(date) AS min_date, max(date) AS max_date FROM user_day"
     q["null_counts"] = f"{_with(U)} {null_counts_sql('user_day', UD_COLS)}"

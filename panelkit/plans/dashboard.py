@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from panelkit.operators import stats as S
 from panelkit.operators import windows as W
 from panelkit.operators.aggregates import (
-    date_bounds, entity_count, global_kpis, group_rollup_share, null_counts, period_flow_kpis,
-    period_stock_kpis, world_pop_fallback,
+    KPI_METRICS, global_sums, group_rollup_share, period_flow_kpis, period_stock_kpis, population_parts,
+    world_population_columns,
 )
 from panelkit.operators.filters import (
     date_range, drop_nulls, entity_eq, exclude_aggregates, positive_only, project,
@@ -89,20 +89,18 @@ def factor_scatter_fit(latest: DataFrame, spec: PanelSpec, x: str, y: str, inclu
 
 
 def kpi_strip(latest: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Global sums, world population (with fallback), entity count, last date."""
-    k = global_kpis(latest, spec)
-    p = world_pop_fallback(latest, spec).drop("entities")
-    n = entity_count(exclude_aggregates(latest, spec), spec)
-    b = date_bounds(latest, spec).select(F.col("max_date").alias("last_update"))
-    return join_one_row(join_one_row(join_one_row(k, p), n), b)
+    """Global sums, world population (with fallback), entity count, last date, in one aggregate."""
+    sums = global_sums(latest, KPI_METRICS)
+    k = latest.agg(*sums, *population_parts(spec), F.max(spec.time).alias("last_update"))
+    return k.select(*[m for m in KPI_METRICS if m in latest.columns], *world_population_columns(), "entities", "last_update")
 
 
 def pipeline_audit(stages: dict) -> DataFrame:
-    """Null counts per column for each named stage, plus row counts."""
+    """Null counts per column and row counts, one aggregate for each named stage."""
     out = None
     for name, df in stages.items():
-        nc = null_counts(df).withColumn("stage", F.lit(name))
-        rows = df.agg(F.count(F.lit(1)).alias("rows"))
-        nc = join_one_row(nc, rows).withColumn("columns", F.lit(len(df.columns)).cast("long"))
+        per = F.array(*[F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("nulls")) for c in df.columns])
+        one = df.agg(F.count(F.lit(1)).alias("rows"), per.alias("_n")).select("rows", F.inline("_n"))
+        nc = one.withColumns({"stage": F.lit(name), "columns": F.lit(len(df.columns)).cast("long")})
         out = nc if out is None else out.unionByName(nc)
     return out.select("stage", "column", "nulls", "rows", "columns")

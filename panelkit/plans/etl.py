@@ -57,13 +57,12 @@ def clean_numeric(df: DataFrame, spec: PanelSpec, keywords=NON_NEGATIVE_KEYWORDS
 
 
 def clean_pipeline(df: DataFrame, spec: PanelSpec, threshold: float = NULL_THRESHOLD,
-                   method: str = "iqr", factor: float = IQR_CAP_FACTOR, materialize=None) -> CleanResult:
+                   method: str = "iqr", factor: float = IQR_CAP_FACTOR, materialize=cut_lineage) -> CleanResult:
     """Dedupe (A7) -> null-ratio pruning (P17, the one data-dependent
     step) -> invalid-date removal (P14) -> Inf/negative repair (F2, F3) ->
     outlier capping (W6, or W7 with ``method='zscore'``).
 
-    ``materialize`` (e.g. ``cut_lineage``) is applied to the de-duplicated
-    panel, so the null-ratio pass and the rest of the plan read it instead of
+    ``materialize`` (none if None) is applied to the de-duplicated panel, so the null-ratio pass and the rest of the plan read it instead of
     recomputing the upstream plan twice.
     """
     E, T = spec.entity, spec.time

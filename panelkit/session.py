@@ -53,7 +53,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_WRITTEN: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as Parquet in the shared folder and return a scan of them.
+
+    It survives the loss of executors, and later plans read only the columns
+    and row groups that they need. ``clean_up`` deletes what it wrote.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the tables that ``cut_lineage`` wrote in this process; call it when nothing reads them any more."""
+    from panelkit.sources import fixtures
+
+    fixtures.forget()
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -45,15 +45,20 @@ _STORED: dict = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named panel, derived once per session and kept as a checkpoint in
-    the shared checkpoint folder (like a processed table); later queries scan
-    the stored rows instead of re-deriving them from the base tables."""
+    """The named panel, derived once per session and kept as Parquet in the
+    shared folder (like a processed table); later queries scan the columns
+    they need instead of re-deriving the panel from the base tables."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _STORED:
         _STORED[key] = cut_lineage(BUILDERS[name](spark, sf_dir))
     return _STORED[key]
 
 
+def forget() -> None:
+    """Derive the panels anew on their next use."""
+    _STORED.clear()
+
+
 def _running(col: str, part: str, order: str) -> F.Column:
     w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return F.sum(col).over(w)
@@ -249,7 +254,7 @@ def region_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nation_raw(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """Stored like a source table: the plan (two joins, three aggregations) is
-    checkpointed once, and every query branch then scans the stored panel."""
+    written once, and every query branch then scans the stored panel."""
     nd, rd = _nation_parts(spark, sf_dir)
     raw = nd.unionByName(rd)
     return cut_lineage(raw) if materialize else raw

@@ -43,13 +43,14 @@ def partition_value(entity_col: str) -> F.Column:
 
 def save_by_entity(df: DataFrame, spec: PanelSpec, path: str, fmt: str = "csv", mode: str = "overwrite") -> str:
     """One folder per entity in a single pass (``partitionBy``) instead of
-    one filtered scan per entity; rows are clustered by the partition value
-    first so each task writes few files."""
+    one filtered scan per entity. Rows are clustered by the partition value
+    first, so that each task writes few files; the rebalance splits an entity
+    that is larger than a partition should be among several tasks."""
     if spec.entity not in df.columns:
-        raise ValueError(f"DataFrame must have '{spec.entity}' column")
+        raise ValueError(f"column {spec.entity!r} is needed to write by entity")
     if fmt not in FORMATS:
-        raise ValueError(f"Unsupported format: {fmt}")
-    d = df.withColumn(PART_COL, partition_value(spec.entity)).repartition(PART_COL)
+        raise ValueError(f"format {fmt!r} is not one of {', '.join(FORMATS)}")
+    d = df.withColumn(PART_COL, partition_value(spec.entity)).hint("rebalance", PART_COL)
     w = d.write.mode(mode).partitionBy(PART_COL)
     if fmt == "csv":
         w.option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
