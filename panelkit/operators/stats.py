@@ -33,7 +33,7 @@ BINS = 4096
 
 
 def value_positions(df: DataFrame, keys, value: str) -> DataFrame:
-    """(keys, value, _cnt, _before): ``_before`` = rows with a smaller value in the key; nulls and NaN have no row."""
+    """(keys, value, _cnt, _before, _n): ``_before`` = rows with a smaller value in the key, ``_n`` = its rows; nulls and NaN have no row."""
     keys = list(keys or [])
     v = F.col(value)
     d = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
@@ -46,10 +46,11 @@ def value_positions(df: DataFrame, keys, value: str) -> DataFrame:
         F.floor(F.nanvl(share, F.lit(0.0)) * (BINS - 1)), F.lit(0))).otherwise(0).cast("int")).drop("_lo", "_hi")
     part = d.groupBy(*keys, "_bin").agg(F.sum("_cnt").alias("_ptot"))
     off = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(*keys, "_bin", F.coalesce(F.sum("_ptot").over(off), F.lit(0)).alias("_off"))
+    part = part.select(*keys, "_bin", F.coalesce(F.sum("_ptot").over(off), F.lit(0)).alias("_off"),
+                       F.sum("_ptot").over(Window.partitionBy(*keys)).alias("_n"))
     j = null_safe_join(d, part, [*keys, "_bin"])
     loc = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(*keys, value, "_cnt", (F.col("_off") + F.sum("_cnt").over(loc) - F.col("_cnt")).alias("_before"))
+    return j.select(*keys, value, "_cnt", (F.col("_off") + F.sum("_cnt").over(loc) - F.col("_cnt")).alias("_before"), "_n")
 
 
 def average_rank(df: DataFrame, keys, value: str, out: str = "rank") -> DataFrame:
@@ -68,11 +69,13 @@ def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
     return wide.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.p", "_x.q")
 
 
-def quantile_columns(df: DataFrame, keys, value: str, named: dict) -> DataFrame:
-    """Exact quantiles as columns, e.g. ``{"q1": .25, "median": .5, "q3": .75}``; one row per key with values."""
+def quantile_columns(df: DataFrame, keys, value: str, named: dict, count: str | None = None) -> DataFrame:
+    """Exact quantiles as columns, e.g. ``{"q1": .25, "median": .5, "q3": .75}``; one row per key with values.
+
+    ``count`` names a further column for the number of values.
+    """
     keys = list(keys or [])
-    pos = value_positions(df, keys, value)
-    j = null_safe_join(pos, pos.groupBy(*keys).agg(F.sum("_cnt").alias("_n")), keys)
+    j = value_positions(df, keys, value)
     first, last = F.col("_before"), F.col("_before") + F.col("_cnt") - 1
     aggs, out = [F.first("_n").alias("_n")], []
     for name, p in named.items():
@@ -81,7 +84,7 @@ def quantile_columns(df: DataFrame, keys, value: str, named: dict) -> DataFrame:
             aggs.append(F.max(F.when((first <= place) & (last >= place), F.col(value))).alias(f"_{side}_{name}"))
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return j.groupBy(*keys).agg(*aggs).select(*keys, *out)
+    return j.groupBy(*keys).agg(*aggs).select(*keys, *out, *([F.col("_n").alias(count)] if count else []))
 
 
 def _attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
@@ -94,9 +97,7 @@ def iqr_trim(df: DataFrame, value: str, factor: float = TRIM_FACTOR, keys=()) ->
     row is present; IQR <= 0 is replaced by 1."""
     keys = list(keys or [])
     d = df.where(F.col(value).isNotNull())
-    qs = quantile_columns(d, keys, value, {"_q1": 0.25, "_q3": 0.75})
-    cnt = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else d.agg(F.count(F.lit(1)).alias("_n"))
-    st = null_safe_join(qs, cnt, keys)
+    st = quantile_columns(d, keys, value, {"_q1": 0.25, "_q3": 0.75}, count="_n")
     iqr = F.when((F.col("_q3") - F.col("_q1")) > 0, F.col("_q3") - F.col("_q1")).otherwise(F.lit(1.0))
     st = st.select(*keys, "_n", (F.col("_q1") - factor * iqr).alias("_lo"), (F.col("_q3") + factor * iqr).alias("_hi"))
     j = _attach(d, st, keys)
