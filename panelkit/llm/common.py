@@ -20,9 +20,9 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def text_key(text: Column) -> list[Column]:
-    """128 bits that name a text; null and the empty text share a key."""
+    """96 bits that name a text (64 and 32, as longs); null and the empty text share a key."""
     t = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("second"), t, F.length(t)).alias("k2")]
+    return [F.xxhash64(t).alias("k1"), F.shiftrightunsigned(F.xxhash64(F.lit("second"), t, F.length(t)), 32).alias("k2")]
 
 
 def collect_bounded(df: DataFrame, bound: int, what: str) -> list[Row]:

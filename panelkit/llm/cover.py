@@ -25,7 +25,7 @@ from panelkit.llm.common import pick, text_key
 
 PIECE = 1 << 17  # symbols hashed at once
 BLOCK_ENTRIES = 2_000_000
-BUCKET_ENTRIES = 3_000_000
+BUCKET_ENTRIES = 5_000_000
 LEAST_BUCKETS = 16
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers
 _SPACE = np.zeros(256, bool)
@@ -195,7 +195,7 @@ class Packer:
         if not self.n:
             return
         h, text, pos, aux = (np.concatenate(x) for x in zip(*self.parts))
-        k1, k2, rank = (np.array(x, np.int64) for x in (self.k1, self.k2, self.rank))
+        k1, k2, rank = np.array(self.k1, np.int64), np.array(self.k2, np.uint32), np.array(self.rank, np.int64)
         self._clear()
         keep, flag = self.settle(h, text, aux, rank)  # which entries travel, and their flags
         h, text, pos, aux, flag = h[keep], text[keep], pos[keep], aux[keep], flag[keep]
@@ -213,7 +213,7 @@ class Packer:
                 has_aux = aux[i].any()
                 name = h[i].astype(np.uint32) if self.short else h[i]
                 rows.append((b, k1[own].tobytes(), k2[own].tobytes(), rank[own].tobytes(), name.tobytes(), _planes(local.astype(np.uint32)),
-                             _planes(pos[i]), aux[i].tobytes() if has_aux else b"", flag[i].tobytes() if flag[i].any() else b""))
+                             _planes(pos[i]), _planes(aux[i]) if has_aux else b"", flag[i].tobytes() if flag[i].any() else b""))
         names = [x.split()[0] for x in PACKED.split(", ")]
         types = [pa.int32()] + [pa.binary()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -224,8 +224,8 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def _unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+def _unplanes(b: bytes, kind: type = np.uint32) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class Bucket:
@@ -234,12 +234,14 @@ class Bucket:
     def __init__(self, t: pa.Table, short: bool = False):
         col = {n: t.column(n).to_pylist() for n in t.column_names if n != "bucket"}
         ints = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in col[c]])
-        self.k1, self.k2, self.rank, self.h = ints("k1", np.int64), ints("k2", np.int64), ints("rank", np.int64), ints("h", np.uint32 if short else np.uint64)
+        self.k1, self.k2, self.rank = ints("k1", np.int64), ints("k2", np.uint32).astype(np.int64), ints("rank", np.int64)
+        self.h = ints("h", np.uint32 if short else np.uint64)
         n = [len(x) // 4 for x in col["text"]]
         base = np.cumsum([0] + [len(x) // 8 for x in col["k1"]])
-        self.text = np.concatenate([_unplanes(x).astype(np.int64) + b for x, b in zip(col["text"], base)])
-        self.pos = np.concatenate([_unplanes(x) for x in col["pos"]]).astype(np.int64)
-        self.aux = np.concatenate([np.frombuffer(x, np.uint64) if x else np.zeros(k, np.uint64) for x, k in zip(col["aux"], n)])
+        self.text = np.concatenate([_unplanes(x).view(np.int32) + np.int32(b) for x, b in zip(col["text"], base)])
+        self.pos = np.concatenate([_unplanes(x).view(np.int32) for x in col["pos"]])
+        with_aux = any(col["aux"])
+        self.aux = np.concatenate([_unplanes(x, np.uint64) if x else np.zeros(k * with_aux, np.uint64) for x, k in zip(col["aux"], n)])
         self.flag = np.concatenate([np.frombuffer(x, np.uint8) if x else np.zeros(k, np.uint8) for x, k in zip(col["flag"], n)])
 
 
@@ -256,7 +258,7 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def by_text(b: Bucket, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> pa.Table:
     """Intervals [lo, hi) of the texts of entries ``at``: one row per text, joined where they touch."""
-    text = b.text[at]
+    text, lo, hi = (x.astype(np.int64) for x in (b.text[at], lo, hi))
     order = np.lexsort((lo, text))
     text, lo, hi = text[order], lo[order], hi[order]
     if not len(text):
@@ -269,6 +271,16 @@ def by_text(b: Bucket, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> pa.Tab
                      "iv": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pairs, pa.int32()))})
 
 
+def points_by_text(b: Bucket, at: np.ndarray) -> pa.Table:
+    """The positions of entries ``at``: one row per text."""
+    order = np.lexsort((b.pos[at], b.text[at]))
+    text, pos = b.text[at][order], b.pos[at][order]
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    offsets = np.append(first, len(text)) if len(text) else np.zeros(1)
+    return pa.table({"k1": pa.array(b.k1[text[first]]), "k2": pa.array(b.k2[text[first]]),
+                     "iv": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pos, pa.int32()))})
+
+
 def merged(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals sorted by (text, lo), with those that overlap or touch made one."""
     width = int(hi.max()) + 1 if len(hi) else 1
@@ -324,7 +336,7 @@ def repeated(b: Bucket, key: np.ndarray) -> np.ndarray:
 
 
 def repeated_samples(t: DataFrame, buckets: int, symbols: Callable[[bytes], np.ndarray], window: int, v: int) -> DataFrame:
-    """k1, k2, iv: the cover positions (as intervals of length 1) whose next window - v + 1 symbols occur elsewhere too."""
+    """k1, k2, iv: the cover positions whose next window - v + 1 symbols occur elsewhere too (a list of positions)."""
     width = window - v + 1
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,8 +351,7 @@ def repeated_samples(t: DataFrame, buckets: int, symbols: Callable[[bytes], np.n
 
     def match(table: pa.Table) -> pa.Table:
         b = Bucket(table, short=True)
-        at = np.flatnonzero(repeated(b, b.h))
-        return by_text(b, b.pos[at], b.pos[at] + 1, at)
+        return points_by_text(b, np.flatnonzero(repeated(b, b.h)))
 
     return gather(t.mapInArrow(sample, PACKED).groupBy("bucket").applyInArrow(match, IV))
 

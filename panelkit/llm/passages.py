@@ -49,8 +49,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         for b in batches:
             for k1, k2, rank, text, iv in C.rows(b, "k1", "k2", "rank", "text", "iv"):
                 x = word_symbols(text.encode("utf-8", "surrogatepass"))
-                lo, hi = C.union(iv)
-                lo, hi = np.maximum(lo - (window - width), 0), np.minimum(hi, len(x) - window + 1)
+                s = np.sort(np.array(iv, np.int64))
+                lo, hi = np.maximum(s - (window - width), 0), np.minimum(s + 1, len(x) - window + 1)
                 _, lo, hi = C.merged(np.zeros(len(lo), np.int64), lo, np.maximum(hi, lo))
                 p = np.concatenate([np.arange(a, z) for a, z in zip(lo, hi)] or [np.zeros(0, np.int64)])
                 if len(p):

@@ -40,6 +40,10 @@ class Shape:
         self.window, self.period = window, period
         self.core, self.side = window - period + 1, period - 1
 
+    def rank(self, x: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """48 bits that name the core at s. They only choose a bucket: windows are compared by hashes of their own."""
+        return C.windows(x, s, self.core) >> np.uint64(16)
+
     def sides(self, s: np.ndarray, n: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the neighbourhood to the left of the cover position and to the right of its core."""
         return np.minimum(self.side, s), np.minimum(self.side, n - s - self.core)
@@ -61,9 +65,9 @@ def repeats(t: DataFrame, total: int, window: int = WINDOW, period: int = PERIOD
         for b in batches:
             for k1, k2, text, iv in C.rows(b, "k1", "k2", "text", "iv"):
                 x = C.byte_symbols(text.encode("utf-8", "surrogatepass"))
-                s = _points(iv)
+                s = np.sort(np.array(iv, np.int64))
                 left, right = z.sides(s, len(x))
-                g = C.windows(x, s, z.core)
+                g = z.rank(x, s)
                 whole = C.spans(x, s - left, s + z.core + right, 1)
                 h = C.mix(whole ^ C.mix(g + left.astype(np.uint64)))
                 yield from pack.add(k1, k2, len(x), h, s, g)
@@ -72,7 +76,7 @@ def repeats(t: DataFrame, total: int, window: int = WINDOW, period: int = PERIOD
     def tie(table: pa.Table) -> pa.Table:
         b = C.Bucket(table)
         at = np.flatnonzero(C.repeated(b, b.h))
-        lo, hi = z.starts(b.pos[at], b.rank[b.text[at]])
+        lo, hi = z.starts(b.pos[at].astype(np.int64), b.rank[b.text[at]])
         some = hi > lo
         sure = C.by_text(b, lo[some], hi[some], at[some])
         live = np.flatnonzero((b.flag & C.KNOWN) == 0)
@@ -107,7 +111,7 @@ def repeats(t: DataFrame, total: int, window: int = WINDOW, period: int = PERIOD
                 raw = text.encode("utf-8", "surrogatepass")
                 s = np.sort(np.array(some, np.int64))
                 left, right = z.sides(s, len(raw))
-                g = C.windows(C.byte_symbols(raw), s, z.core).view(np.int64)
+                g = z.rank(C.byte_symbols(raw), s).view(np.int64)
                 out += [(int(gg), k1, k2, int(p), len(raw), raw[p - a:p + z.core + r])
                         for gg, p, a, r in zip(g, s.tolist(), left.tolist(), right.tolist())]
                 if len(out) > ROWS_AT_ONCE:
@@ -151,12 +155,6 @@ def repeats(t: DataFrame, total: int, window: int = WINDOW, period: int = PERIOD
     return sure.unionByName(some).unionByName(many)
 
 
-def _points(iv: list[int]) -> np.ndarray:
-    lo, hi = C.union(iv)
-    n = hi - lo
-    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-
-
 def _compare(t: pa.Table, z: Shape) -> pa.Table:
     """Windows that occur in several of the neighbourhoods of one rank; ranks stand together in ``t``."""
     g, s, n = (t[c].to_numpy() for c in ("g", "s", "n"))
