@@ -41,17 +41,27 @@ _UPPER = bytes(range(0x41, 0x5B))
 _DIGITS = bytes(range(0x30, 0x3A))
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each line with those of its neighbours (lines x 3 N_FEATURES + 1), and the lines' weights."""
+def line_features(lines: list[bytes], at: int = 0, to: int | None = None) -> np.ndarray:
+    """Features of lines [at, to) with those of their neighbours: lines x (3 N_FEATURES + 1)."""
+    to = len(lines) if to is None else min(to, len(lines))
+    own = np.zeros((to - at + 2, N_FEATURES), np.float32)
+    for i in range(at - 1, to + 1):
+        if 0 <= i < len(lines):
+            own[i - at + 1] = _line(lines[i], lines[i - 1] if i else None)
+        else:
+            own[i - at + 1, -1] = 1  # beyond the text
+    return np.concatenate([own[1:-1], own[:-2], own[2:], np.ones((to - at, 1), np.float32)], axis=1)
+
+
+def split_lines(text: str | None) -> tuple[list[bytes], np.ndarray]:
+    """The lines and their weights."""
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-    own = np.zeros((len(lines) + 2, N_FEATURES), np.float32)
-    previous = None
-    for i, line in enumerate(lines, 1):
-        own[i] = _line(line, previous)
-        previous = line
-    own[0, -1] = own[-1, -1] = 1  # beyond the text
-    weight = np.array([max(1, len(x)) for x in lines], np.float64)
-    return np.concatenate([own[1:-1], own[:-2], own[2:], np.ones((len(lines), 1), np.float32)], axis=1), weight
+    return lines, np.fromiter((max(1, len(x)) for x in lines), np.float64, len(lines))
+
+
+def line_scores(lines: list[bytes], weights: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """The score of good against bad of each line; features are made for ``step`` lines at a time."""
+    return np.concatenate([line_features(lines, at, at + step) @ weights for at in range(0, len(lines), step)])
 
 
 def _line(line: bytes, previous: bytes | None) -> tuple[float, ...]:
@@ -212,7 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         for b in batches:
             out = []
             for label, text in rows(b, "label", "text"):
-                x, w = line_features(text)
+                lines, w = split_lines(text)
+                x = line_features(lines)
                 out.append((label, len(w), x.tobytes(), w.tobytes()))
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
@@ -248,8 +259,8 @@ def quality(docs: DataFrame, field: Field, accept: float = 0.3, id_col: str = "d
         for b in batches:
             shares: list[float] = []
             for at in range(0, b.num_rows, 256):
-                made = [line_features(t) for t in b.column("text").slice(at, 256).to_pylist()]
-                unary, n = [x @ weights for x, _ in made], np.array([len(w) for _, w in made])
+                made = [split_lines(t) for t in b.column("text").slice(at, 256).to_pylist()]
+                unary, n = [line_scores(x, weights) for x, _ in made], np.array([len(w) for _, w in made])
                 part = np.zeros(len(made))
                 for g in groups(n):
                     u, k = _padded([unary[i] for i in g])

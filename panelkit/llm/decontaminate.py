@@ -26,7 +26,7 @@ from panelkit.session import scratch_path
 
 NGRAM = 3
 STRIDE = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 MAX_BLOCK_ITEMS = 1_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 THRESHOLD = 0.5

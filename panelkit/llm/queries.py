@@ -84,4 +84,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k: v for k, v in sorted(globals().items()) if k.startswith("op") and callable(v)
 }
 
-ORACLE: dict[str, str] = {}
+# Base32 digits of a SHA-1 in hexadecimal: digit i is the five bits from bit 5 i on, which lie in two neighbouring hex digits.
+_HEX = "strpos('0123456789abcdef', substr(x, CAST({} AS BIGINT), 1)) - 1"
+_BASE32 = ("array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((((("
+           + _HEX.format("(5 * i) // 4 + 1") + ") * 16 + " + _HEX.format("(5 * i) // 4 + 2") + ") >> (3 - (5 * i) % 4)) & 31) AS BIGINT), 1)), '')")
+
+ORACLE: dict[str, str] = {
+    "op4_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT t, min(page_id) AS first FROM p GROUP BY t)
+SELECT page_id, CAST(strlen(p.t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (t)""",
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM documents),
+x AS (SELECT doc_id, k, array_to_string(w[k:k + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM x GROUP BY s),
+g AS (SELECT x.doc_id, list_distinct(flatten(list(range(k, k + 50)))) AS gone FROM x JOIN m USING (s) WHERE least < x.doc_id GROUP BY x.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda v, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)""",
+}
