@@ -232,7 +232,7 @@ class Bucket:
     """The unpacked entries of a bucket: h, text (index into k1, k2, rank), pos, aux, flag."""
 
     def __init__(self, t: pa.Table, short: bool = False):
-        col = {n: t.column(n).to_pylist() for n in t.column_names if n != "bucket"}
+        col = {n: [x.as_buffer() for x in t.column(n)] for n in t.column_names if n != "bucket"}  # views, not copies
         ints = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in col[c]])
         self.k1, self.k2, self.rank = ints("k1", np.int64), ints("k2", np.uint32).astype(np.int64), ints("rank", np.int64)
         self.h = ints("h", np.uint32 if short else np.uint64)
@@ -240,9 +240,9 @@ class Bucket:
         base = np.cumsum([0] + [len(x) // 8 for x in col["k1"]])
         self.text = np.concatenate([_unplanes(x).view(np.int32) + np.int32(b) for x, b in zip(col["text"], base)])
         self.pos = np.concatenate([_unplanes(x).view(np.int32) for x in col["pos"]])
-        with_aux = any(col["aux"])
-        self.aux = np.concatenate([_unplanes(x, np.uint64) if x else np.zeros(k * with_aux, np.uint64) for x, k in zip(col["aux"], n)])
-        self.flag = np.concatenate([np.frombuffer(x, np.uint8) if x else np.zeros(k, np.uint8) for x, k in zip(col["flag"], n)])
+        with_aux = any(len(x) for x in col["aux"])
+        self.aux = np.concatenate([_unplanes(x, np.uint64) if len(x) else np.zeros(k * with_aux, np.uint64) for x, k in zip(col["aux"], n)])
+        self.flag = np.concatenate([np.frombuffer(x, np.uint8) if len(x) else np.zeros(k, np.uint8) for x, k in zip(col["flag"], n)])
 
 
 def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +253,7 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in keys:
         s = k[order]
         new[1:] |= s[1:] != s[:-1]
-    return order, np.cumsum(new) - 1
+    return order, np.cumsum(new, dtype=np.int32) - 1
 
 
 def by_text(b: Bucket, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> pa.Table:
@@ -329,9 +329,14 @@ def settle_all(h: np.ndarray, text: np.ndarray, aux: np.ndarray, rank: np.ndarra
 def repeated(b: Bucket, key: np.ndarray) -> np.ndarray:
     """Which entries are repeats: settled before, standing for several, or with the key of another entry."""
     out = b.flag > 0
-    live = np.flatnonzero((b.flag & KNOWN) == 0)
-    order, run = runs(key[live])
-    out[live[order[np.bincount(run)[run] > 1]]] = True
+    live = np.flatnonzero((b.flag & KNOWN) == 0).astype(np.int32)
+    key = key[live]
+    order = np.argsort(key)
+    key = key[order]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[1:] == key[:-1]
+    del key
+    out[live[order[same[1:] | same[:-1]]]] = True
     return out
 
 
