@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Seeds are word n-grams of the test items. A scan over the documents finds all
-places that share a seed with an item and cuts out the words around them. The
-counts of the seeds over all documents then tell which are rare: of each
-``STRIDE`` neighbouring seeds of an item only the rarest may start an
-alignment, so every part of every item keeps one, however common the item is.
+places that share a seed with an item and cuts out the words around them. Each
+place is aligned unless it holds too few of the item's words to reach the
+threshold, so a common seed costs a count of words and loses no match.
 Alignment allows changed, added and dropped words.
 
 The items are sent to all tasks in blocks of at most ``BLOCK_BYTES``; a larger
@@ -22,10 +21,8 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import cover as C
 from panelkit.llm.common import collect_bounded, pick, text_key
-from panelkit.session import scratch_path
 
 NGRAM = 3
-STRIDE = 2
 BLOCK_BYTES = 4 << 20
 MAX_BLOCK_ITEMS = 1_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -35,7 +32,7 @@ SIEVE_BITS = 22
 _FOLD = bytes.maketrans(bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F)),
                         b" " * 32)  # ASCII punctuation separates words
 
-PLACES = "doc_id {id}, k1 long, k2 long, item int, start int, seeds array<long>, words binary"
+FOUND = "doc_id {id}, k1 long, k2 long, item int, score double, start_word int, end_word int"
 
 
 def fold(text: str | None) -> np.ndarray:
@@ -57,14 +54,9 @@ def seeds_of(items: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, n
     return h[order].astype(np.uint64), item[order], at[order]
 
 
-def rare_seeds(h: np.ndarray, item: np.ndarray, at: np.ndarray, count: dict[int, int], stride: int) -> np.ndarray:
-    """The hashes that are rarest in their run of ``stride`` neighbouring seeds of some item; ties by place."""
-    n = np.array([count.get(x, 0) for x in h.view(np.int64).tolist()], np.int64)
-    run = at // stride
-    order = np.lexsort((at, n, run, item))
-    first = np.ones(len(order), bool)
-    first[1:] = (item[order][1:] != item[order][:-1]) | (run[order][1:] != run[order][:-1])
-    return np.unique(h[order[first]])
+def can_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether an alignment of words a (the item) within b can reach the threshold: only item words that b holds can match."""
+    return np.count_nonzero(np.isin(a, b)) / len(a) >= threshold
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
@@ -95,7 +87,8 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ngr
 
     score is the best local alignment of the whole item (2 a match, -1 a
     mismatch or gap) over that of an unchanged copy; rows below ``threshold``
-    are not reported. Words are compared in lower case without ASCII
+    are not reported. A place is looked at if it shares ``ngram`` words in a
+    row with the item. Words are compared in lower case without ASCII
     punctuation and counted from 0. One row per row id, text and item, its
     best place (the first of equals); repeated rows give one. Null and empty
     texts, and items of fewer than ``ngram`` words, match nothing. Null ids
@@ -119,12 +112,11 @@ def _block(spark, d: DataFrame, items: list, item_type: str, threshold: float, n
     h, item, at = seeds_of(words, n)
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
-    shared = spark.sparkContext.broadcast((h, item, at, sieve, np.array([len(x) for x in words], np.int64)))
-    id_type = d.schema["doc_id"].dataType.simpleString()
-    schema = PLACES.format(id=id_type)
+    shared = spark.sparkContext.broadcast((h, item, at, sieve, words, np.array([len(x) for x in words], np.int64)))
+    schema = FOUND.format(id=d.schema["doc_id"].dataType.simpleString())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, item, at, sieve, size = shared.value
+        h, item, at, sieve, words, size = shared.value
         names = [c.split()[0] for c in schema.split(", ")]
         for b in batches:
             row, out = [], []
@@ -133,45 +125,23 @@ def _block(spark, d: DataFrame, items: list, item_type: str, threshold: float, n
                 g = C.windows(x, np.arange(max(0, len(x) - n + 1)), n)
                 p = np.flatnonzero(sieve[(g >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
                 lo, hi = np.searchsorted(h, g[p]), np.searchsorted(h, g[p], side="right")
-                if (hi > lo).any():
-                    for place in _places(x, np.repeat(p, hi - lo), _ranges(lo, hi), h, item, at, size):
-                        row.append(i)
-                        out.append(place)
-            cols = list(zip(*out)) or [[]] * 4
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c).take(take) for c in ("doc_id", "k1", "k2")] +
-                [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))], names)
-
-    path = scratch_path(spark, "decontaminate-places")
-    d.select("doc_id", *text_key(F.col("text")), "text").mapInArrow(scan, schema).write.parquet(path)
-    places = spark.read.parquet(path)
-    # One count per seed of this block of items at most.
-    count = {r["seed"]: r["n"] for r in places.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    final = spark.sparkContext.broadcast((words, rare_seeds(h, item, at, count, STRIDE).view(np.int64)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rare = final.value
-        rare = set(rare.tolist())
-        for b in batches:
-            row, out = [], []
-            for i, (k, start, seeds, raw) in enumerate(C.rows(b, "item", "start", "seeds", "words")):
-                if rare.isdisjoint(seeds):
+                if not (hi > lo).any():
                     continue
-                got, lo, hi = align(words[k], np.frombuffer(raw, np.uint64))
-                got /= MATCH * len(words[k])
-                if got >= threshold:
-                    row.append(i)
-                    out.append((k, got, start + lo, start + hi))
+                for k, start, end in _places(x, np.repeat(p, hi - lo), _ranges(lo, hi), item, at, size):
+                    if not can_reach(words[k], x[start:end], threshold):
+                        continue
+                    got, first, last = align(words[k], x[start:end])
+                    got /= MATCH * len(words[k])
+                    if got >= threshold:
+                        row.append(i)
+                        out.append((k, got, start + first, start + last))
             cols = list(zip(*out)) or [[]] * 4
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(c).take(take) for c in ("doc_id", "k1", "k2")] +
-                [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.int32(), pa.int32()))],
-                ["doc_id", "k1", "k2", "item", "score", "start_word", "end_word"])
+                [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.int32(), pa.int32()))], names)
 
-    scored = places.mapInArrow(score, f"doc_id {id_type}, k1 long, k2 long, item int, score double, start_word int, end_word int")
+    scored = d.select("doc_id", *text_key(F.col("text")), "text").mapInArrow(scan, schema)
     best = scored.groupBy("doc_id", "k1", "k2", "item").agg(
         F.max_by(F.struct("score", "start_word", "end_word"), F.struct(F.col("score"), -F.col("start_word"))).alias("b"))
     names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(items)], f"item int, item_id {item_type}")
@@ -183,20 +153,19 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-def _places(x: np.ndarray, p: np.ndarray, seed: np.ndarray, h: np.ndarray, item: np.ndarray, at: np.ndarray,
-            size: np.ndarray) -> Iterator[tuple[int, int, list[int], bytes]]:
-    """Seed hits of one text, joined where their diagonals are close: item, first word, seeds, words around."""
+def _places(x: np.ndarray, p: np.ndarray, seed: np.ndarray, item: np.ndarray, at: np.ndarray,
+            size: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Seed hits of one text, joined where their diagonals are close: item, first word, end of the words around."""
     k, diagonal = item[seed], p - at[seed]
     order = np.lexsort((diagonal, k))
-    k, diagonal, seed = k[order], diagonal[order], seed[order]
+    k, diagonal = k[order], diagonal[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (np.diff(diagonal) > np.maximum(4, size[k[1:]] // 2))
     edges = np.append(np.flatnonzero(new), len(k))
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
         long = int(size[k[a]])
         slack = max(4, long // 2)
-        lo, hi = max(0, int(diagonal[a]) - slack), min(len(x), int(diagonal[z - 1]) + long + slack)
-        yield int(k[a]), lo, np.unique(h[seed[a:z]]).view(np.int64).tolist(), x[lo:hi].tobytes()
+        yield int(k[a]), max(0, int(diagonal[a]) - slack), min(len(x), int(diagonal[z - 1]) + long + slack)
 
 
 def without_matches(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:

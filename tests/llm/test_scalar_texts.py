@@ -190,3 +190,37 @@ def test_decontamination_finds_edited_items(spark, make, prose):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == set(range(40)) | {300, 301}
     assert decontaminate.matches(make([]), bench).count() == 0
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
+
+
+def all_pairs(rows, items):
+    """Score of each text and item that share three words in a row, by alignment of the whole text."""
+    out = {}
+    for i, t in rows:
+        b = decontaminate.fold(t)
+        for k, u in items:
+            a = decontaminate.fold(u)
+            three = {tuple(a[j:j + 3].tolist()) for j in range(len(a) - 2)}
+            if any(tuple(b[j:j + 3].tolist()) in three for j in range(len(b) - 2)):
+                score = decontaminate.align(a, b)[0] / (2 * len(a))
+                if score >= 0.5:
+                    out[i, k] = score
+    return out
+
+
+def test_decontamination_finds_evenly_spread_edits(spark, make, prose):
+    items = [(k, " ".join(prose(20 + k))) for k in range(8)]
+    rows = [(i, " ".join(prose(60))) for i in range(10)]
+    for k, t in items:
+        for step in (3, 4, 5, 6):
+            for at in range(step):
+                w = t.split()
+                w[at::step] = [f"new{j}" for j in range(len(w[at::step]))]
+                rows.append((1000 * (k + 1) + 10 * step + at, " ".join(prose(15) + w + prose(15))))
+    rows += [(9000 + i, items[0][1]) for i in range(20)]  # exact copies make the seeds common
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.matches(make(rows), bench).collect()}
+    want = all_pairs(rows, items)
+    worked = items[0][1].split()
+    worked[3::4] = ["new"] * 5
+    assert decontaminate.align(decontaminate.fold(items[0][1]), decontaminate.fold(" ".join(worked)))[0] / 40 == 0.65
+    assert (1043, 0) in want and got == want
