@@ -59,6 +59,14 @@ def can_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return np.count_nonzero(np.isin(a, b)) / len(a) >= threshold
 
 
+def reach(size: np.ndarray, threshold: float) -> np.ndarray:
+    """How many diagonals an alignment of an item of ``size`` words may span and still score ``threshold``.
+
+    All words matched give MATCH * size, and each diagonal that a gap moves on costs GAP at least.
+    """
+    return np.maximum(0, np.ceil(MATCH * (1 - threshold) * size / -GAP)).astype(np.int64)
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment of words a (the item) within b: its score and where it starts and ends in b."""
     score, end = _best(a, b)
@@ -112,11 +120,12 @@ def _block(spark, d: DataFrame, items: list, item_type: str, threshold: float, n
     h, item, at = seeds_of(words, n)
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
-    shared = spark.sparkContext.broadcast((h, item, at, sieve, words, np.array([len(x) for x in words], np.int64)))
+    size = np.array([len(x) for x in words], np.int64)
+    shared = spark.sparkContext.broadcast((h, item, at, sieve, words, size, reach(size, threshold)))
     schema = FOUND.format(id=d.schema["doc_id"].dataType.simpleString())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, item, at, sieve, words, size = shared.value
+        h, item, at, sieve, words, size, span = shared.value
         names = [c.split()[0] for c in schema.split(", ")]
         for b in batches:
             row, out = [], []
@@ -127,7 +136,7 @@ def _block(spark, d: DataFrame, items: list, item_type: str, threshold: float, n
                 lo, hi = np.searchsorted(h, g[p]), np.searchsorted(h, g[p], side="right")
                 if not (hi > lo).any():
                     continue
-                for k, start, end in _places(x, np.repeat(p, hi - lo), _ranges(lo, hi), item, at, size):
+                for k, start, end in _places(x, np.repeat(p, hi - lo), _ranges(lo, hi), item, at, size, span):
                     if not can_reach(words[k], x[start:end], threshold):
                         continue
                     got, first, last = align(words[k], x[start:end])
@@ -154,18 +163,20 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _places(x: np.ndarray, p: np.ndarray, seed: np.ndarray, item: np.ndarray, at: np.ndarray,
-            size: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Seed hits of one text, joined where their diagonals are close: item, first word, end of the words around."""
+            size: np.ndarray, span: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Item, first word and end of the places in one text that hold every alignment through a seed hit.
+
+    Hits on one alignment are at most ``span`` diagonals apart, so they are joined, and its words reach as far.
+    """
     k, diagonal = item[seed], p - at[seed]
     order = np.lexsort((diagonal, k))
     k, diagonal = k[order], diagonal[order]
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (np.diff(diagonal) > np.maximum(4, size[k[1:]] // 2))
+    new[1:] = (k[1:] != k[:-1]) | (np.diff(diagonal) > span[k[1:]])
     edges = np.append(np.flatnonzero(new), len(k))
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        long = int(size[k[a]])
-        slack = max(4, long // 2)
-        yield int(k[a]), max(0, int(diagonal[a]) - slack), min(len(x), int(diagonal[z - 1]) + long + slack)
+        slack = int(span[k[a]])
+        yield int(k[a]), max(0, int(diagonal[a]) - slack), min(len(x), int(diagonal[z - 1]) + int(size[k[a]]) + slack)
 
 
 def without_matches(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:

@@ -224,3 +224,29 @@ def test_decontamination_finds_evenly_spread_edits(spark, make, prose):
     worked[3::4] = ["new"] * 5
     assert decontaminate.align(decontaminate.fold(items[0][1]), decontaminate.fold(" ".join(worked)))[0] / 40 == 0.65
     assert (1043, 0) in want and got == want
+
+
+def test_decontamination_finds_split_copies(spark, make, prose):
+    q = random.Random(6)
+    items = [(k, " ".join(prose(40))) for k in range(5)]
+    w = items[0][1].split()
+    w[10], w[30] = "one", "two"
+    rows = [(1, " ".join(prose(50) + w[:20] + prose(30) + w[20:] + prose(50)))]
+    for i in range(60):  # insertions of up to an item's length, dropped and changed words
+        w = items[i % 5][1].split()
+        for _ in range(q.randrange(4)):
+            w[q.randrange(len(w))] = "changed"
+        for _ in range(q.randrange(4)):
+            del w[q.randrange(len(w))]
+        for _ in range(q.randint(1, 3)):
+            at = q.randrange(len(w))
+            w[at:at] = prose(q.randrange(20))
+        rows.append((100 + i, " ".join(prose(50) + w + prose(50))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.matches(make(rows), bench).collect()
+    want = all_pairs(rows, items)
+    assert want[1, 0] == 0.55 and {(r["doc_id"], r["item_id"]): r["score"] for r in found} == want
+    text = dict(rows)
+    for r in found:
+        place = decontaminate.fold(text[r["doc_id"]])[r["start_word"]:r["end_word"]]
+        assert decontaminate.align(decontaminate.fold(items[r["item_id"]][1]), place) == (r["score"] * 80, 0, len(place))
