@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import pick
+from panelkit.llm.common import pick, text_key
 from panelkit.llm.components import components
 from panelkit.session import scratch_path
 
@@ -42,13 +42,19 @@ def simhash(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col:
     bit is set if set in over half of the hashes. Fewer words: one shingle of
     all of them; null or no words: fingerprint 0.
     """
+    return _fingerprints(pick(docs, doc_id=id_col, text=text_col), shingle)
+
+
+def _fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """The columns of ``rows`` with the fingerprint ``fp`` in place of ``text``."""
+    names = [c for c in rows.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = pa.array((_fingerprint(t, shingle) for t in b.column("text").to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], fps], [*names, "fp"])
 
-    rows = pick(docs, doc_id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in names] + ["fp long"]))
 
 
 def _fingerprint(text: str | None, shingle: int, at_once: int = 65_536) -> int:
@@ -226,10 +232,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: st
     simhash(docs, shingle, id_col, text_col).write.parquet(path)
     rows = spark.read.parquet(path)
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    edges = scratch_path(spark, "simhash-links")
-    links(own.select("fp"), bits).write.parquet(edges)
-    part = components(spark.read.parquet(edges))  # node, root: only linked fingerprints
-    named = own.join(part, own["fp"] == part["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(own, bits)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     names = named.join(least, "root").select("fp", "component_id")
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(own: DataFrame, bits: int) -> DataFrame:
+    """A table of distinct fingerprints ``fp`` with the ``root`` of each one's group."""
+    spark = own.sparkSession
+    edges = scratch_path(spark, "simhash-links")
+    links(own.select("fp"), bits).write.parquet(edges)
+    part = components(spark.read.parquet(edges))  # node, root: only linked fingerprints
+    return own.join(part, own["fp"] == part["node"], "left").select(*own.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of rows that links of at most ``bits`` differing bits connect; all columns stay as they are.
+
+    The row with the smallest id stays, null ids last; of rows with one id the
+    first by text key, then by a hash of the other columns. Rows are told
+    apart by these, not by id alone: rows that repeat an id or have none are
+    grouped by their texts as all others. Equal rows give one.
+    """
+    spark = docs.sparkSession
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    other = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
+    k1, k2 = text_key(docs[text_col])
+    keyed = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), k1, k2, other.alias("other"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    path = scratch_path(spark, "simhash-rows")
+    _fingerprints(keyed.drop("row"), shingle).write.parquet(path)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "other")).alias("first")
+    own = spark.read.parquet(path).groupBy("fp").agg(first)
+    least = _rooted(own, bits).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    key = ["k1", "k2", "no_id", "id", "other"]
+    told = lambda d: d.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    # equal rows collapse in each map task, then meet the rows to keep in the same partitions
+    rows = told(keyed).select("row", *key).dropDuplicates(key)
+    kept = rows.join(told(least).select(*key), key, "left_semi")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

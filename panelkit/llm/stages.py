@@ -19,15 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that whose id names the group.
-
-    Of rows with one id the first by text and the other columns stays; rows
-    without an id, whose group has no name, stay.
-    """
-    found = hamming.near_duplicates(docs, shingle=4, bits=4).where("component_id IS NOT NULL")
-    named = found.select(F.col("component_id").alias("kept_id")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(named, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One row of each group of near copies: that with the smallest id; rows that repeat an id or have none are grouped by their texts."""
+    return hamming.one_of_each_group(docs, shingle=4, bits=4)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

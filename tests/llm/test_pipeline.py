@@ -90,3 +90,14 @@ def test_null_ids_and_extra_columns_in_stages(spark, make, prose):
     assert out.columns == docs.columns and sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 3, None, None]
     assert stages.benchmark_decontamination(spark, docs, SF).count() == 6
     assert stages.mix_sources(spark, docs, SF).columns[:len(docs.columns)] == docs.columns
+
+
+def test_repeated_and_null_ids_lose_no_text_and_keep_no_copy(spark, make, prose):
+    t, own, other, nameless, near = (" ".join(prose(n)) for n in (60, 40, 45, 50, 300))
+    rows = [(1, t), (2, t), (3, t), (3, own), (3, other), (3, other), (7, near), (None, near + " more"), (8, None)]
+    rows += [(None, t)] * 5 + [(None, nameless)] * 5 + [(None, nameless, "de")] + [(None, "")] * 3
+    want = sorted([(1, t), (3, own), (3, other), (7, near), (8, None), (None, nameless)], key=str)
+    for order in (rows, rows[::-1]):
+        out = stages.simhash_near_dedup(spark, make(order).repartition(5), SF)
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == want
+    assert stages.simhash_near_dedup(spark, make([]), SF).count() == 0
