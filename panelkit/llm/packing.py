@@ -23,75 +23,133 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import pick
-from panelkit.llm.token_counts import BLOCK_CHARS, CACHE_WORDS, PieceCounter, blocks
+from panelkit.llm.token_counts import PieceCounter
 from panelkit.operators.joins import join_small
 from panelkit.session import cut_lineage
 
 GRAIN = 4  # tokens in a length class
 SLACK = 8  # tokens that a greedy filling may leave open
 FULL = 0  # the class of full windows
+SLICE_BYTES = 16_000_000
+CACHE_WORDS = 1_500_000
+
+
+# White space of Unicode beside the six ASCII characters: separators for the tokenizer too.
+OTHER_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class IdMaker(PieceCounter):
-    """Token ids of texts; the ids of a pre-token are made once and looked up afterwards."""
+    """Token ids of texts; the ids of a blank-delimited word are made once and looked up afterwards.
+
+    No pre-token reaches over white space and no step before it looks past it,
+    so a text's ids are those of its words, one after the other. Texts of a
+    tokenizer that is built in another way go to the library whole.
+    """
 
     def __init__(self, spec: str):
+        import regex
+
         super().__init__(spec)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.marked = self.split and regex.compile("\n|" + self.split.pattern)
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[str, int] = {}  # blank-delimited words
         self.flat, self.ends = array("I"), array("q", [0])
+        self.piece: dict[str, int] = {"\n": 0}  # lower-case pre-tokens; the first is the mark between words
+        self.piece_flat, self.piece_ends = array("I"), array("q", [0, 0])
 
-    def learn_ids(self, words: set[str]) -> None:
-        new = list(words - self.place.keys())
-        if len(self.place) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = list(words)
+    def learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
-            whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            of = np.array([-1 if w is None else w for w in whole.word_ids])
-            if len(of) and of.min() >= 0 and of[-1] == len(part) - 1:
-                counts, ids = np.bincount(of, minlength=len(part)), whole.ids
-            else:  # some word does not stand alone between blanks
-                each = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-                counts, ids = np.array([len(e) for e in each]), [i for e in each for i in e]
+            joined = "\n".join(part)
+            if self.plain.fullmatch(joined) and not any(s in joined for s in self.specials):
+                counts, ids = self.by_pieces(joined)
+            else:
+                whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                begins = np.cumsum([0, *[len(w) + 1 for w in part[:-1]]])
+                places = np.fromiter((a for a, _ in whole.offsets), np.int64, len(whole.ids))
+                counts, ids = np.bincount(np.searchsorted(begins, places, "right") - 1, minlength=len(part)), whole.ids
             self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
-            self.ends.extend((self.ends[-1] + np.cumsum(counts)).tolist())
-            self.flat.extend(ids)
-
-    def words(self, text: str) -> list[str] | None:
-        if self.split is None or not self.plain.fullmatch(text) or any(s in text for s in self.specials):
-            return None
-        return self.split.findall(text.lower())
-
-    def ids(self, texts: list[str], end: int) -> list[np.ndarray]:
-        """The ids of each text, closed by ``end``."""
-        tables = [self.words(t) for t in texts]
-        self.learn_ids(set().union(*[t for t in tables if t]))
+            self.ends.frombytes((self.ends[-1] + np.cumsum(counts)).astype(np.int64).tobytes())
+            self.flat.frombytes(np.asarray(ids, np.uint32).tobytes())
+
+    def by_pieces(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Id counts and ids of the words between line ends, from the ids of their pre-tokens."""
+        cut = self.marked.findall(joined.lower())
+        at = np.fromiter(map(self.piece.get, cut, repeat(-1)), np.int64, len(cut))
+        late = np.flatnonzero(at < 0).tolist()
+        if late:
+            new = list(dict.fromkeys(map(cut.__getitem__, late)))
+            each = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            self.piece.update(zip(new, range(len(self.piece), len(self.piece) + len(new))))
+            ends = self.piece_ends[-1] + np.cumsum(np.bincount(each.word_ids, minlength=len(new)))
+            self.piece_ends.frombytes(ends.astype(np.int64).tobytes())
+            self.piece_flat.frombytes(np.asarray(each.ids, np.uint32).tobytes())
+            at[late] = np.fromiter(map(self.piece.__getitem__, map(cut.__getitem__, late)), np.int64, len(late))
+        ends = np.frombuffer(self.piece_ends, np.int64)
+        n = ends[at + 1] - ends[at]
+        ids = np.frombuffer(self.piece_flat, np.uint32)[np.repeat(ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        word = np.cumsum(at == 0)
+        return np.bincount(word, n, minlength=int(word[-1]) + 1).astype(np.int64), ids
+
+    def ids(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """The ids of each text, closed by ``end``; a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        if self.split is None:
+            each = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            return [np.array([*e.ids, end], self.dtype) for e in each]
+        if pc.any(pc.match_substring_regex(texts, OTHER_SPACE)).as_py():
+            texts = pc.replace_substring_regex(texts, OTHER_SPACE, " ")
+        words = pc.ascii_split_whitespace(texts)
+        sizes = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.place) + len(distinct) > CACHE_WORDS:
+            self.forget()
+        at = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        at[new] = np.arange(len(self.place), len(self.place) + len(new))
+        self.learn(list(map(distinct.__getitem__, new.tolist())))
         flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
-        ends, get, out = np.frombuffer(self.ends, np.int64), self.place.__getitem__, []
-        for t, w in zip(texts, tables):
-            if w is None:
-                got = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-            else:
-                at = np.fromiter(map(get, w), np.int64, len(w))
-                n = ends[at + 1] - ends[at]
-                got = flat[np.repeat(ends[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            out.append(np.append(got, np.uint32(end)).astype(self.dtype))
+        ends = np.frombuffer(self.ends, np.int64)
+        at = at[coded.indices.to_numpy()]
+        begin, out, done = ends[at], [], 0
+        count = ends[at + 1] - begin
+        for n in sizes.tolist():
+            b, c = begin[done:done + n], count[done:done + n]
+            got = np.empty(int(c.sum()) + 1, self.dtype)
+            got[:-1] = flat[np.repeat(b - (np.cumsum(c) - c), c) + np.arange(len(got) - 1)]
+            got[-1] = end
+            out.append(got)
+            done += n
         del flat, ends  # views lock the growing arrays
         return out
 
 
+def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``size`` bytes; a longer text is a slice of its own."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin, total = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        total += n
+        if total >= size:
+            yield texts.slice(begin, i + 1 - begin)
+            begin, total = i + 1, 0
+    if begin < len(texts):
+        yield texts.slice(begin)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -236,7 +294,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end: int, window: int, gr
         numbers, tokens, row = Counter(), Counter(), 0
         for b in batches:
             doc_ids, at = b.column("doc_id"), 0
-            for block in blocks(b.column("text").to_pylist(), BLOCK_CHARS):
+            for block in slices(b.column("text"), SLICE_BYTES):
                 took, out = [], []
                 for ids in maker.ids(block, end):
                     for start in range(0, len(ids), window):
