@@ -18,9 +18,10 @@ from panelkit.operators import aggregates as A
 from panelkit.operators import filters as P
 from panelkit.operators import joins as J
 from panelkit.operators import reshape as U
+from panelkit.operators import segments as G
 from panelkit.operators import stats as S
 from panelkit.operators import windows as W
-from panelkit.operators.profile import column_profile, dataset_metadata
+from panelkit.operators.profile import column_profile, dataset_metadata, metadata_document
 from panelkit.plans import dashboard as D
 from panelkit.plans import etl as X
 from panelkit.plans import views as V
@@ -30,6 +31,7 @@ from panelkit.sources import readers, sinks
 from panelkit.spec import DEMOGRAPHIC_FACTORS, COVID_FACTORS, PanelSpec
 
 SPEC = PanelSpec()
+KEYED = PanelSpec(keyed=True)  # panels of fixtures.stored_keyed
 
 # Query parameters (the features' inputs, not data filters).
 COMPARE_ENTITIES = "NATION_1, nation_7 ,, Atlantis"
@@ -84,6 +86,10 @@ def _nl(s, d):
     return fx.stored(s, d, "nation_latest")
 
 
+def _cl(s, d):
+    return fx.stored(s, d, "customer_latest")
+
+
 def _er(s, d):
     return P.parse_dates(fx.stored(s, d, "event_reports"), SPEC)
 
@@ -168,11 +174,11 @@ def q_exclude_aggregates(s, d):
 
 
 def q_entity_history(s, d):
-    return V.history(_nr(s, d), SPEC, HISTORY_ENTITY)
+    return P.entity_history(fx.stored_keyed(s, d, "nation_raw"), KEYED, HISTORY_ENTITY)
 
 
 def q_entities_in(s, d):
-    return P.entities_in(_nl(s, d), SPEC, LATEST_ENTITIES)
+    return P.entities_in(fx.stored_keyed(s, d, "nation_latest"), KEYED, LATEST_ENTITIES)
 
 
 def q_entity_eq(s, d):
@@ -240,7 +246,7 @@ def q_aggregate_anti(s, d):
 
 
 def q_compare_timeseries(s, d):
-    return V.compare_timeseries(_nr(s, d), SPEC, COMPARE_ENTITIES, "new_cases", "1996-01-01", "1996-03-31")
+    return V.compare_timeseries(fx.stored_keyed(s, d, "nation_raw"), KEYED, COMPARE_ENTITIES, "new_cases", "1996-01-01", "1996-03-31")
 
 
 # ---------------------------------------------------------------- aggregations
@@ -257,6 +263,11 @@ def q_world_population(s, d):
     return A.world_statics(_nr(s, d), SPEC).select("population")
 
 
+def q_weighted_mean_nonnull(s, d):
+    return A.world_statics(_ud(s, d).withColumn("median_age", F.when(F.col("new_deaths") > 0, F.col("reproduction_rate"))), SPEC,
+                           weight_nonnull_only=True)
+
+
 def q_weighted_mean(s, d):
     return A.world_statics(_nr(s, d), SPEC)
 
@@ -306,7 +317,7 @@ def q_save_all_formats(s, d):
 
 
 def q_compare_nested(s, d):
-    n = V.compare_timeseries_nested(_nr(s, d), SPEC, COMPARE_ENTITIES, "new_cases", "1996-01-01", "1996-03-31")
+    n = V.compare_timeseries_nested(fx.stored_keyed(s, d, "nation_raw"), KEYED, COMPARE_ENTITIES, "new_cases", "1996-01-01", "1996-03-31")
     return n.select("entity", F.size("series").alias("points"), F.posexplode_outer("series")).select(
         "entity", "points", F.col("pos"), F.col("col.date").alias("date"), F.col("col.value").alias("value"))
 
@@ -315,6 +326,12 @@ def q_entity_count(s, d):
     return A.entity_count(_nr(s, d), SPEC)
 
 
+def q_entity_count_approx(s, d):
+    exact, approx = A.entity_count(_cl(s, d), SPEC), A.entity_count(_cl(s, d), SPEC, approx=True).withColumnRenamed("entities", "_a")
+    near = F.abs(F.col("_a") - F.col("entities")) <= 0.15 * F.col("entities")  # three standard deviations of the sketch
+    return J.join_one_row(exact, approx).select("entities", near.alias("near"))
+
+
 def q_date_bounds(s, d):
     return A.date_bounds(_ud(s, d), SPEC)
 
@@ -327,6 +344,63 @@ def q_group_rollup_share(s, d):
     return D.group_overview(_nl(s, d), SPEC, "total_cases")
 
 
+PERIOD_METRICS = ["new_cases", "new_deaths", "total_cases", "total_deaths", "stringency_index"]
+PERIOD_LABELS = [("new_cases", "Events a day"), ("total_cases", "Events so far"), ("stringency_index", "Highest value")]
+
+
+def q_period_view(s, d):
+    labels = s.createDataFrame(PERIOD_LABELS, "metric string, label string")
+    return D.period_view(_ud(s, d), SPEC, PERIOD_METRICS, labels, "2024-01-05", "2024-01-25")
+
+
+def q_period_series(s, d):
+    return D.period_analysis(_ud(s, d), SPEC, PERIOD_METRICS, "2024-01-05", "2024-01-25")
+
+
+def q_entity_moving_average(s, d):
+    m = W.moving_average(fx.stored_keyed(s, d, "type_day"), KEYED)
+    return P.entity_rows(m, KEYED, ["CLICK"]).drop(KEYED.ekey)
+
+
+def q_latest_for(s, d):
+    return V.latest(fx.stored_keyed(s, d, "nation_raw"), KEYED, LATEST_ENTITIES)
+
+
+def q_materialize_bucketed(s, d):
+    path = scratch_path(s, "bucketed")
+    t = sinks.materialize_bucketed(_td(s, d), SPEC, "panel_" + path.rsplit("-", 1)[1], path, buckets=8)
+    return W.moving_average(W.days_since_first(t, SPEC), SPEC, ["new_cases"])
+
+
+def q_scan_csv_files(s, d):
+    raw = fx.stored(s, d, "event_reports")
+    p = scratch_path(s, "scan_csv_files")
+    sinks.save_csv(raw.repartitionByRange(5, "_ord").sortWithinPartitions("_ord").drop("_ord"), p)
+    schema = ", ".join(f"{n} {'string' if n in ('location', 'date') else t}" for n, t in raw.drop("_ord").dtypes)
+    found = A.dedupe_last(readers.scan_csv(s, p, SPEC, schema=schema), SPEC)
+    return found.select("location", "date", "_ord", "new_cases", "hosp_patients")
+
+
+def q_metadata_document(s, d):
+    ud, p = _ud(s, d), scratch_path(s, "metadata")
+    sinks.save_json(metadata_document(ud, SPEC, {"origin": "events", "grain": "day"}), p)
+    schema = metadata_document(ud, SPEC).schema
+    m = s.read.schema(schema).option("dateFormat", "yyyy-MM-dd").json(p)
+    return m.select("total_rows", "total_columns", F.col("date_range.start").alias("date_start"), F.col("date_range.end").alias("date_end"),
+                    "locations", "data_types", F.col("custom")["origin"].alias("origin"), F.size("custom").alias("custom_entries"),
+                    F.posexplode("columns").alias("place", "column")).withColumn("type", F.col("data_types")[F.col("column")]).drop("data_types")
+
+
+def q_audit_samples(s, d):
+    ud = _ud(s, d)
+    cl = X.clean_pipeline(ud, SPEC).df
+    return D.audit_samples({"raw": ud, "cleaned": cl}, SPEC, ["new_cases", "total_cases", "icu_patients"], 5)
+
+
+def q_audit_reports(s, d):
+    return D.audit_reports({"clean": X.clean_pipeline(_er(s, d), SPEC), "impute": X.impute_pipeline(_ud(s, d), SPEC)})
+
+
 def q_period_flow_kpis(s, d):
     return A.period_flow_kpis(_td(s, d), SPEC, "new_tests", "2024-01-08", "2024-01-21")
 
@@ -397,6 +471,106 @@ def q_imputation_report(s, d):
     return X.impute_pipeline(_ud(s, d), SPEC).report()
 
 
+# ---------------------------------------------------------------- one row a customer: a cross-section that grows with the input
+
+BALANCE = "extreme_poverty"  # balance less all orders: large and negative
+CUSTOMER_FACTORS = ["gdp_per_capita", "population_density", "life_expectancy", "median_age"]
+
+
+def q_customer_rank(s, d):
+    return S.average_rank(_cl(s, d).select("location", BALANCE), [], BALANCE)
+
+
+def q_customer_rank_by_nation(s, d):
+    return S.average_rank(_cl(s, d).select("location", "continent", "total_cases"), ["continent"], "total_cases")
+
+
+def q_customer_trim(s, d):
+    return D.factor_rows(_cl(s, d), SPEC, BALANCE)
+
+
+def q_customer_trim_by_nation(s, d):
+    return S.iqr_trim(_cl(s, d).select("location", "continent", BALANCE), BALANCE, factor=0.5, keys=["continent"])
+
+
+def q_customer_trim_xy(s, d):
+    return S.iqr_trim_xy(_cl(s, d).select("location", "continent", BALANCE, "median_age"), BALANCE, "median_age")
+
+
+def q_customer_describe(s, d):
+    return S.describe_metric(_cl(s, d), BALANCE)
+
+
+def q_customer_describe_by_nation(s, d):
+    return S.describe_metric(_cl(s, d), BALANCE, ["continent"])
+
+
+def q_customer_nearest(s, d):
+    return S.nearest_to_center(_cl(s, d), _cl(s, d), "location", BALANCE)
+
+
+def q_customer_histogram(s, d):
+    return S.histogram(D.factor_rows(_cl(s, d), SPEC, BALANCE), BALANCE)
+
+
+def q_customer_box(s, d):
+    return S.box_stats(_cl(s, d), BALANCE, "continent")
+
+
+def q_box_outliers(s, d):
+    return S.box_outliers(_cl(s, d), "location", "total_tests", "continent", factor=1.0)
+
+
+def q_customer_spearman(s, d):
+    return S.spearman(_cl(s, d), "location", BALANCE, CUSTOMER_FACTORS)
+
+
+def q_customer_ols(s, d):
+    return D.factor_scatter_fit(_cl(s, d), SPEC, BALANCE, "gdp_per_capita")
+
+
+def q_customer_profile(s, d):
+    return column_profile(_cl(s, d), SPEC)
+
+
+def q_factor_study_full(s, d):
+    return D.factor_study(_cl(s, d), SPEC, "gdp_per_capita")
+
+
+def q_factor_study_log(s, d):
+    return D.factor_study(_cl(s, d), SPEC, "gdp_per_capita", log_scale=True, include_outliers=True)
+
+
+# ---------------------------------------------------------------- segmented windows (small segments, so that entities are cut)
+
+def q_segmented_static_fill(s, d):
+    return G.static_fill(_ud(s, d), SPEC, rows=500)
+
+
+def q_segmented_forward_fill(s, d):
+    return G.forward_fill(_ud(s, d), SPEC, rows=500)
+
+
+def q_segmented_running_total(s, d):
+    return G.running_total(_ud(s, d).drop("total_cases", "total_deaths"), SPEC, rows=500)
+
+
+def q_segmented_moving_average(s, d):
+    return G.moving_average(_td(s, d), SPEC, rows=20)
+
+
+def q_segmented_interpolate(s, d):
+    return G.interpolate_bounded(_ud(s, d), SPEC, rows=500)
+
+
+def q_segmented_fill_median(s, d):
+    return G.fill_statistic(_ud(s, d), SPEC)
+
+
+def q_segmented_cap_iqr(s, d):
+    return G.cap_iqr(_td(s, d), SPEC)
+
+
 # ---------------------------------------------------------------- windows
 
 def q_static_fill(s, d):
@@ -479,7 +653,7 @@ def q_compare_bar(s, d):
 
 
 def q_recent_first(s, d):
-    return V.history(_td(s, d), SPEC, "Click").orderBy(F.col("date").desc())
+    return P.entity_history(fx.stored_keyed(s, d, "type_day"), KEYED, "Click").orderBy(F.col("date").desc())
 
 
 # ---------------------------------------------------------------- set / reshape
@@ -500,7 +674,13 @@ def q_pivot_scores(s, d):
 
 
 def q_records_json(s, d):
-    return V.as_records(V.latest(_nr(s, d), SPEC))
+    return U.records_json(V.latest(_nr(s, d), SPEC))
+
+
+def q_records_json_parsed(s, d):
+    rows = V.latest(_nr(s, d), SPEC)
+    ddl = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return U.records_json(rows).select(F.from_json("record", ddl, {"dateFormat": "yyyy-MM-dd"}).alias("r")).select("r.*")
 
 
 # ---------------------------------------------------------------- scalars

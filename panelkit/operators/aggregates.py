@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.operators.joins import join_one_row
+from panelkit.session import cut_lineage
 from panelkit.spec import (
     AGGREGATE_NAMES, WORLD_CODE, WORLD_ENTITY, WORLD_GROUP, WORLD_SUM_COLUMNS,
     WORLD_WEIGHTED_COLUMNS, PanelSpec,
@@ -66,41 +67,73 @@ def world_sum_by_date(df: DataFrame, spec: PanelSpec, cols=None) -> DataFrame:
     return c.groupBy(T).agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("double").alias(x) for x in cols])
 
 
-def world_statics(df: DataFrame, spec: PanelSpec, weighted=None) -> DataFrame:
+def weighted_columns(columns, weighted, weight: str, nonnull_only: bool = False) -> list[F.Column]:
+    """A3 + A4 as aggregates over one row a country: the total weight and the weighted means.
+
+    A null statistic adds 0 to the numerator. By default its weight stays in
+    the denominator (Q3); ``nonnull_only`` leaves it out. The mean is null
+    when the denominator is not above 0.
+    """
+    total = F.coalesce(F.sum(weight), F.lit(0)).cast("double")
+    out = [total.alias(weight)]
+    for c in columns if weighted is None else weighted:
+        if c in columns:
+            below = F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col(weight))), F.lit(0)).cast("double") if nonnull_only else total
+            out.append(F.when(below > 0, F.try_divide(F.coalesce(F.sum(F.col(c) * F.col(weight)), F.lit(0.0)), below)).alias(c))
+    return out
+
+
+def world_statics(df: DataFrame, spec: PanelSpec, weighted=None, weight_nonnull_only: bool = False) -> DataFrame:
     """A3 + A4: one row with the total weight over the last record per country and
-    the weight-averaged statics. A null statistic adds 0 to the numerator while its
-    weight stays in the denominator; the mean is null when the total weight <= 0."""
+    the weight-averaged statics (``weighted_columns``)."""
     W = spec.weight
     weighted = [c for c in (WORLD_WEIGHTED_COLUMNS if weighted is None else weighted) if c in df.columns]
-    last = last_per_entity(df.where(is_country(spec)), spec)
-    total = F.coalesce(F.sum(W), F.lit(0)).cast("double")
-    aggs = [total.alias(W)]
-    for c in weighted:
-        num = F.coalesce(F.sum(F.col(c) * F.col(W)), F.lit(0.0))
-        aggs.append(F.when(total > 0, F.try_divide(num, total)).alias(c))
-    return last.agg(*aggs)
+    last = df.where(is_country(spec) & F.col(spec.entity).isNotNull()).groupBy(spec.entity).agg(
+        *[F.max_by(c, spec.ord).alias(c) for c in [W, *weighted]])
+    return last.agg(*weighted_columns(weighted, None, W, weight_nonnull_only))
+
 
+def rollup_parts(df: DataFrame, spec: PanelSpec, sum_cols, weighted) -> DataFrame:
+    """A1-A4 from one scan: each country row counts in two grouping sets, its date and its entity.
 
-def world_rollup(df: DataFrame, spec: PanelSpec, sum_cols=None, weighted=None) -> DataFrame:
+    ``_set`` 0 has the sums of a date (``_t``), ``_set`` 1 the statics of the
+    last record of an entity (``_e``). All buffers are numbers, so both halves
+    of the aggregate are hash aggregates. The result has a row a date and a row an entity.
+    """
+    E, T, O, W = spec.entity, spec.time, spec.ord, spec.weight
+    statics = [W, *weighted] if W in df.columns else []
+    d = df.where(is_country(spec)).select(E, T, O, *dict.fromkeys([*sum_cols, *statics]))
+    tagged = d.withColumn("_set", F.explode(F.array(F.lit(0), F.lit(1)))).where((F.col("_set") == 1) | F.col(T).isNotNull())
+    by_date, by_entity = F.col("_set") == 0, F.col("_set") == 1
+    return tagged.groupBy("_set", F.when(by_date, F.col(T)).alias("_t"), F.when(by_entity, F.col(E)).alias("_e")).agg(
+        *[F.sum(F.when(by_date, F.col(c))).alias(f"_s_{c}") for c in sum_cols],
+        *[F.max_by(c, F.when(by_entity, F.col(O))).alias(f"_l_{c}") for c in statics])
+
+
+def world_rollup(df: DataFrame, spec: PanelSpec, sum_cols=None, weighted=None, weight_nonnull_only: bool = False) -> DataFrame:
     """A5: countries plus a recomputed world row per date.
 
     Source aggregates (null group, or an existing world row) are dropped.
-    If there is no country row the input is returned unchanged (the world
-    aggregates are then empty too).
+    If there is no country row the input is returned unchanged. The aggregates
+    are taken in one scan and stored (a row a date and a row an entity); the
+    returned plan scans the source once more, for the country rows.
     """
-    E, T, G, C, O = spec.entity, spec.time, spec.group, spec.code, spec.ord
-    # "no country row -> input unchanged", kept lazy with a one-row flag
-    flag = df.agg(F.max(is_country(spec)).alias("_has_c"))
-    countries = join_one_row(df, flag).where(
-        is_country(spec) | ~F.coalesce(F.col("_has_c"), F.lit(False))).drop("_has_c")
-    per_date = world_sum_by_date(df, spec, sum_cols)
-    if spec.weight in df.columns:
-        per_date = join_one_row(per_date, world_statics(df, spec, weighted))
-    world = per_date.withColumns({
+    E, T, G, C, O, W = spec.entity, spec.time, spec.group, spec.code, spec.ord, spec.weight
+    sum_cols = [c for c in (WORLD_SUM_COLUMNS if sum_cols is None else sum_cols) if c in df.columns]
+    weighted = [c for c in (WORLD_WEIGHTED_COLUMNS if weighted is None else weighted) if c in df.columns]
+    parts = cut_lineage(rollup_parts(df, spec, sum_cols, weighted))
+    if parts.isEmpty():
+        return df
+    world = parts.where("_set = 0").select(F.col("_t").alias(T), *[
+        F.coalesce(F.col(f"_s_{c}"), F.lit(0)).cast("double").alias(c) for c in sum_cols])
+    if W in df.columns:
+        last = parts.where("_set = 1 AND _e IS NOT NULL").select(*[F.col(f"_l_{c}").alias(c) for c in [W, *weighted]])
+        world = join_one_row(world, last.agg(*weighted_columns(weighted, None, W, weight_nonnull_only)))
+    world = world.withColumns({
         E: F.lit(WORLD_ENTITY), C: F.lit(WORLD_CODE), G: F.lit(WORLD_GROUP), O: F.lit(0).cast("long")})
     world = world.select(*[F.col(c).cast(df.schema[c].dataType) if c in df.columns else F.col(c)
                            for c in world.columns])
-    return countries.unionByName(world, allowMissingColumns=True)
+    return df.where(is_country(spec)).unionByName(world, allowMissingColumns=True)
 
 
 def entity_list(df: DataFrame, spec: PanelSpec, col: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType
+from pyspark.sql.types import DoubleType, FloatType
 
 from panelkit.functions.scalar import inf_to_null, parse_date
 from panelkit.operators.aggregates import is_country
@@ -24,12 +24,6 @@ def select_numeric(df: DataFrame, spec: PanelSpec, exclude=(), include_only=())
     return df.select(spec.entity, *cols)
 
 
-def metric_names(df: DataFrame, spec: PanelSpec) -> list[str]:
-    """Sorted metric names (all columns minus the key columns). Schema only."""
-    keys = {spec.entity, spec.time, spec.group, spec.code, spec.ord}
-    return sorted(c for c in df.columns if c not in keys)
-
-
 def drop_intermediate(df: DataFrame, names=None) -> DataFrame:
     """Drop the intermediate feature columns that exist; Catalyst then
     removes the windows that only fed them."""
@@ -57,11 +51,21 @@ def exclude_aggregates(df: DataFrame, spec: PanelSpec, names=None) -> DataFrame:
     return df.where(not_aggregate(spec, names))
 
 
+def entity_key(df: DataFrame, spec: PanelSpec) -> F.Column:
+    """The lower-case entity: the stored key column where the panel has one (a predicate on it reaches the scan), else an expression."""
+    return F.col(spec.ekey) if spec.ekey in df.columns else F.lower(F.col(spec.entity))
+
+
+def entity_rows(df: DataFrame, spec: PanelSpec, names) -> DataFrame:
+    """Rows whose lower-case entity is one of ``names``; the key column stays, so windows can follow."""
+    k, names = entity_key(df, spec), [n.lower() for n in names]
+    return df.where(k == F.lit(names[0]) if len(names) == 1 else k.isin(*names))
+
+
 def entity_history(df: DataFrame, spec: PanelSpec, name: str) -> DataFrame:
-    """P8 (+P20): all rows of one entity, matched case-insensitively, with
+    """P8 (+P20), X6: all rows of one entity, matched case-insensitively, with
     +-Inf/NaN turned into null."""
-    d = df.where(F.lower(F.col(spec.entity)) == F.lit(name.lower()))
-    return sanitize_output(d)
+    return sanitize_output(entity_rows(df, spec, [name])).drop(spec.ekey)
 
 
 def parse_entity_list(text: str) -> list[str]:
@@ -74,7 +78,7 @@ def parse_entity_list(text: str) -> list[str]:
 
 def entities_in(df: DataFrame, spec: PanelSpec, text: str) -> DataFrame:
     """Case-insensitive IN over a comma list."""
-    return df.where(F.lower(F.col(spec.entity)).isin(*parse_entity_list(text)))
+    return entity_rows(df, spec, parse_entity_list(text)).drop(spec.ekey)
 
 
 def entity_eq(df: DataFrame, spec: PanelSpec, names) -> DataFrame:
@@ -150,15 +154,3 @@ def sanitize_output(df: DataFrame) -> DataFrame:
     """P20: +-Inf and NaN -> null on floating columns."""
     fl = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
     return df.withColumns({c: inf_to_null(c) for c in fl}) if fl else df
-
-
-def inf_to_null_all(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    """F2 over every numeric metric."""
-    fl = [f.name for f in df.schema.fields
-          if isinstance(f.dataType, (DoubleType, FloatType)) and f.name not in spec.keys]
-    return df.withColumns({c: inf_to_null(c) for c in fl}) if fl else df
-
-
-def numeric_metric_columns(df: DataFrame, spec: PanelSpec) -> list[str]:
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, NumericType) and f.name not in spec.keys]

@@ -77,7 +77,8 @@ def metric_label_join(metrics: DataFrame, dictionary: DataFrame, name_col: str =
 def entity_semi(df: DataFrame, spec: PanelSpec, wanted: DataFrame, col: str = "name") -> DataFrame:
     """Keep rows whose lower-cased entity is in ``wanted`` (left semi join)."""
     w = wanted.select(F.lower(F.trim(F.col(col))).alias("_k")).where(F.col("_k") != "").distinct()
-    return join_small(df.withColumn("_k", F.lower(F.col(spec.entity))), w, "_k", "left_semi").drop("_k")
+    key = F.col(spec.ekey) if spec.ekey in df.columns else F.lower(F.col(spec.entity))
+    return join_small(df.withColumn("_k", key), w, "_k", "left_semi").drop("_k", spec.ekey)
 
 
 def aggregate_anti(df: DataFrame, spec: PanelSpec, names=None) -> DataFrame:

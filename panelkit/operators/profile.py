@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from panelkit.operators.joins import join_small
-from panelkit.operators.stats import quantile_columns
+from panelkit.operators.stats import bin_of, border_sketch, quantile_columns
 from panelkit.spec import PanelSpec
 
 
@@ -30,6 +30,27 @@ def dataset_metadata(df: DataFrame, spec: PanelSpec, custom: dict | None = None)
     return out
 
 
+def metadata_document(df: DataFrame, spec: PanelSpec, custom: dict | None = None) -> DataFrame:
+    """A24 as one nested row: counts, array of names, struct of the date range, map of types, custom map.
+
+    Written by ``sinks.save_json`` it is one JSON object.
+    """
+    T, E = spec.time, spec.entity
+    none = F.lit(None).cast("date")
+    span = [F.min(T), F.max(T)] if T in df.columns else [none, none]
+    locations = F.count_distinct(E) if E in df.columns else F.lit(0)
+    texts = lambda d: F.create_map(*[F.lit(x) for kv in d for x in kv]) if d else F.create_map().cast("map<string,string>")
+    return df.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.struct(span[0].alias("start"), span[1].alias("end")).alias("date_range"),
+        locations.cast("long").alias("locations"),
+    ).select(
+        "total_rows", F.lit(len(df.columns)).cast("long").alias("total_columns"),
+        F.array(*[F.lit(c) for c in df.columns]).alias("columns"), "date_range", "locations",
+        texts(df.dtypes).alias("data_types"),
+        texts([(str(k), str(v)) for k, v in sorted((custom or {}).items())]).alias("custom"))
+
+
 def _kind(dt) -> str | None:
     if isinstance(dt, NumericType):
         return "numeric"
@@ -47,7 +68,8 @@ def column_profile(df: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
     Numbers are profiled as doubles, dates as day numbers (days since
     1970-01-01; no std, as for date columns in the surveyed profile), strings
     get unique/top/freq (top = most frequent, smallest value on ties).
-    Quartiles are exact and distributed (``quantile_columns``).
+    Quartiles are exact and distributed (``quantile_columns``): rows x columns
+    values are never shuffled.
     """
     skip = {spec.ord} if spec else set()
     kinds = {f.name: _kind(f.dataType) for f in df.schema.fields if f.name not in skip}
@@ -57,6 +79,7 @@ def column_profile(df: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
         k = kinds[c]
         return F.unix_date(F.to_date(F.col(c))).cast("double") if k == "date" else F.col(c).cast("double")
 
+    # One scan: the statistics and a border sketch of every number column, one row on the driver.
     base = []
     for c, k in kinds.items():
         x = num(c) if k != "string" else None
@@ -71,14 +94,18 @@ def column_profile(df: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
             F.count_if(F.col(c).isNull()).alias("missing_count"),
             F.round(F.avg(F.col(c).isNull().cast("double")) * 100, 2).alias("missing_percentage"),
         ))
-    wide = df.agg(F.array(*base).alias("_s")).select(F.explode("_s").alias("s")).select("s.*")
-
     numc = [c for c, k in kinds.items() if k != "string"]
-    out = wide
+    sketches = [border_sketch(F.when(~F.isnan(num(c)), num(c))).alias(f"_b{i}") for i, c in enumerate(numc)]
+    first = df.agg(F.array(*base).alias("_s"), *sketches).first()
+    spark = df.sparkSession
+    out = spark.createDataFrame(first["_s"], "column string, kind string, count long, mean double, std double, min double, "
+                                "max double, missing_count long, missing_percentage double")
     if numc:
+        # Values meet their bin in the scan; only counts per bin and the bins around the quartiles are shuffled.
         melted = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), num(c).alias("v")) for c in numc])).alias("m")).select("m.*")
-        qs = quantile_columns(melted, ["column"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+            F.struct(F.lit(c).alias("column"), num(c).alias("v"), bin_of(num(c), first[f"_b{i}"]).alias("_bin"))
+            for i, c in enumerate(numc)])).alias("m")).select("m.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+        qs = quantile_columns(melted, ["column"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rows=melted)
         out = join_small(out, qs, "column", "left")
     else:
         out = out.withColumns({q: F.lit(None).cast("double") for q in ("q25", "q50", "q75")})

@@ -3,105 +3,205 @@
 A cross-section has one row per entity, so it grows with the number of
 entities. Ranks and exact quantiles are therefore never computed with a
 window over the whole column (one task) nor with an exact ``percentile``
-aggregate (all distinct values merged in one task). ``value_positions``
-instead:
-
-1. collapses equal values with a partial aggregation (a hot value is one row),
-2. deals the distinct values of a key to ``BINS`` ascending bins between its
-   extremes (equal steps of asinh, so long tails spread too),
-3. numbers the values inside each bin (window by key and bin),
-4. adds the totals of the earlier bins, from a table of one row per
-   (key, bin): its size is bounded by keys x BINS, not by the data.
-
-A value's bin depends on the value and the extremes alone, so all branches of
-a plan agree on it. There is one path for every input size; null values have
-no rank and null keys are a group of their own.
+aggregate (all distinct values merged in one task). Instead:
+
+1. The values are stored once as a narrow table; all later steps read it.
+2. A mergeable quantile sketch (``percentile_approx``) gives the borders of
+   ``BINS`` bins. Its rank error is below 1 / ACCURACY, so without ties a bin
+   holds at most 1 / BINS + 2 / ACCURACY of the rows, however they are spread.
+   The borders go through the driver (BINS numbers), so that every later step
+   uses the same ones.
+3. Rows per (key, bin) are counted with a partial aggregation; a running sum
+   of these counts (a table of keys x BINS rows at most) says where a bin begins.
+4. A quantile looks only at the bins that hold its two places; a rank numbers
+   the distinct values inside each bin. Equal values are collapsed by a
+   partial aggregation first, so a hot value is one row a task.
+
+One set of borders serves all keys: a bin of one key is never larger than the
+bin of all. Null values have no rank, and null keys are a group of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import sign_label
 from panelkit.operators.joins import join_one_row, join_small, null_safe_join
+from panelkit.session import cut_lineage
 from panelkit.spec import (
     HIGHER_IS_BETTER, HISTOGRAM_BINS, LOWER_IS_BETTER, MIN_CORRELATION_ROWS, TOP_K, TRIM_FACTOR,
 )
 
-BINS = 4096
+BINS = 1024  # a power of two: a value finds its bin by halving
+ACCURACY = 20_000
 
 
-def value_positions(df: DataFrame, keys, value: str) -> DataFrame:
-    """(keys, value, _cnt, _before, _n): ``_before`` = rows with a smaller value in the key, ``_n`` = its rows; nulls and NaN have no row."""
-    keys = list(keys or [])
+def _is_value(value: str) -> Column:
     v = F.col(value)
-    d = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    ends = F.asinh(v.cast("double"))
-    lim = d.groupBy(*keys).agg(F.min(ends).alias("_lo"), F.max(ends).alias("_hi"))
-    d = null_safe_join(d, lim, keys)
-    share = (ends - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    # equal or infinite extremes give no share: the first bin, and the last for +inf
-    d = d.withColumn("_bin", F.when(v.cast("double") == float("inf"), BINS).when(F.col("_hi") > F.col("_lo"), F.coalesce(
-        F.floor(F.nanvl(share, F.lit(0.0)) * (BINS - 1)), F.lit(0))).otherwise(0).cast("int")).drop("_lo", "_hi")
-    part = d.groupBy(*keys, "_bin").agg(F.sum("_cnt").alias("_ptot"))
-    off = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(*keys, "_bin", F.coalesce(F.sum("_ptot").over(off), F.lit(0)).alias("_off"),
-                       F.sum("_ptot").over(Window.partitionBy(*keys)).alias("_n"))
-    j = null_safe_join(d, part, [*keys, "_bin"])
-    loc = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(*keys, value, "_cnt", (F.col("_off") + F.sum("_cnt").over(loc) - F.col("_cnt")).alias("_before"), "_n")
-
-
-def average_rank(df: DataFrame, keys, value: str, out: str = "rank") -> DataFrame:
-    """Average rank of the non-null values (ties share the mean of their positions, 1-based); null values get null."""
+    return v.isNotNull() & ~F.isnan(v.cast("double"))
+
+
+def border_sketch(value: Column) -> Column:
+    """Aggregate: the BINS - 1 borders of a column, null where it has no values."""
+    probs = "array(" + ",".join(f"{i / BINS!r}D" for i in range(1, BINS)) + ")"
+    return F.percentile_approx(value, F.expr(probs), ACCURACY)
+
+
+def bin_of(value: Column, borders: list[float] | None) -> Column:
+    """Number of the bin of a value: how many borders lie below it (halving, ten steps for 1,024 bins)."""
+    if not borders:
+        return F.lit(0)
+    text = {math.inf: "double('infinity')", -math.inf: "double('-infinity')"}
+    listed = F.expr("array(" + ",".join(text.get(b, f"{b!r}D") for b in map(float, borders)) + ")")
+    halves = F.expr("array(" + ",".join(str(BINS >> k) for k in range(1, BINS.bit_length())) + ")")
+    return F.aggregate(halves, F.lit(0), lambda at, h: at + F.when(F.element_at(listed, at + h) < value, h).otherwise(0))
+
+
+def binned(df: DataFrame, value: str, keep=(), store: bool = True) -> DataFrame:
+    """The rows with a value: columns ``keep``, the value and its ``_bin``; stored as a narrow table unless ``df`` already is one."""
+    rows = df.where(_is_value(value)).select(*dict.fromkeys([*keep, value]))
+    if store:
+        rows = cut_lineage(rows)
+    borders = rows.agg(border_sketch(F.col(value).cast("double"))).first()[0]
+    return rows.withColumn("_bin", bin_of(F.col(value).cast("double"), borders))
+
+
+def bin_offsets(rows: DataFrame, keys) -> DataFrame:
+    """(keys, _bin, _in, _off, _n): rows of the key in the bin, in earlier bins and at all."""
+    keys = list(keys)
+    part = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in"))
+    of_key = Window.partitionBy(*keys)
+    running = of_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    return part.select(*keys, "_bin", "_in", (F.sum("_in").over(running) - F.col("_in")).alias("_off"),
+                       F.sum("_in").over(of_key).alias("_n"))
+
+
+def value_positions(rows: DataFrame, offsets: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, value, _cnt, _before, _n) of the distinct values of ``binned`` rows in the bins of ``offsets``.
+
+    ``_before`` = rows of the key with a smaller value, ``_n`` = all its rows.
+    """
+    keys = list(keys)
+    d = rows.groupBy(*keys, "_bin", value).agg(F.count(F.lit(1)).alias("_cnt"))
+    j = null_safe_join(d, offsets.select(*keys, "_bin", "_off", "_n"), [*keys, "_bin"])
+    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return j.select(*keys, value, "_cnt", (F.col("_off") + F.sum("_cnt").over(inside) - F.col("_cnt")).alias("_before"), "_n")
+
+
+def average_rank(df: DataFrame, keys, value: str, out: str = "rank", store: bool = True) -> DataFrame:
+    """Average rank of the non-null values (ties share the mean of their positions, 1-based); null values get null.
+
+    ``store=False`` is for a ``df`` that is a stored narrow table itself.
+    """
     keys = list(keys or [])
-    pos = value_positions(df, keys, value).select(
+    rows = binned(df, value, keys, store)
+    pos = value_positions(rows, bin_offsets(rows, keys), keys, value).select(
         *keys, value, (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(out))
     return null_safe_join(df, pos, [*keys, value], "left")
 
 
-def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
-    """Exact linear-interpolated quantiles per key: (keys, p, q)."""
-    keys = list(keys or [])
-    wide = quantile_columns(df, keys, value, {f"_q{i}": p for i, p in enumerate(probs)})
-    pairs = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"_q{i}").alias("q")) for i, p in enumerate(probs)])
-    return wide.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.p", "_x.q")
+def _places(n, p: float):
+    """Lower and upper place (0-based) of a linearly interpolated quantile, and the weight of the upper."""
+    at = (n - 1) * p
+    lo = math.floor(at)
+    return lo, math.ceil(at), at - lo
+
 
+def quantile_row(rows: DataFrame, value: str, named: dict) -> tuple[dict[str, float], int]:
+    """Exact quantiles of all ``binned`` rows as numbers, and the number of rows; no rows: no quantiles.
 
-def quantile_columns(df: DataFrame, keys, value: str, named: dict, count: str | None = None) -> DataFrame:
+    Two small results reach the driver: the row count of each bin, and the at
+    most two values that each quantile lies between.
+    """
+    counts = dict(rows.groupBy("_bin").agg(F.count(F.lit(1)).alias("c")).collect())
+    n = sum(counts.values())
+    if not n:
+        return {}, 0
+    off, begin = 0, {}
+    for b in sorted(counts):
+        begin[b] = off
+        off += counts[b]
+    places = {name: _places(n, p) for name, p in named.items()}
+    asked = sorted({x for lo, hi, _ in places.values() for x in (lo, hi)})
+    bins = sorted({max(b for b in begin if begin[b] <= x) for x in asked})
+    here = rows.where(F.col("_bin").isin(bins)).groupBy("_bin", value).agg(F.count(F.lit(1)).alias("_cnt"))
+    inside = Window.partitionBy("_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.expr("CASE " + " ".join(f"WHEN _bin = {b} THEN {begin[b]}" for b in bins) + " END").cast("long")
+    last = first + F.sum("_cnt").over(inside) - 1
+    found = here.select(F.col(value).cast("double").alias("v"), (last - F.col("_cnt") + 1).alias("a"), last.alias("b"))
+    hits = found.where(" OR ".join(f"{x} BETWEEN a AND b" for x in asked)).collect()
+    at = {x: next(r["v"] for r in hits if r["a"] <= x <= r["b"]) for x in asked}
+    return {name: at[lo] if at[lo] == at[hi] else at[lo] + (at[hi] - at[lo]) * w for name, (lo, hi, w) in places.items()}, n
+
+
+def quantile_columns(df: DataFrame, keys, value: str, named: dict, count: str | None = None,
+                     rows: DataFrame | None = None) -> DataFrame:
     """Exact quantiles as columns, e.g. ``{"q1": .25, "median": .5, "q3": .75}``; one row per key with values.
 
-    ``count`` names a further column for the number of values.
+    ``count`` names a further column for the number of values; ``rows`` are the
+    ``binned`` rows of ``df`` (or of a larger table) if there are some already.
+    The result is stored (one row a key), so its size is known where it is joined.
     """
     keys = list(keys or [])
-    j = value_positions(df, keys, value)
-    first, last = F.col("_before"), F.col("_before") + F.col("_cnt") - 1
+    rows = binned(df, value, keys) if rows is None else rows
+    at = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in named.items()}
+    ends = {name: (F.floor(x), F.ceil(x)) for name, x in at.items()}
+    wanted = F.lit(False)
+    for places in ends.values():
+        for x in places:
+            wanted = wanted | ((x >= F.col("_off")) & (x < F.col("_off") + F.col("_in")))
+    bins = cut_lineage(bin_offsets(rows, keys).where(wanted).select(*keys, "_bin", "_off", "_n"))
+    names = {c: f"_of_{c}" for c in [*keys, "_bin"]}
+    small = bins.select(*[F.col(c).alias(k) for c, k in names.items()])
+    same = F.lit(True)
+    for c, k in names.items():
+        same = same & rows[c].eqNullSafe(small[k])
+    j = value_positions(join_small(rows, small, same, "left_semi"), bins, keys, value)
+    first, last, v = F.col("_before"), F.col("_before") + F.col("_cnt") - 1, F.col(value).cast("double")
     aggs, out = [F.first("_n").alias("_n")], []
-    for name, p in named.items():
-        at = (F.col("_n") - 1) * F.lit(float(p))
-        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            aggs.append(F.max(F.when((first <= place) & (last >= place), F.col(value))).alias(f"_{side}_{name}"))
+    for name in named:
+        for side, place in zip(("lo", "hi"), ends[name]):
+            aggs.append(F.max(F.when((first <= place) & (last >= place), v)).alias(f"_{side}_{name}"))
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return j.groupBy(*keys).agg(*aggs).select(*keys, *out, *([F.col("_n").alias(count)] if count else []))
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at[name] - ends[name][0])).alias(name))
+    found = j.groupBy(*keys).agg(*aggs).where(F.col("_n").isNotNull())
+    return cut_lineage(found.select(*keys, *out, *([F.col("_n").alias(count)] if count else [])))
 
 
-def _attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
+def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
+    """Exact linear-interpolated quantiles per key: (keys, p, q)."""
     keys = list(keys or [])
-    return null_safe_join(df, stats, keys, "left")
+    wide = quantile_columns(df, keys, value, {f"_q{i}": p for i, p in enumerate(probs)})
+    pairs = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.col(f"_q{i}").alias("q")) for i, p in enumerate(probs)])
+    return wide.select(*keys, F.explode(pairs).alias("_x")).select(*keys, "_x.p", "_x.q")
+
+
+def trim_bounds(q1: float, q3: float, factor: float) -> tuple[float, float]:
+    """The inclusive range of P15; an IQR of 0 or less counts as 1."""
+    iqr = q3 - q1 if q3 - q1 > 0 else 1.0
+    return q1 - factor * iqr, q3 + factor * iqr
 
 
 def iqr_trim(df: DataFrame, value: str, factor: float = TRIM_FACTOR, keys=()) -> DataFrame:
     """Keep rows inside [Q1-f*IQR, Q3+f*IQR] (inclusive) when more than one
-    row is present; IQR <= 0 is replaced by 1."""
-    keys = list(keys or [])
-    d = df.where(F.col(value).isNotNull())
-    st = quantile_columns(d, keys, value, {"_q1": 0.25, "_q3": 0.75}, count="_n")
+    row is present; IQR <= 0 is replaced by 1. Without keys the bounds are two
+    numbers, so the filter on a stored column reaches its scan."""
+    keys, v = list(keys or []), F.col(value)
+    d = df.where(v.isNotNull())
+    named = {"_q1": 0.25, "_q3": 0.75}
+    if not keys:
+        q, n = quantile_row(binned(d, value), value, named)
+        if n <= 1:
+            return d
+        lo, hi = trim_bounds(q["_q1"], q["_q3"], factor)
+        return d.where((v >= F.lit(lo)) & (v <= F.lit(hi)))
+    st = quantile_columns(d, keys, value, named, count="_n")
     iqr = F.when((F.col("_q3") - F.col("_q1")) > 0, F.col("_q3") - F.col("_q1")).otherwise(F.lit(1.0))
     st = st.select(*keys, "_n", (F.col("_q1") - factor * iqr).alias("_lo"), (F.col("_q3") + factor * iqr).alias("_hi"))
-    j = _attach(d, st, keys)
-    v = F.col(value)
+    j = null_safe_join(d, st, keys, "left")
     return j.where((F.col("_n") <= 1) | ((v >= F.col("_lo")) & (v <= F.col("_hi")))).drop("_n", "_lo", "_hi")
 
 
@@ -111,15 +211,26 @@ def iqr_trim_xy(df: DataFrame, x: str, y: str, factor: float = TRIM_FACTOR) -> D
     return iqr_trim(iqr_trim(d, x, factor), y, factor)
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def describe_metric(df: DataFrame, value: str, keys=()) -> DataFrame:
     """Mean, median, sample std, n, Q1, Q3."""
     keys = list(keys or [])
-    d = df.where(F.col(value).isNotNull())
+    rows = binned(df, value, keys)
+    return describe_rows(rows, value, keys)
+
+
+def describe_rows(rows: DataFrame, value: str, keys=()) -> DataFrame:
+    """A18 over ``binned`` rows."""
+    keys = list(keys)
     aggs = [F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(F.lit(1)).alias("n")]
-    base = d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
-    qs = quantile_columns(d, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    out = null_safe_join(base, qs, keys, "left")
-    return out.select(*keys, "mean", "median", "std", "n", "q1", "q3")
+    names = [*keys, "mean", "median", "std", "n", "q1", "q3"]
+    if not keys:
+        q, _ = quantile_row(rows, value, QUARTILES)
+        return rows.agg(*aggs).withColumns({k: F.lit(q.get(k)).cast("double") for k in QUARTILES}).select(*names)
+    qs = quantile_columns(rows, keys, value, QUARTILES, rows=rows)
+    return null_safe_join(rows.groupBy(*keys).agg(*aggs), qs, keys, "left").select(*names)
 
 
 def nearest_to_center(stats_rows: DataFrame, search_rows: DataFrame, entity: str, value: str) -> DataFrame:
@@ -152,40 +263,61 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
                     "count")
 
 
-def box_stats(df: DataFrame, value: str, group: str, factor: float = 1.5) -> DataFrame:
-    """Per group quartiles, 1.5*IQR fences, whiskers (extreme values inside
-    the fences) and outlier count."""
-    d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    qs = quantile_columns(d, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    qs = qs.withColumns({
+def box_fences(rows: DataFrame, value: str, group: str, factor: float = 1.5) -> DataFrame:
+    """Quartiles and 1.5*IQR fences of each group of ``binned`` rows, stored: one row a group."""
+    qs = quantile_columns(rows, [group], value, QUARTILES, rows=rows)
+    return qs.withColumns({
         "lower_fence": F.col("q1") - factor * (F.col("q3") - F.col("q1")),
         "upper_fence": F.col("q3") + factor * (F.col("q3") - F.col("q1")),
     })
-    j = join_small(d, qs, group, "inner")
+
+
+def beside_fences(rows: DataFrame, fences: DataFrame, value: str, group: str) -> tuple[DataFrame, Column]:
+    """Rows with the fences of their group (broadcast by the size of the stored fences), and whether they lie inside."""
+    v = F.col(value)
+    return join_small(rows, fences, group, "inner"), (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
+
+
+def box_stats(df: DataFrame, value: str, group: str, factor: float = 1.5, rows: DataFrame | None = None) -> DataFrame:
+    """Per group quartiles, 1.5*IQR fences, whiskers (extreme values inside
+    the fences) and outlier count; the points are in ``box_outliers``."""
+    rows = binned(df.where(F.col(group).isNotNull()), value, [group]) if rows is None else rows
+    j, inside = beside_fences(rows, box_fences(rows, value, group, factor), value, group)
+    first = [F.first(c).alias(c) for c in ("q1", "median", "q3", "lower_fence", "upper_fence")]
     v = F.col(value)
-    inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
     return j.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.first("lower_fence").alias("lower_fence"), F.first("upper_fence").alias("upper_fence"),
+        F.count(F.lit(1)).alias("n"), *first,
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
     )
 
 
+def box_outliers(df: DataFrame, entity: str, value: str, group: str, factor: float = 1.5) -> DataFrame:
+    """The points outside the fences of their group, with the fence that they cross."""
+    rows = binned(df.where(F.col(group).isNotNull()), value, [entity, group])
+    j, inside = beside_fences(rows, box_fences(rows, value, group, factor), value, group)
+    high = F.col(value) > F.col("upper_fence")
+    return j.where(~inside).select(
+        group, entity, value, F.when(high, F.lit("high")).otherwise(F.lit("low")).alias("side"),
+        F.when(high, F.col("upper_fence")).otherwise(F.col("lower_fence")).alias("fence"))
+
+
 def spearman(df: DataFrame, entity: str, outcome: str, factors, min_rows: int = MIN_CORRELATION_ROWS) -> DataFrame:
     """Spearman correlation of ``outcome`` with each factor over the rows
-    where all of them are present; no result below ``min_rows`` rows."""
+    where all of them are present; no result below ``min_rows`` rows.
+
+    An entity's ranks come back together in one aggregate, so all correlations are taken in a single pass.
+    """
     factors = [f for f in factors if f in df.columns and f != outcome]
-    d = df.dropna(subset=[outcome, *factors]).select(entity, outcome, *factors)
-    long = d.unpivot([entity], [outcome, *factors], "factor", "value")
-    ranked = average_rank(long, ["factor"], "value", "rank")
-    y = ranked.where(F.col("factor") == outcome).select(entity, F.col("rank").alias("_ry"))
-    x = ranked.where(F.col("factor") != outcome)
-    j = x.join(y, entity, "inner")
-    return j.groupBy("factor").agg(F.corr("rank", "_ry").alias("rho"), F.count(F.lit(1)).alias("n")).where(
-        F.col("n") >= min_rows)
+    all_of = [outcome, *factors]
+    d = cut_lineage(df.dropna(subset=all_of).where(F.col(entity).isNotNull()).select(entity, *all_of))
+    long = d.unpivot([entity], all_of, "factor", "value")
+    ranked = average_rank(long, ["factor"], "value", "rank", store=False)
+    wide = ranked.groupBy(entity).agg(*[F.max(F.when(F.col("factor") == c, F.col("rank"))).alias(f"r{i}") for i, c in enumerate(all_of)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("factor"), F.corr(f"r{i}", "r0").alias("rho"), F.count(F.lit(1)).alias("n"))
+                      for i, c in enumerate(all_of) if i])
+    return wide.agg(pairs.alias("_p")).select(F.inline("_p")).where(F.col("n") >= min_rows)
 
 
 def topk_correlation(corr: DataFrame, k: int = TOP_K) -> DataFrame:

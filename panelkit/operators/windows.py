@@ -24,11 +24,11 @@ UNF = Window.unboundedFollowing
 
 
 def w_entity(spec: PanelSpec) -> Window:
-    return Window.partitionBy(spec.entity)
+    return Window.partitionBy(*spec.partition)
 
 
 def w_time(spec: PanelSpec) -> Window:
-    return Window.partitionBy(spec.entity).orderBy(
+    return Window.partitionBy(*spec.partition).orderBy(
         F.col(spec.time).asc_nulls_last(), F.col(spec.ord).asc_nulls_last())
 
 
@@ -46,7 +46,7 @@ def w_next(spec: PanelSpec) -> Window:
     An unbounded-following frame is recomputed per row; the reversed order
     with an unbounded-preceding frame gives the same values in linear time.
     """
-    return Window.partitionBy(spec.entity).orderBy(
+    return Window.partitionBy(*spec.partition).orderBy(
         F.col(spec.time).desc_nulls_first(), F.col(spec.ord).desc_nulls_first()).rowsBetween(UNB, 0)
 
 
@@ -61,7 +61,7 @@ def _present(df: DataFrame, cols) -> list[str]:
 
 def _positive_ints(xs, what: str):
     if not xs or not all(isinstance(x, int) and not isinstance(x, bool) and x > 0 for x in xs):
-        raise ValueError(f"{what} must be a list of positive integers")
+        raise ValueError(f"{what}: whole numbers above 0 are needed, got {xs!r}")
 
 
 # ---------------------------------------------------------------- imputation
@@ -111,7 +111,7 @@ def _q(name: str) -> str:
 
 def _frame_sql(spec: PanelSpec, desc: bool = False, frame: str = "") -> str:
     o = "DESC NULLS FIRST" if desc else "ASC NULLS LAST"
-    return f"PARTITION BY {_q(spec.entity)} ORDER BY {_q(spec.time)} {o}, {_q(spec.ord)} {o} {frame}"
+    return f"PARTITION BY {', '.join(map(_q, spec.partition))} ORDER BY {_q(spec.time)} {o}, {_q(spec.ord)} {o} {frame}"
 
 
 def interpolate_bounded(df: DataFrame, spec: PanelSpec, cols=None, limit: int = INTERPOLATION_LIMIT) -> DataFrame:

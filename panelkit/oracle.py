@@ -679,9 +679,173 @@ SELECT CAST(forward_filled AS BIGINT) AS forward_filled, CAST(interpolated AS BI
                             f"AS new_cases_avg_7 FROM p")
     q["pipeline_audit"] = _audit_sql()
     q["etl_pipeline"] = _etl_sql()
+    return q | _cross_section_sql() | _period_sql(q) | _store_sql(q)
+
+
+CUSTOMER = """
+cu_o AS (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS _n, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) AS _f,
+    sum(CAST(o_totalprice AS DECIMAL(18,2))) AS _v, max(CAST(o_orderdate AS DATE)) AS _d FROM orders GROUP BY 1),
+customer_latest AS (SELECT 'C' || CAST(c_custkey AS VARCHAR) AS location, c_mktsegment AS iso_code, n_name AS continent, _d AS date,
+    CAST(c_custkey AS BIGINT) AS _ord, coalesce(_n, 0.0) AS total_cases, _f AS total_deaths, CAST(_v AS DOUBLE) AS total_tests,
+    CAST(_v AS DOUBLE) / _n AS median_age, c_acctbal AS gdp_per_capita,
+    CAST(CAST(c_acctbal AS DECIMAL(18,2)) - _v AS DOUBLE) AS extreme_poverty, coalesce(_n, 0.0) AS population_density,
+    _f / _n * 100.0 AS life_expectancy
+  FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN cu_o ON o_custkey = c_custkey)"""
+CL_COLS = {"location": "string", "iso_code": "string", "continent": "string", "date": "date", "total_cases": "numeric",
+           "total_deaths": "numeric", "total_tests": "numeric", "median_age": "numeric", "gdp_per_capita": "numeric",
+           "extreme_poverty": "numeric", "population_density": "numeric", "life_expectancy": "numeric"}
+
+
+def _describe(m: str, src: str, by: str = "") -> str:
+    key = f"{by}, " if by else ""
+    return (f"SELECT {key}avg({m}) AS mean, quantile_cont({m}, 0.5) AS median, stddev_samp({m}) AS std, count(*) AS n, "
+            f"quantile_cont({m}, 0.25) AS q1, quantile_cont({m}, 0.75) AS q3 FROM {src} WHERE {m} IS NOT NULL" + (f" GROUP BY {by}" if by else ""))
+
+
+def _boxes(m: str, src: str, factor: float = 1.5) -> str:
+    """CTEs ``f`` (fences of each group) and ``j`` (rows beside their fences)."""
+    return f"""
+qs AS (SELECT continent, quantile_cont({m}, 0.25) AS q1, quantile_cont({m}, 0.5) AS median, quantile_cont({m}, 0.75) AS q3
+  FROM {src} WHERE continent IS NOT NULL AND {m} IS NOT NULL GROUP BY continent),
+f AS (SELECT *, q1 - {factor} * (q3 - q1) AS lower_fence, q3 + {factor} * (q3 - q1) AS upper_fence FROM qs),
+j AS (SELECT b.location, b.{m}, f.*, b.{m} >= f.lower_fence AND b.{m} <= f.upper_fence AS inside
+  FROM {src} b JOIN f ON b.continent = f.continent WHERE b.{m} IS NOT NULL)"""
+
+
+def _study_sql(m: str, log_scale: bool, trim: bool) -> str:
+    base = _trimmed("customer_latest", m, "tr") if trim else (
+        f"tr AS (SELECT location, continent, {m} FROM customer_latest WHERE {NOT_AGG} AND {m} IS NOT NULL)")
+    drawn = f"SELECT * FROM tr WHERE {m} > 0 OR NOT (SELECT max({m} > 0) FROM tr)" if log_scale else "SELECT * FROM tr"
+    no = lambda t: f"CAST(NULL AS {t})"
+    dbl = no("DOUBLE")
+    pick = lambda k: f"(SELECT arg_min((location, {m}), (abs({m} - s.{k}), location)) FROM dr, s)"
+    near = [f"SELECT 'representative', 'nearest_to_{k}', w[1], w[2], {dbl}, {dbl}, {no('BIGINT')} FROM (SELECT {pick(k)} AS w)" for k in ("mean", "median")]
+    summary = [f"SELECT 'summary', '{k}', {no('VARCHAR')}, CAST(s.{k} AS DOUBLE), {dbl}, {dbl}, {no('BIGINT')} FROM s"
+               for k in ("mean", "median", "std", "n", "q1", "q3")]
+    box = [f"SELECT 'box', '{k}', continent, {e}, {dbl}, {dbl}, count(*) FROM j GROUP BY continent" for k, e in (
+        *[(k, f"first({k})") for k in ("q1", "median", "q3", "lower_fence", "upper_fence")],
+        ("whisker_low", f"min({m}) FILTER (WHERE inside)"), ("whisker_high", f"max({m}) FILTER (WHERE inside)"))]
+    rest = [f"""SELECT 'histogram', CAST(bin AS VARCHAR), {no('VARCHAR')}, {dbl}, lo + (bin - 1) * ((hi - lo) / 50), lo + bin * ((hi - lo) / 50), count(*)
+FROM (SELECT CAST(CASE WHEN hi > lo THEN least(floor(({m} - lo) / (hi - lo) * 50) + 1, 50) ELSE 1 END AS INTEGER) AS bin, lo, hi FROM dr, mm) GROUP BY bin, lo, hi""",
+            f"SELECT 'outlier', continent, location, {m}, lower_fence, upper_fence, {no('BIGINT')} FROM j WHERE NOT inside"]
+    first = ("SELECT 'summary' AS section, '-' AS item, '' AS label, 0.0 AS value, 0.0 AS lower, 0.0 AS upper, CAST(0 AS BIGINT) AS count WHERE false")
+    return (f"{_with(CUSTOMER, base)}, s AS ({_describe(m, 'tr')}), dr AS ({drawn}), mm AS (SELECT min({m}) AS lo, max({m}) AS hi FROM dr),"
+            + _boxes(m, "dr") + " " + " UNION ALL ".join([first, *summary, *near, *box, *rest]))
+
+
+def _cross_section_sql() -> dict[str, str]:
+    """Statistics over one row a customer."""
+    m, C, q = "extreme_poverty", CUSTOMER, {}
+    ranked = lambda cols, by, v: (
+        f"{_with(C)} SELECT {cols}, CASE WHEN {v} IS NOT NULL THEN rank() OVER (PARTITION BY {by}{v} IS NULL ORDER BY {v}) "
+        f"+ (count(*) OVER (PARTITION BY {by}{v}) - 1) / 2.0 END AS rank FROM customer_latest")
+    q["customer_rank"] = ranked(f"location, {m}", "", m)
+    q["customer_rank_by_nation"] = ranked("location, continent, total_cases", "continent, ", "total_cases")
+    q["customer_trim"] = f"{_with(C, _trimmed('customer_latest', m, 'tr'))} SELECT * FROM tr"
+    q["customer_trim_by_nation"] = f"""{_with(C)}, b AS (SELECT location, continent, {m},
+  count(*) OVER w AS _n, quantile_cont({m}, 0.25) OVER w AS _q1, quantile_cont({m}, 0.75) OVER w AS _q3
+  FROM customer_latest WHERE {m} IS NOT NULL WINDOW w AS (PARTITION BY continent)),
+c AS (SELECT *, CASE WHEN _q3 - _q1 > 0 THEN _q3 - _q1 ELSE 1.0 END AS _i FROM b)
+SELECT location, continent, {m} FROM c WHERE _n <= 1 OR ({m} >= _q1 - 0.5 * _i AND {m} <= _q3 + 0.5 * _i)"""
+    xy = [_trimmed("customer_latest", m, "tx", "location, continent, median_age"), _trimmed("tx", "median_age", "ty", f"location, continent, {m}")]
+    q["customer_trim_xy"] = f"{_with(C, *xy)} SELECT location, continent, {m}, median_age FROM ty"
+    q["customer_describe"] = f"{_with(C)} {_describe(m, 'customer_latest')}"
+    q["customer_describe_by_nation"] = f"{_with(C)} {_describe(m, 'customer_latest', 'continent')}"
+    q["customer_nearest"] = f"""{_with(C)}, s AS ({_describe(m, 'customer_latest')})
+SELECT arg_min(location, (abs({m} - s.mean), location)) AS nearest_to_mean, arg_min(location, (abs({m} - s.median), location)) AS nearest_to_median,
+  first(s.mean) AS mean, first(s.median) AS median FROM customer_latest, s WHERE {m} IS NOT NULL"""
+    q["customer_histogram"] = f"""{_with(C, _trimmed('customer_latest', m, 'tr'))}, mm AS (SELECT min({m}) AS lo, max({m}) AS hi FROM tr),
+b AS (SELECT CAST(least(floor(({m} - lo) / (hi - lo) * 50) + 1, 50) AS INTEGER) AS bin, lo, hi FROM tr, mm)
+SELECT bin, lo + (bin - 1) * ((hi - lo) / 50) AS lower, lo + bin * ((hi - lo) / 50) AS upper, count(*) AS count FROM b GROUP BY bin, lo, hi"""
+    q["customer_box"] = f"""{_with(C)}, {_boxes(m, 'customer_latest')}
+SELECT continent, count(*) AS n, first(q1) AS q1, first(median) AS median, first(q3) AS q3, first(lower_fence) AS lower_fence,
+  first(upper_fence) AS upper_fence, min({m}) FILTER (WHERE inside) AS whisker_low, max({m}) FILTER (WHERE inside) AS whisker_high,
+  count(*) FILTER (WHERE NOT inside) AS outliers FROM j GROUP BY continent"""
+    t = "total_tests"
+    q["box_outliers"] = f"""{_with(C)}, {_boxes(t, 'customer_latest', 1.0)}
+SELECT continent, location, {t}, CASE WHEN {t} > upper_fence THEN 'high' ELSE 'low' END AS side,
+  CASE WHEN {t} > upper_fence THEN upper_fence ELSE lower_fence END AS fence FROM j WHERE NOT inside"""
+    factors = ["gdp_per_capita", "population_density", "life_expectancy", "median_age"]
+    lng = " UNION ALL ".join(f"SELECT location, '{c}' AS factor, {c} AS value FROM base" for c in [m, *factors])
+    q["customer_spearman"] = f"""{_with(C)}, base AS (SELECT * FROM customer_latest WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [m, *factors])}),
+lng AS ({lng}), rk AS (SELECT location, factor, {_ranked_avg('lng', 'factor', 'value')} AS rank FROM lng),
+y AS (SELECT location, rank AS ry FROM rk WHERE factor = '{m}')
+SELECT factor, corr(rank, ry) AS rho, count(*) AS n FROM rk JOIN y USING (location) WHERE factor <> '{m}' GROUP BY factor HAVING count(*) >= 10"""
+    g = "gdp_per_capita"
+    xy = [_trimmed("customer_latest", m, "tx", f"location, continent, {g}"), _trimmed("tx", g, "ty", f"location, continent, {m}")]
+    q["customer_ols"] = (f"{_with(C, *xy)} SELECT continent, regr_slope({g}, {m}) AS slope, regr_intercept({g}, {m}) AS intercept, "
+                         f"regr_r2({g}, {m}) AS r2, CAST(regr_count({g}, {m}) AS BIGINT) AS n FROM ty GROUP BY continent")
+    q["customer_profile"] = f"{_with(C)} " + _profile_sql("customer_latest", CL_COLS)
+    q["factor_study_full"] = _study_sql(g, False, True)
+    q["factor_study_log"] = _study_sql(g, True, False)
+    q["entity_count_approx"] = f"{_with(C)} SELECT count(DISTINCT location) AS entities, true AS near FROM customer_latest"
     return q
 
 
+def _period_sql(q: dict[str, str]) -> dict[str, str]:
+    """The period view and the reports of the audit."""
+    out, U = {}, USER_DAY
+    rng = "date >= DATE '2024-01-05' AND date <= DATE '2024-01-25'"
+    metrics = {"new_cases": "Events a day", "new_deaths": "New Deaths", "total_cases": "Events so far", "total_deaths": "Total Deaths",
+               "stringency_index": "Highest value"}
+    parts = []
+    for c, label in metrics.items():
+        flow = c.startswith("new_")
+        known = f"FILTER (WHERE {rng} AND {c} IS NOT NULL)"
+        one = ([f"sum({c}) FILTER (WHERE {rng})", f"avg({c}) FILTER (WHERE {rng})", f"max({c}) FILTER (WHERE {rng})", "NULL", "NULL"] if flow else
+               ["NULL", "NULL", "NULL", f"arg_max({c}, date) {known}", f"arg_min({c}, date) {known}"])
+        names = ["period_total", "daily_mean", "peak", "recent_value", "initial_value"]
+        parts.append(f"SELECT location, '{c}' AS metric, '{label}' AS label, '{'flow' if flow else 'stock'}' AS kind, "
+                     + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for e, n in zip(one, names))
+                     + f" FROM user_day GROUP BY location HAVING count(*) FILTER (WHERE {rng}) > 0")
+    out["period_view"] = f"""{_with(U)}, ctx AS (SELECT location, population, gdp_per_capita FROM (SELECT *,
+  row_number() OVER (PARTITION BY location ORDER BY date DESC, _ord DESC) AS _rn FROM user_day) WHERE _rn = 1),
+m AS ({' UNION ALL '.join(parts)})
+SELECT m.*, recent_value - initial_value AS increment, population, gdp_per_capita FROM m JOIN ctx USING (location)"""
+    avg = ", ".join(f"avg({c}) OVER ({_wt('ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING')}) AS {c}_avg_7" for c in metrics if c.startswith("new_"))
+    out["period_series"] = f"{_with(U)}, r AS (SELECT * FROM user_day WHERE {rng}) SELECT location, date, {', '.join(metrics)}, {avg} FROM r"
+    cols = "location, date, new_cases, total_cases"
+    one = lambda name, src, icu: (
+        f"SELECT '{name}' AS stage, CAST(row_number() OVER (ORDER BY location, date, _ord) AS INTEGER) AS place, {cols}, {icu} AS icu_patients FROM {src}")
+    out["audit_samples"] = (f"{_with(U, UD_CLEAN)}, s AS ({one('raw', 'user_day', 'icu_patients')} UNION ALL "
+                            f"{one('cleaned', 'ucleaned', 'CAST(NULL AS DOUBLE)')}) SELECT * FROM s WHERE place <= 5")
+    reports = [("clean", "cleaning_report", ["duplicates_removed", "columns_dropped", "outliers_handled"]),
+               ("impute", "imputation_report", ["forward_filled", "interpolated", "filled_with_stats", "filled_new_with_zero"])]
+    out["audit_reports"] = " UNION ALL ".join(
+        f"SELECT '{stage}' AS stage, '{c}' AS measure, {c} AS value FROM ({q[key]}) AS _r" for stage, key, names in reports for c in names)
+    return out
+
+
+def _store_sql(q: dict[str, str]) -> dict[str, str]:
+    """Stored forms: keyed and bucketed panels, numbered files, documents, segmented windows."""
+    nr, out = ", ".join(ND_COLS), {}
+    out["records_json_parsed"] = q["latest_per_entity"]
+    out["latest_for"] = f"SELECT * FROM ({q['latest_per_entity']}) AS _l WHERE lower(location) IN ('nation_1', 'nation_7', 'europe')"
+    out["entity_moving_average"] = f"SELECT * FROM ({q['moving_average']}) AS _m WHERE lower(location) = 'click'"
+    out["materialize_bucketed"] = (
+        f"{_with(TYPE_DAY)} SELECT {', '.join(TD_COLS)}, CAST(date_diff('day', min(date) OVER (PARTITION BY location), date) AS INTEGER) AS days_since_first_case, "
+        + ", ".join(f"avg(new_cases) OVER ({_wt(f'ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW')}) AS new_cases_ma{w}" for w in (7, 14)) + " FROM type_day")
+    out["scan_csv_files"] = f"""{_with(EVENT_REPORTS)}, n AS (SELECT * REPLACE (row_number() OVER (ORDER BY _ord) - 1 AS _ord) FROM er)
+SELECT location, date, _ord, new_cases, hosp_patients FROM (SELECT *, row_number() OVER (PARTITION BY location, date ORDER BY _ord DESC) AS _rn FROM n) WHERE _rn = 1"""
+    types = dict(zip(UD_COLS, ["string", "string", "string", "date", "bigint"] + ["double"] * 11))
+    listed = ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(types.items()))
+    out["metadata_document"] = f"""{_with(USER_DAY)}
+SELECT count(*) AS total_rows, CAST({len(UD_COLS)} AS BIGINT) AS total_columns, min(date) AS date_start, max(date) AS date_end,
+  count(DISTINCT location) AS locations, 'events' AS origin, CAST(2 AS INTEGER) AS custom_entries,
+  CAST(place AS INTEGER) AS place, "column", type FROM user_day, (VALUES {listed}) AS c(place, "column", type) GROUP BY place, "column", type"""
+    means = ["median_age", "gdp_per_capita"]
+    out["weighted_mean_nonnull"] = f"""{_with(USER_DAY)}, u AS (SELECT *, CASE WHEN new_deaths > 0 THEN reproduction_rate END AS median_age FROM user_day),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY _ord DESC) AS _rn FROM u
+  WHERE continent IS NOT NULL AND location <> 'World') WHERE _rn = 1)
+SELECT CAST(coalesce(sum(population), 0) AS DOUBLE) AS population, {', '.join(
+        f"CASE WHEN sum(population) FILTER (WHERE {c} IS NOT NULL) > 0 THEN coalesce(sum({c} * population), 0.0) / sum(population) FILTER (WHERE {c} IS NOT NULL) END AS {c}"
+        for c in means)} FROM l"""
+    for key, plain in (("static_fill", "static_fill"), ("forward_fill", "forward_fill"), ("running_total", "running_total"),
+                       ("moving_average", "moving_average"), ("interpolate", "interpolate_bounded"), ("fill_median", "fill_median"), ("cap_iqr", "cap_iqr")):
+        out[f"segmented_{key}"] = q[plain]
+    return out
+
+
 def _score_sql(entities, as_cte: bool = False) -> str:
     where = f"{NOT_AGG}" + (f" AND location IN ({_lit_list(entities)})" if entities else "")
     notnull = " AND ".join(f"{m} IS NOT NULL" for m in SCORE_METRICS)
@@ -699,21 +863,21 @@ sc AS (SELECT l.location, l.metric, l.value,
     return body if as_cte else body + " SELECT * FROM sc"
 
 
-def _profile_sql() -> str:
+def _profile_sql(src: str = "user_day", columns=None) -> str:
     parts = []
-    for c in UD_COLS:
+    for c in columns or UD_COLS:
         if c == "_ord":
             continue
         miss = f"count(*) - count({c}) AS missing_count, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100, 2) AS missing_percentage"
         if c in ("location", "iso_code", "continent"):
             parts.append(
                 f"SELECT '{c}' AS \"column\", 'string' AS kind, count({c}) AS count, "
-                f"(SELECT count(DISTINCT {c}) FROM user_day) AS \"unique\", "
-                f"(SELECT arg_min(v, (-n, v)) FROM (SELECT {c} AS v, count(*) AS n FROM user_day WHERE {c} IS NOT NULL GROUP BY 1)) AS top, "
-                f"(SELECT max(n) FROM (SELECT count(*) AS n FROM user_day WHERE {c} IS NOT NULL GROUP BY {c})) AS freq, "
+                f"(SELECT count(DISTINCT {c}) FROM {src}) AS \"unique\", "
+                f"(SELECT arg_min(v, (-n, v)) FROM (SELECT {c} AS v, count(*) AS n FROM {src} WHERE {c} IS NOT NULL GROUP BY 1)) AS top, "
+                f"(SELECT max(n) FROM (SELECT count(*) AS n FROM {src} WHERE {c} IS NOT NULL GROUP BY {c})) AS freq, "
                 f"CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min, "
                 f"CAST(NULL AS DOUBLE) AS q25, CAST(NULL AS DOUBLE) AS q50, CAST(NULL AS DOUBLE) AS q75, "
-                f"CAST(NULL AS DOUBLE) AS max, {miss} FROM user_day")
+                f"CAST(NULL AS DOUBLE) AS max, {miss} FROM {src}")
         else:
             x = f"CAST({c} - {EPOCH} AS DOUBLE)" if c == "date" else f"CAST({c} AS DOUBLE)"
             kind = "date" if c == "date" else "numeric"
@@ -722,7 +886,7 @@ def _profile_sql() -> str:
                 f"SELECT '{c}' AS \"column\", '{kind}' AS kind, count({c}) AS count, CAST(NULL AS BIGINT) AS \"unique\", "
                 f"CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq, avg({x}) AS mean, {std} AS std, "
                 f"min({x}) AS min, quantile_cont({x}, 0.25) AS q25, quantile_cont({x}, 0.5) AS q50, "
-                f"quantile_cont({x}, 0.75) AS q75, max({x}) AS max, {miss} FROM user_day")
+                f"quantile_cont({x}, 0.75) AS q75, max({x}) AS max, {miss} FROM {src}")
     return " UNION ALL ".join(parts)
 
 

@@ -4,44 +4,50 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import clamp_negative, inf_to_null, non_negative_name, safe_div
 from panelkit.operators import windows as W
 from panelkit.operators.aggregates import dedupe_last, dedupe_rows, world_rollup
 from panelkit.operators.filters import drop_intermediate, null_ratio_columns
-from panelkit.operators.joins import join_one_row
 from panelkit.session import cut_lineage
 from panelkit.spec import (
-    IQR_CAP_FACTOR, NON_NEGATIVE_KEYWORDS, NULL_THRESHOLD, PER_CAPITA_MAP, PanelSpec,
+    ESSENTIAL_COLUMNS, IQR_CAP_FACTOR, NON_NEGATIVE_KEYWORDS, NULL_THRESHOLD, PER_CAPITA, RATES, PanelSpec,
 )
 
 FLAG = "_out_"
 
 
+def _write_observed(df: DataFrame, drop, **metrics) -> tuple[DataFrame, dict]:
+    """Store a result and measure it in the same job: the stored rows without ``drop`` and the metrics."""
+    seen = Observation()
+    stored = cut_lineage(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]).drop(*drop))
+    return stored, seen.get
+
+
 @dataclass
 class CleanResult:
     df: DataFrame
     dropped_columns: list[str]
-    raw: DataFrame
-    deduped: DataFrame
+    duplicates: int | None
     flagged: DataFrame
+    outliers: int | None = None
+
+    def stored(self) -> DataFrame:
+        """The cleaned panel, written once; the capped values are counted by the job that writes it."""
+        if self.outliers is None:
+            flags = [c for c in self.flagged.columns if c.startswith(FLAG)]
+            total = sum((F.coalesce(F.sum(c), F.lit(0)) for c in flags), F.lit(0)).cast("long")
+            self.df, seen = _write_observed(self.flagged, flags, outliers=total)
+            self.outliers = seen["outliers"]
+        return self.df
 
     def report(self) -> DataFrame:
-        """Duplicates removed, columns dropped (count, names), outliers capped."""
-        a = self.raw.agg(F.count(F.lit(1)).alias("_raw"))
-        b = self.deduped.agg(F.count(F.lit(1)).alias("_dedup"))
-        flags = [c for c in self.flagged.columns if c.startswith(FLAG)]
-        tot = sum((F.coalesce(F.sum(c), F.lit(0)) for c in flags), F.lit(0))
-        c = self.flagged.agg(tot.cast("long").alias("outliers_handled"))
-        r = join_one_row(join_one_row(a, b), c)
-        return r.select(
-            (F.col("_raw") - F.col("_dedup")).alias("duplicates_removed"),
-            F.lit(len(self.dropped_columns)).cast("long").alias("columns_dropped"),
-            F.lit(",".join(self.dropped_columns)).alias("dropped_column_names"),
-            "outliers_handled",
-        )
+        """Duplicates removed, columns dropped (count, names), outliers capped; all observed while the stages were written."""
+        spark = self.stored().sparkSession
+        row = (self.duplicates, len(self.dropped_columns), ",".join(self.dropped_columns), self.outliers)
+        return spark.createDataFrame([row], "duplicates_removed long, columns_dropped long, dropped_column_names string, outliers_handled long")
 
 
 def clean_numeric(df: DataFrame, spec: PanelSpec, keywords=NON_NEGATIVE_KEYWORDS) -> DataFrame:
@@ -62,14 +68,25 @@ def clean_pipeline(df: DataFrame, spec: PanelSpec, threshold: float = NULL_THRES
     step) -> invalid-date removal (P14) -> Inf/negative repair (F2, F3) ->
     outlier capping (W6, or W7 with ``method='zscore'``).
 
-    ``materialize`` (none if None) is applied to the de-duplicated panel, so the null-ratio pass and the rest of the plan read it instead of
-    recomputing the upstream plan twice.
+    The de-duplicated panel is stored; the job that writes it also counts its
+    input rows and the nulls of every column, so the null-ratio step needs no
+    scan of its own. With ``materialize=None`` nothing is stored and the null
+    ratios take one aggregation (and duplicates are not counted).
     """
     E, T = spec.entity, spec.time
-    dedup = dedupe_last(df, spec) if (E in df.columns and T in df.columns) else dedupe_rows(df, spec)
-    if materialize is not None:
-        dedup = materialize(dedup)
-    dropped = null_ratio_columns(dedup, threshold)
+    dedupe = dedupe_last if (E in df.columns and T in df.columns) else dedupe_rows
+    if materialize is None:
+        dedup, duplicates = dedupe(df, spec), None
+        dropped = null_ratio_columns(dedup, threshold)
+    else:
+        before, after = Observation(), Observation()
+        dedup = dedupe(df.observe(before, F.count(F.lit(1)).alias("rows")), spec)
+        nulls = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(dedup.columns)]
+        dedup = materialize(dedup.observe(after, F.count(F.lit(1)).alias("rows"), *nulls))
+        seen = after.get
+        duplicates = before.get["rows"] - seen["rows"]
+        dropped = [c for i, c in enumerate(dedup.columns)
+                   if seen[f"n{i}"] > threshold * seen["rows"] and c not in ESSENTIAL_COLUMNS]
     d = dedup.drop(*dropped)
     if T in d.columns:
         if dict(d.dtypes)[T] not in ("date",):
@@ -84,7 +101,7 @@ def clean_pipeline(df: DataFrame, spec: PanelSpec, threshold: float = NULL_THRES
     else:
         flagged = d
     out = flagged.drop(*[c for c in flagged.columns if c.startswith(FLAG)])
-    return CleanResult(out, dropped, df, dedup, flagged)
+    return CleanResult(out, dropped, duplicates, flagged)
 
 
 # ---------------------------------------------------------------- imputation
@@ -94,17 +111,21 @@ class ImputeResult:
     df: DataFrame
     tracked: DataFrame
     counters: list[str] = field(default_factory=list)
+    seen: dict | None = None
+
+    def stored(self) -> DataFrame:
+        """The imputed panel, written once; the nulls before and after each step are counted by the job that writes it."""
+        if self.seen is None:
+            sums = {c: F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in self.counters}
+            self.df, self.seen = _write_observed(self.tracked, self.counters, **sums)
+        return self.df
 
     def report(self) -> DataFrame:
-        """forward_filled, interpolated, filled_with_stats, filled_new_with_zero."""
-        s = {c: F.coalesce(F.sum(c), F.lit(0)) for c in self.counters}
-        r = self.tracked.agg(*[v.alias(k) for k, v in s.items()])
-        return r.select(
-            (F.col("_b2") - F.col("_a2")).cast("long").alias("forward_filled"),
-            (F.col("_b4") - F.col("_a4")).cast("long").alias("interpolated"),
-            (F.col("_b5") - F.col("_a5")).cast("long").alias("filled_with_stats"),
-            F.col("_b3").cast("long").alias("filled_new_with_zero"),
-        )
+        """forward_filled, interpolated, filled_with_stats, filled_new_with_zero; observed while the result was written."""
+        spark = self.stored().sparkSession
+        n = self.seen
+        row = (n["_b2"] - n["_a2"], n["_b4"] - n["_a4"], n["_b5"] - n["_a5"], n["_b3"])
+        return spark.createDataFrame([row], "forward_filled long, interpolated long, filled_with_stats long, filled_new_with_zero long")
 
 
 def _nulls(cols) -> F.Column:
@@ -143,30 +164,22 @@ def impute_pipeline(df: DataFrame, spec: PanelSpec, method: str = "median") -> I
 
 # ---------------------------------------------------------------- features
 
-def per_capita(df: DataFrame, spec: PanelSpec, mapping=None) -> DataFrame:
+def add_ratios(df: DataFrame, table) -> DataFrame:
+    """Columns of a table (result, numerator, denominator, factor, only if absent) whose inputs are there."""
+    have = set(df.columns)
+    todo = {name: safe_div(top, below, factor) for name, top, below, factor, absent in table
+            if {top, below} <= have and not (absent and name in have)}
+    return df.withColumns(todo) if todo else df
+
+
+def per_capita(df: DataFrame, spec: PanelSpec, table=PER_CAPITA) -> DataFrame:
     """per million / per thousand of the weight column, only if absent."""
-    mapping = PER_CAPITA_MAP if mapping is None else mapping
-    W_ = spec.weight
-    if W_ not in df.columns:
-        return df
-    out = {pc: safe_div(base, W_, 1_000_000.0 if "million" in pc else 1_000.0)
-           for base, pc in mapping.items() if base in df.columns and pc not in df.columns}
-    return df.withColumns(out) if out else df
+    return add_ratios(df, [(name, top, spec.weight, factor, True) for name, top, factor in table])
 
 
-def rate_features(df: DataFrame) -> DataFrame:
+def rate_features(df: DataFrame, table=RATES) -> DataFrame:
     """fatality %, positivity % (if absent), coverage %, ICU/hospital %."""
-    cols = set(df.columns)
-    out = {}
-    if {"total_deaths", "total_cases"} <= cols:
-        out["case_fatality_rate"] = safe_div("total_deaths", "total_cases", 100.0)
-    if "positive_rate" not in cols and {"new_cases", "new_tests"} <= cols:
-        out["positive_rate"] = safe_div("new_cases", "new_tests", 100.0)
-    if {"people_fully_vaccinated", "population"} <= cols:
-        out["vaccination_coverage"] = safe_div("people_fully_vaccinated", "population", 100.0)
-    if {"icu_patients", "hosp_patients"} <= cols:
-        out["icu_to_hospitalized_ratio"] = safe_div("icu_patients", "hosp_patients", 100.0)
-    return df.withColumns(out) if out else df
+    return add_ratios(df, table)
 
 
 def feature_pipeline(df: DataFrame, spec: PanelSpec, include_difference: bool = False,
@@ -199,10 +212,10 @@ class EtlResult:
 def etl_pipeline(raw: DataFrame, spec: PanelSpec, checkpoint: bool = True) -> EtlResult:
     """World rollup (A5) -> clean (X1) -> impute (X2) -> features.
 
-    The de-duplicated panel is checkpointed into the shared checkpoint
-    folder: the two passes of the null-ratio step read it, it cuts the plan
-    before the window-heavy stages, and a lost executor recomputes from the
-    stored panel instead of from the raw scan.
+    The de-duplicated panel is stored in the shared checkpoint folder, with
+    its null counts taken by the job that writes it: that cuts the plan before
+    the window-heavy stages, and a lost executor recomputes from the stored
+    panel instead of from the raw scan.
     """
     rolled = world_rollup(raw, spec)
     cl = clean_pipeline(rolled, spec, materialize=cut_lineage if checkpoint else None)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import inf_to_null
 from panelkit.operators.aggregates import latest_per_entity
-from panelkit.operators.filters import date_range, entities_in, entity_history, parse_entity_list, sanitize_output
+from panelkit.operators.filters import date_range, entity_key, entity_rows, parse_entity_list, sanitize_output
 from panelkit.operators.joins import join_small
-from panelkit.operators.reshape import nested_series, records_json
+from panelkit.operators.reshape import nested_series
 from panelkit.spec import PanelSpec
 
 
@@ -33,8 +33,8 @@ def compare_timeseries(df: DataFrame, spec: PanelSpec, entities: str, metric: st
             req.append((t, r))
     spark = df.sparkSession
     request = spark.createDataFrame(req, "_k string, _raw string")
-    d = date_range(df.where(F.lower(F.col(E)).isin(*toks)), spec, start, end).select(
-        F.lower(F.col(E)).alias("_k"), E, T, spec.ord, inf_to_null(metric).alias("value"))
+    d = date_range(entity_rows(df, spec, toks), spec, start, end).select(
+        entity_key(df, spec).alias("_k"), E, T, spec.ord, inf_to_null(metric).alias("value"))
     names = d.groupBy("_k").agg(F.min_by(E, F.struct(T, spec.ord)).alias("_name"))
     pts = d.join(names, "_k", "inner").select("_k", "_name", F.col(T).alias("date"), "value")
     j = join_small(pts, request, "_k", "right")
@@ -51,19 +51,7 @@ def compare_timeseries_nested(df: DataFrame, spec: PanelSpec, entities: str, met
         "entity", F.coalesce(F.col("series"), F.array().cast(n.schema["series"].dataType)).alias("series"))
 
 
-def history(df: DataFrame, spec: PanelSpec, name: str) -> DataFrame:
-    """One entity's full history, sanitised."""
-    return entity_history(df, spec, name)
-
-
 def latest(df: DataFrame, spec: PanelSpec, entities: str | None = None) -> DataFrame:
     """Latest row per entity, optionally for a comma list, sanitised; an empty list text filters nothing."""
-    d = latest_per_entity(df, spec)
-    if entities:
-        d = entities_in(d, spec, entities)
-    return sanitize_output(d)
-
-
-def as_records(df: DataFrame) -> DataFrame:
-    """U4: JSON object per row."""
-    return records_json(df)
+    d = entity_rows(df, spec, parse_entity_list(entities)) if entities else df
+    return sanitize_output(latest_per_entity(d, spec)).drop(spec.ekey)

@@ -48,12 +48,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or root
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for written tables."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+_WRITTEN: list[str] = []
 
 
-_WRITTEN: list[str] = []
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder for written tables; ``clean_up`` deletes what is there."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -64,12 +66,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stored")
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
 
 
 def clean_up(spark: SparkSession) -> None:
-    """Delete the tables that ``cut_lineage`` wrote in this process; call it when nothing reads them any more."""
+    """Delete all tables that this process wrote under ``scratch_path``; call it when nothing reads them any more."""
     from panelkit.sources import fixtures
 
     fixtures.forget()

@@ -19,6 +19,9 @@ the epidemiology names the operators default to:
 ``nation_raw`` nation_day plus region aggregate rows with a null group (the
                layout of the surveyed source, whose aggregates carry no group).
 ``nation_latest`` latest row per entity of nation_raw plus statics and ratios.
+``customer_latest`` one row per customer: orders, F orders, order value, mean
+               order value, balance, and the balance left after all orders
+               (large and negative); the group is the nation. It grows with the input.
 ``event_reports`` one raw row per event keyed (user, day): duplicates, text
                dates of which some are unparsable, negative and infinite values.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators.joins import join_small
-from panelkit.session import cut_lineage
+from panelkit.session import cut_lineage, scratch_path
 from panelkit.spec import PanelSpec
 
 USER_SPEC = PanelSpec()
@@ -54,6 +57,16 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _STORED[key]
 
 
+def stored_keyed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The named panel stored by ``sinks.store_keyed``: with a lower-case entity, sorted by it."""
+    from panelkit.sources.sinks import store_keyed
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), f"{name} keyed")
+    if key not in _STORED:
+        _STORED[key] = store_keyed(stored(spark, sf_dir, name), PanelSpec(), scratch_path(spark, "keyed"))
+    return _STORED[key]
+
+
 def forget() -> None:
     """Derive the panels anew on their next use."""
     _STORED.clear()
@@ -298,7 +311,36 @@ def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    nat = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    orders = read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    per = orders.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).cast("double").alias("_n"),
+        F.count(F.when(F.col("o_orderstatus") == "F", 1)).cast("double").alias("_f"),
+        F.sum(F.col("o_totalprice").cast(MONEY)).alias("_v"),
+        F.max(F.to_date("o_orderdate")).alias("_d"),
+    )
+    c = join_small(cust, nat, cust.c_nationkey == nat.n_nationkey, "inner").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return c.select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("location"),
+        F.col("c_mktsegment").alias("iso_code"),
+        F.col("n_name").alias("continent"),
+        F.col("_d").alias("date"),
+        F.col("c_custkey").cast("long").alias("_ord"),
+        F.coalesce("_n", F.lit(0.0)).alias("total_cases"),
+        F.col("_f").alias("total_deaths"),
+        F.col("_v").cast("double").alias("total_tests"),
+        (F.col("_v").cast("double") / F.col("_n")).alias("median_age"),
+        F.col("c_acctbal").alias("gdp_per_capita"),
+        (F.col("c_acctbal").cast(MONEY) - F.col("_v")).cast("double").alias("extreme_poverty"),
+        F.coalesce("_n", F.lit(0.0)).alias("population_density"),
+        (F.col("_f") / F.col("_n") * 100.0).alias("life_expectancy"),
+    )
+
+
 BUILDERS.update({
+    "customer_latest": customer_latest,
     "user_day": user_day, "type_day": type_day, "nation_day": nation_day,
     "nation_raw": lambda s, d: nation_raw(s, d, materialize=False),
     "nation_latest": nation_latest, "event_reports": event_reports,

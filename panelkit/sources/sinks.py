@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.profile import column_profile, dataset_metadata
+from panelkit.operators.profile import column_profile, metadata_document
 from panelkit.spec import PanelSpec
 
 PART_COL = "_part"
@@ -73,7 +73,7 @@ def save_all_formats(df: DataFrame, spec: PanelSpec, base_dir: str, base_name: s
             "parquet": save_parquet(d, f"{base_dir}/{name}.parquet"),
             "json": save_json(d, f"{base_dir}/{name}.json"),
         }
-        out["metadata"] = save_json(dataset_metadata(d, spec, custom), f"{base_dir}/{name}_metadata.json")
+        out["metadata"] = save_json(metadata_document(d, spec, custom), f"{base_dir}/{name}_metadata.json")
         out["statistics"] = save_csv(column_profile(d, spec), f"{base_dir}/{name}_statistics.csv")
     finally:
         d.unpersist()
@@ -89,3 +89,29 @@ def materialize(df: DataFrame, path: str, table: str | None = None) -> DataFrame
         return spark.table(table)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def store_keyed(df: DataFrame, spec: PanelSpec, path: str) -> DataFrame:
+    """The panel with a stored lower-case entity (``spec.ekey``), sorted by it, with a bloom filter on it.
+
+    Case-insensitive lookups then compare a stored column, so the scan skips
+    files, row groups and pages by their statistics. The sort splits the rows
+    at sampled borders of (key, time, order), so a large entity takes several files.
+    """
+    d = df.withColumn(spec.ekey, F.lower(F.col(spec.entity)))
+    order = [c for c in (spec.ekey, spec.time, spec.ord) if c in d.columns]
+    d.orderBy(*order).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{spec.ekey}", "true").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, spec: PanelSpec, table: str, path: str, buckets: int = 16) -> DataFrame:
+    """The panel as a catalog table, bucketed by entity and sorted by (entity, time) in each bucket.
+
+    Per-entity windows and joins on the entity then need no exchange. Rows are
+    dealt to the buckets by the same hash before they are written, so each
+    bucket is one file.
+    """
+    E, order = spec.entity, [c for c in (spec.entity, spec.time, spec.ord) if c in df.columns]
+    writer = df.repartition(buckets, F.col(E)).write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, E).sortBy(*order).saveAsTable(table)
+    return df.sparkSession.table(table)

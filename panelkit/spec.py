@@ -65,14 +65,6 @@ NON_NEGATIVE_KEYWORDS = ["total", "new", "people", "population", "hosp", "icu"]
 FLOW_FEATURE_COLUMNS = ["new_cases", "new_deaths", "new_tests", "new_vaccinations"]
 GROWTH_COLUMNS = ["total_cases", "total_deaths", "total_vaccinations"]
 DIFFERENCE_COLUMNS = ["new_cases", "new_deaths"]
-PER_CAPITA_MAP = {
-    "total_cases": "total_cases_per_million",
-    "total_deaths": "total_deaths_per_million",
-    "new_cases": "new_cases_per_million",
-    "new_deaths": "new_deaths_per_million",
-    "total_tests": "total_tests_per_thousand",
-    "new_tests": "new_tests_per_thousand",
-}
 RUNNING_TOTAL_MAP = {
     "new_cases": "total_cases",
     "new_deaths": "total_deaths",
@@ -123,6 +115,33 @@ DEMOGRAPHIC_FACTORS = [
 ]
 COVID_FACTORS = ["people_fully_vaccinated_per_hundred", "positive_rate", "stringency_index", "reproduction_rate"]
 
+# Metrics counted per day: a period is summed, not compared at its ends (with the intermediate features above).
+FLOW_METRICS = [
+    "new_cases", "new_deaths", "new_tests", "new_vaccinations",
+    "new_cases_smoothed", "new_deaths_smoothed", "new_tests_smoothed", "new_vaccinations_smoothed",
+    "new_cases_per_million", "new_deaths_per_million", "new_cases_smoothed_per_million",
+    "new_deaths_smoothed_per_million", "weekly_icu_admissions", "weekly_hosp_admissions",
+    "weekly_icu_admissions_per_million", "weekly_hosp_admissions_per_million",
+]
+# Attributes shown beside an entity.
+CONTEXT_COLUMNS = ["population", "gdp_per_capita", "median_age", "life_expectancy"]
+
+# Derived columns: result, numerator, denominator, factor, only where the result is absent.
+RATES = [
+    ("case_fatality_rate", "total_deaths", "total_cases", 100.0, False),
+    ("positive_rate", "new_cases", "new_tests", 100.0, True),
+    ("vaccination_coverage", "people_fully_vaccinated", "population", 100.0, False),
+    ("icu_to_hospitalized_ratio", "icu_patients", "hosp_patients", 100.0, False),
+]
+PER_CAPITA = [
+    ("total_cases_per_million", "total_cases", 1e6),
+    ("total_deaths_per_million", "total_deaths", 1e6),
+    ("new_cases_per_million", "new_cases", 1e6),
+    ("new_deaths_per_million", "new_deaths", 1e6),
+    ("total_tests_per_thousand", "total_tests", 1e3),
+    ("new_tests_per_thousand", "new_tests", 1e3),
+]
+
 # Analysis defaults.
 NULL_THRESHOLD = 0.5
 IQR_CAP_FACTOR = 3.0
@@ -144,7 +163,9 @@ class PanelSpec:
     """Names of the key columns of a panel.
 
     ``entity`` and ``time`` form the logical key; ``ord`` is the source
-    ordinal that breaks ties the way row order does in a data frame.
+    ordinal that breaks ties the way row order does in a data frame. ``ekey``
+    is the stored lower-case entity of panels written by ``sinks.store_keyed``
+    (``keyed``: this panel has it).
     """
 
     entity: str = "location"
@@ -153,11 +174,18 @@ class PanelSpec:
     code: str | None = "iso_code"
     ord: str = "_ord"
     weight: str = "population"
+    ekey: str = "_ekey"
+    keyed: bool = False
     extra_keys: tuple[str, ...] = field(default_factory=tuple)
 
+    @property
+    def partition(self) -> list[str]:
+        """What per-entity windows are partitioned by; with the stored key column, a filter on it sinks below them to the scan."""
+        return [self.ekey, self.entity] if self.keyed else [self.entity]
+
     @property
     def keys(self) -> list[str]:
-        ks = [self.entity, self.time, self.group, self.code, self.ord, *self.extra_keys]
+        ks = [self.entity, self.time, self.group, self.code, self.ord, self.ekey, *self.extra_keys]
         return [k for k in ks if k]
 
     def with_(self, **kw) -> "PanelSpec":
@@ -175,5 +203,3 @@ class PanelSpec:
         return [f.name for f in df.schema.fields
                 if isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType))]
 
-
-OWID = PanelSpec()
