@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from panelkit.operators.joins import join_small
-from panelkit.operators.stats import bin_of, border_sketch, quantile_columns
+from panelkit.operators.stats import border_sketch, quantile_columns, with_bin
 from panelkit.spec import PanelSpec
 
 
@@ -103,8 +103,8 @@ def column_profile(df: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
     if numc:
         # Values meet their bin in the scan; only counts per bin and the bins around the quartiles are shuffled.
         melted = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), num(c).alias("v"), bin_of(num(c), first[f"_b{i}"]).alias("_bin"))
-            for i, c in enumerate(numc)])).alias("m")).select("m.*").where(F.col("v").isNotNull() & ~F.isnan("v"))
+            F.struct(F.lit(c).alias("column"), F.lit(i).alias("_i"), num(c).alias("v")) for i, c in enumerate(numc)])).alias("m")).select("m.*")
+        melted = with_bin(melted.where("v IS NOT NULL AND NOT isnan(v)"), "v", [first[f"_b{i}"] for i in range(len(numc))], "_i")
         qs = quantile_columns(melted, ["column"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rows=melted)
         out = join_small(out, qs, "column", "left")
     else:

@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.operators import windows as W
-from panelkit.operators.joins import join_small, null_safe_join
-from panelkit.operators.stats import BINS, bin_of, binned, border_sketch, quantile_columns
+from panelkit.operators.joins import null_safe_join
+from panelkit.operators.stats import BINS, binned, border_sketch, quantile_columns, with_bin
 from panelkit.spec import FLOW_FEATURE_COLUMNS, INTERPOLATION_LIMIT, IQR_CAP_FACTOR, MA_WINDOWS, RUNNING_TOTAL_MAP, STATIC_COLUMNS, PanelSpec
 
 SEGMENT_ROWS = 1_000_000
@@ -39,7 +39,8 @@ def with_segments(df: DataFrame, spec: PanelSpec, rows: int = SEGMENT_ROWS) -> D
     at = F.col(spec.time).cast("timestamp").cast("double")
     seen = df.agg(F.count(F.lit(1)).alias("n"), border_sketch(at).alias("b")).first()
     n = min(BINS, max(1, math.ceil(seen["n"] / rows)))
-    return df.withColumn(SEG, F.when(at.isNull(), n).otherwise(F.floor(bin_of(at, seen["b"]) * n / BINS)).cast("int"))
+    found = with_bin(df, f"CAST(CAST(`{spec.time}` AS TIMESTAMP) AS DOUBLE)", [seen["b"]])
+    return found.withColumn(SEG, F.when(at.isNull(), n).otherwise(F.floor(F.col("_bin") * n / BINS)).cast("int")).drop("_bin")
 
 
 def _local(spec: PanelSpec) -> Window:
@@ -189,7 +190,7 @@ def interpolate_bounded(df: DataFrame, spec: PanelSpec, cols=None, limit: int =
 
 
 def entity_statistics(df: DataFrame, spec: PanelSpec, cols, named: dict | None) -> DataFrame:
-    """One stored row an entity: exact quantiles ``{c}_{name}`` (``named=None``: the mean ``{c}_mean``) of many columns.
+    """One row an entity: exact quantiles ``{c}_{name}`` (``named=None``: the mean ``{c}_mean``) of many columns.
 
     All columns go through one set of bins; counts per (entity, column, bin) are aggregated before they are shuffled.
     """
@@ -208,7 +209,7 @@ def fill_statistic(df: DataFrame, spec: PanelSpec, cols=None, method: str = "med
         return df
     name = "mean" if method == "mean" else "median"
     stats = entity_statistics(df, spec, cols, None if name == "mean" else {"median": 0.5})
-    d = join_small(df, stats, spec.entity, "left")
+    d = df.join(stats, spec.entity, "left")
     return d.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_{name}")) for c in cols}).select(*df.columns)
 
 
@@ -218,7 +219,7 @@ def cap_iqr(df: DataFrame, spec: PanelSpec, cols=None, factor: float = IQR_CAP_F
     if not cols:
         return df
     stats = entity_statistics(df, spec, cols, {"q1": 0.25, "q3": 0.75})
-    d = join_small(df, stats, spec.entity, "left")
+    d = df.join(stats, spec.entity, "left")
     out = {}
     for c in cols:
         v, q1, q3 = F.col(c), F.col(f"{c}_q1"), F.col(f"{c}_q3")

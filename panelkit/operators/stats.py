@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.scalar import sign_label
-from panelkit.operators.joins import join_one_row, join_small, null_safe_join
+from panelkit.operators.joins import BROADCAST_MAX_BYTES, join_one_row, join_small, null_safe_join, plan_size_bytes
 from panelkit.session import cut_lineage
 from panelkit.spec import (
     HIGHER_IS_BETTER, HISTOGRAM_BINS, LOWER_IS_BETTER, MIN_CORRELATION_ROWS, TOP_K, TRIM_FACTOR,
@@ -44,20 +44,31 @@ def _is_value(value: str) -> Column:
     return v.isNotNull() & ~F.isnan(v.cast("double"))
 
 
+def _constant(numbers, kind: str) -> str:
+    """SQL of an array that the planner folds to one value; a call of ``array`` with a thousand literals would slow every rule down."""
+    return f"CAST(split('{','.join(repr(x) for x in numbers)}', ',') AS ARRAY<{kind}>)"
+
+
+def _name(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
 def border_sketch(value: Column) -> Column:
     """Aggregate: the BINS - 1 borders of a column, null where it has no values."""
-    probs = "array(" + ",".join(f"{i / BINS!r}D" for i in range(1, BINS)) + ")"
-    return F.percentile_approx(value, F.expr(probs), ACCURACY)
+    return F.percentile_approx(value, F.expr(_constant([i / BINS for i in range(1, BINS)], "DOUBLE")), ACCURACY)
+
 
+def with_bin(df: DataFrame, value: str, borders: list[list[float] | None], number: str = "0") -> DataFrame:
+    """Adds ``_bin``: how many borders lie below the SQL value; ``number`` (from 0) selects among several lists of borders.
 
-def bin_of(value: Column, borders: list[float] | None) -> Column:
-    """Number of the bin of a value: how many borders lie below it (halving, ten steps for 1,024 bins)."""
-    if not borders:
-        return F.lit(0)
-    text = {math.inf: "double('infinity')", -math.inf: "double('-infinity')"}
-    listed = F.expr("array(" + ",".join(text.get(b, f"{b!r}D") for b in map(float, borders)) + ")")
-    halves = F.expr("array(" + ",".join(str(BINS >> k) for k in range(1, BINS.bit_length())) + ")")
-    return F.aggregate(halves, F.lit(0), lambda at, h: at + F.when(F.element_at(listed, at + h) < value, h).otherwise(0))
+    The place is found by halving, ten steps for 1,024 bins.
+    """
+    if not any(borders):
+        return df.withColumn("_bin", F.lit(0))
+    listed = _constant([float(x) for b in borders for x in (b or [0.0] * (BINS - 1))], "DOUBLE")
+    halves = _constant([BINS >> k for k in range(1, BINS.bit_length())], "INT")
+    return df.withColumn("_bin", F.expr(f"aggregate({halves}, 0, (_a, _h) -> _a + CASE WHEN element_at({listed}, {BINS - 1} * {number} + _a + _h) "
+                                        f"< {value} THEN _h ELSE 0 END)"))
 
 
 def binned(df: DataFrame, value: str, keep=(), store: bool = True) -> DataFrame:
@@ -65,18 +76,18 @@ def binned(df: DataFrame, value: str, keep=(), store: bool = True) -> DataFrame:
     rows = df.where(_is_value(value)).select(*dict.fromkeys([*keep, value]))
     if store:
         rows = cut_lineage(rows)
-    borders = rows.agg(border_sketch(F.col(value).cast("double"))).first()[0]
-    return rows.withColumn("_bin", bin_of(F.col(value).cast("double"), borders))
+    as_double = f"CAST({_name(value)} AS DOUBLE)"
+    borders = rows.agg(border_sketch(F.expr(as_double))).first()[0]
+    return with_bin(rows, as_double, [borders])
 
 
 def bin_offsets(rows: DataFrame, keys) -> DataFrame:
     """(keys, _bin, _in, _off, _n): rows of the key in the bin, in earlier bins and at all."""
-    keys = list(keys)
+    by = [_name(k) for k in keys]
     part = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in"))
-    of_key = Window.partitionBy(*keys)
-    running = of_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    return part.select(*keys, "_bin", "_in", (F.sum("_in").over(running) - F.col("_in")).alias("_off"),
-                       F.sum("_in").over(of_key).alias("_n"))
+    of_key = f"PARTITION BY {', '.join(by)} " if by else ""
+    running = f"sum(_in) OVER ({of_key}ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return part.selectExpr(*by, "_bin", "_in", f"{running} - _in AS _off", f"sum(_in) OVER ({of_key}) AS _n")
 
 
 def value_positions(rows: DataFrame, offsets: DataFrame, keys, value: str) -> DataFrame:
@@ -84,11 +95,15 @@ def value_positions(rows: DataFrame, offsets: DataFrame, keys, value: str) -> Da
 
     ``_before`` = rows of the key with a smaller value, ``_n`` = all its rows.
     """
-    keys = list(keys)
+    by = [_name(c) for c in [*keys, "_bin"]]
     d = rows.groupBy(*keys, "_bin", value).agg(F.count(F.lit(1)).alias("_cnt"))
-    j = null_safe_join(d, offsets.select(*keys, "_bin", "_off", "_n"), [*keys, "_bin"])
-    inside = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(*keys, value, "_cnt", (F.col("_off") + F.sum("_cnt").over(inside) - F.col("_cnt")).alias("_before"), "_n")
+    return _numbered(null_safe_join(d, offsets.select(*keys, "_bin", "_off", "_n"), [*keys, "_bin"]), keys, value, by)
+
+
+def _numbered(counts: DataFrame, keys, value: str, by) -> DataFrame:
+    """Distinct values with the offset of their bin, numbered inside it."""
+    inside = f"sum(_cnt) OVER (PARTITION BY {', '.join(by)} ORDER BY {_name(value)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return counts.selectExpr(*map(_name, keys), _name(value), "_cnt", f"_off + {inside} - _cnt AS _before", "_n")
 
 
 def average_rank(df: DataFrame, keys, value: str, out: str = "rank", store: bool = True) -> DataFrame:
@@ -143,32 +158,28 @@ def quantile_columns(df: DataFrame, keys, value: str, named: dict, count: str |
 
     ``count`` names a further column for the number of values; ``rows`` are the
     ``binned`` rows of ``df`` (or of a larger table) if there are some already.
-    The result is stored (one row a key), so its size is known where it is joined.
+    The result (one row a key) carries a broadcast hint if the stored bins that
+    it is taken from, which are at least as many rows, are small enough.
     """
     keys = list(keys or [])
     rows = binned(df, value, keys) if rows is None else rows
-    at = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in named.items()}
-    ends = {name: (F.floor(x), F.ceil(x)) for name, x in at.items()}
-    wanted = F.lit(False)
-    for places in ends.values():
-        for x in places:
-            wanted = wanted | ((x >= F.col("_off")) & (x < F.col("_off") + F.col("_in")))
+    at = {name: f"((_n - 1) * {float(p)!r}D)" for name, p in named.items()}
+    wanted = " OR ".join(f"({f}({x}) >= _off AND {f}({x}) < _off + _in)" for x in at.values() for f in ("floor", "ceil"))
     bins = cut_lineage(bin_offsets(rows, keys).where(wanted).select(*keys, "_bin", "_off", "_n"))
-    names = {c: f"_of_{c}" for c in [*keys, "_bin"]}
-    small = bins.select(*[F.col(c).alias(k) for c, k in names.items()])
-    same = F.lit(True)
-    for c, k in names.items():
-        same = same & rows[c].eqNullSafe(small[k])
-    j = value_positions(join_small(rows, small, same, "left_semi"), bins, keys, value)
-    first, last, v = F.col("_before"), F.col("_before") + F.col("_cnt") - 1, F.col(value).cast("double")
-    aggs, out = [F.first("_n").alias("_n")], []
-    for name in named:
-        for side, place in zip(("lo", "hi"), ends[name]):
-            aggs.append(F.max(F.when((first <= place) & (last >= place), v)).alias(f"_{side}_{name}"))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at[name] - ends[name][0])).alias(name))
-    found = j.groupBy(*keys).agg(*aggs).where(F.col("_n").isNotNull())
-    return cut_lineage(found.select(*keys, *out, *([F.col("_n").alias(count)] if count else [])))
+    by = [_name(c) for c in [*keys, "_bin"]]
+    renamed = bins.selectExpr(*[f"{c} AS {_name('_of_' + c[1:-1])}" for c in by], "_off", "_n")
+    same = " AND ".join(f"{c} <=> {_name('_of_' + c[1:-1])}" for c in by)
+    here = join_small(rows, renamed, F.expr(same)).groupBy(*keys, "_bin", "_off", "_n", value).agg(F.count(F.lit(1)).alias("_cnt"))
+    aggs, out = ["first(_n) AS _n"], []
+    for i, x in enumerate(at.values()):
+        for side, f in (("lo", "floor"), ("hi", "ceil")):
+            hit = f"_before <= {f}({x}) AND _before + _cnt - 1 >= {f}({x})"
+            aggs.append(f"max(CASE WHEN {hit} THEN CAST({_name(value)} AS DOUBLE) END) AS _{side}{i}")
+        out.append(f"CASE WHEN _lo{i} = _hi{i} THEN _lo{i} ELSE _lo{i} + (_hi{i} - _lo{i}) * ({x} - floor({x})) END")
+    found = _numbered(here, keys, value, by).groupBy(*keys).agg(*map(F.expr, aggs)).where("_n IS NOT NULL")
+    found = found.selectExpr(*map(_name, keys), *[f"{e} AS {_name(name)}" for e, name in zip(out, named)], *([f"_n AS {_name(count)}"] if count else []))
+    # at most as many rows as the stored table of bins, whose size is known
+    return F.broadcast(found) if plan_size_bytes(bins) <= BROADCAST_MAX_BYTES else found
 
 
 def quantiles(df: DataFrame, keys, value: str, probs) -> DataFrame:
@@ -264,7 +275,7 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
 
 
 def box_fences(rows: DataFrame, value: str, group: str, factor: float = 1.5) -> DataFrame:
-    """Quartiles and 1.5*IQR fences of each group of ``binned`` rows, stored: one row a group."""
+    """Quartiles and 1.5*IQR fences of each group of ``binned`` rows, one row a group."""
     qs = quantile_columns(rows, [group], value, QUARTILES, rows=rows)
     return qs.withColumns({
         "lower_fence": F.col("q1") - factor * (F.col("q3") - F.col("q1")),
@@ -273,9 +284,9 @@ def box_fences(rows: DataFrame, value: str, group: str, factor: float = 1.5) ->
 
 
 def beside_fences(rows: DataFrame, fences: DataFrame, value: str, group: str) -> tuple[DataFrame, Column]:
-    """Rows with the fences of their group (broadcast by the size of the stored fences), and whether they lie inside."""
+    """Rows with the fences of their group (broadcast where ``quantile_columns`` allows it), and whether they lie inside."""
     v = F.col(value)
-    return join_small(rows, fences, group, "inner"), (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
+    return rows.join(fences, group), (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
 
 
 def box_stats(df: DataFrame, value: str, group: str, factor: float = 1.5, rows: DataFrame | None = None) -> DataFrame:
