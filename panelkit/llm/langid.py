@@ -4,15 +4,17 @@ A word known from training is scored by its log frequency in each language. A
 word never seen is cut into n-grams of the longest length; if none of them is
 known the next shorter length is tried, down to single letters.
 
-The model is fitted on a bounded sample of labelled documents (``SAMPLE``
-documents, chosen by hash), with at most ``MAX_WORDS`` words and
-``MAX_GRAMS`` n-grams per length, the most frequent first; its size does not
-grow with the corpus. Every document's whole text is scored.
+The model is fitted on a bounded sample of labelled documents: about
+``SAMPLE`` of each language, chosen by hash, so that a rare language is learnt
+like a frequent one. All words and n-grams of the sample are kept. Every
+document's whole text is scored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,78 +27,89 @@ from pyspark.sql import functions as F
 from panelkit.llm.common import held_out, pick
 from panelkit.session import scratch_path
 
-SAMPLE = 4_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 50_000
+SAMPLE = 1_000
 LONGEST = 4
-MAX_LANGS = 500
 CACHE_WORDS = 400_000
 BLOCK_CHARS = 4_000_000
-LETTERS = r"[^\W\d_]+"
+
+
+def letters_pattern() -> str:
+    r"""A run of letters: Python's ``\w`` less digits, underscore and the other numbers (fractions, Roman numerals, circled digits)."""
+    numbers = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")]
+    return r"[^\W\d_" + "".join(numbers) + "]+"
+
+
+@dataclass
+class Table:
+    """Smoothed log frequencies: a row of ``values`` (one number a language) for each entry."""
+
+    places: dict[str, int]
+    values: np.ndarray
+
+    def get(self, entry: str) -> np.ndarray | None:
+        at = self.places.get(entry)
+        return None if at is None else self.values[at]
 
 
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]  # word -> log frequency per language
-    grams: list[dict[str, np.ndarray]]  # by length - 1
+    words: Table
+    grams: list[Table]  # by length - 1
+    letters: str
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Word and n-gram frequencies per language of a sample of the rows that are not held out and have a language.
 
-    A row is in the sample if its hash is below the share that gives about
-    ``sample`` rows; its whole text trains.
+    A row is in the sample if its hash is below its language's share, which
+    gives about ``sample`` rows of each language (all, where there are fewer);
+    its whole text trains.
     """
     spark = docs.sparkSession
     d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     path = scratch_path(spark, "langid-sample")
-    share = min(1.0, sample / max(1, d.count()))
+    shares = [(r["lang"], min(1.0, sample / r["n"])) for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    share = F.broadcast(spark.createDataFrame(shares, "lang string, share double"))  # a row a language
     place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "doc_id", "text"), 11) / float(1 << 53)
-    d.where(place < share).select("lang", F.lower("text").alias("text")).write.parquet(path)
+    d.join(share, "lang").where(place < F.col("share")).select("lang", F.lower("text").alias("text")).write.parquet(path)
     s = spark.read.parquet(path).repartition(F.xxhash64("text"))
     w = s.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"))).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
     words_path = scratch_path(spark, "langid-words")
     w.write.parquet(words_path)
     w = spark.read.parquet(words_path)
-    langs = sorted(r["lang"] for r in w.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    langs = sorted(r["lang"] for r in w.select("lang").distinct().collect())
     grams = []
     for n in range(1, LONGEST + 1):
         padded = F.concat(F.lit(" "), "g", F.lit(" "))
         g = w.select("lang", "n", F.explode(F.transform(
             F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))).alias("g")) if n > 1 else w.select(
             "lang", "n", F.explode(F.split("g", "")).alias("g")).where("g <> ''")
-        grams.append(_table(g.where(F.trim("g") != "").groupBy("lang", "g").agg(F.sum("n").alias("n")), langs, MAX_GRAMS))
-    return Model(langs, _table(w, langs, MAX_WORDS), grams)
+        grams.append(_table(g.where(F.trim("g") != "").groupBy("lang", "g").agg(F.sum("n").alias("n")), langs))
+    return Model(langs, _table(w, langs), grams, letters_pattern())
 
 
-def _table(counts: DataFrame, langs: list[str], most: int) -> dict[str, np.ndarray]:
-    """The ``most`` most frequent entries as smoothed log frequencies per language."""
+def _table(counts: DataFrame, langs: list[str]) -> Table:
+    """All entries of the sample as smoothed log frequencies per language."""
     code = {x: i for i, x in enumerate(langs)}
-    totals = np.ones(len(langs))
-    for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
-        totals[code[r["lang"]]] += r["n"]
-    top = counts.groupBy("g").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    out = {}
-    for r in top.orderBy(F.desc("all"), "g").limit(most).collect():
-        n = np.full(len(langs), 0.1)
-        for lang, k in r["by"].items():
-            n[code[lang]] += k
-        out[r["g"]] = np.log(n / totals).astype(np.float32)
-    return out
+    rows = counts.toArrow()
+    names = rows.column("g").combine_chunks().dictionary_encode()
+    n = np.full((len(names.dictionary), len(langs)), 0.1)
+    at = np.array([code[x] for x in rows.column("lang").to_pylist()], np.int64)
+    np.add.at(n, (names.indices.to_numpy(), at), rows.column("n").to_numpy())
+    totals = 1.0 + np.bincount(at, rows.column("n").to_numpy(), minlength=len(langs))
+    return Table({g: i for i, g in enumerate(names.dictionary.to_pylist())}, np.log(n / totals).astype(np.float32))
 
 
 class Scorer:
     """Scores words with a bounded cache; one per task."""
 
-    def __init__(self, langs: list[str], words: dict, grams: list[dict]):
+    def __init__(self, langs: list[str], words: Table, grams: list[Table], letters: str):
         self.langs, self.words, self.grams = langs, words, grams
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1 << 16, len(langs)), np.float32)
-        self.letters = re.compile(LETTERS)
+        self.letters = re.compile(letters)
 
     def word(self, w: str) -> np.ndarray:
         known = self.words.get(w)
@@ -104,10 +117,10 @@ class Scorer:
             return known
         p = f" {w} "
         for n in range(len(self.grams), 0, -1):
-            table = self.grams[n - 1]
-            hits = [table[g] for g in ([p[i:i + n] for i in range(len(p) - n + 1)] if n > 1 else w) if g in table]
+            places = self.grams[n - 1].places
+            hits = [places[g] for g in ([p[i:i + n] for i in range(len(p) - n + 1)] if n > 1 else w) if g in places]
             if hits:
-                return np.sum(hits, axis=0) / (len(hits) if n == 1 else max(1, len(hits) / 2))
+                return self.grams[n - 1].values[hits].sum(axis=0) / (len(hits) if n == 1 else max(1, len(hits) / 2))
         return np.zeros(len(self.langs), np.float32)
 
     def codes(self, words) -> list[int]:
@@ -127,8 +140,13 @@ class Scorer:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         counts: Counter = Counter()
-        for at in range(0, len(text or ""), BLOCK_CHARS):
-            counts.update(self.letters.findall(text[at:at + BLOCK_CHARS].lower()))
+        text, at = text or "", 0
+        while at < len(text):
+            end = at + BLOCK_CHARS
+            if end < len(text) and (rest := self.letters.match(text, end)):
+                end = rest.end()  # a word at the border stays whole
+            counts.update(self.letters.findall(text[at:end].lower()))
+            at = end
         if not counts or not self.langs:
             return "und", 0.0
         total, part = np.zeros(len(self.langs)), list(counts.items())
@@ -147,11 +165,13 @@ def language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, lang_pred, score of every row; score is the winner's posterior under equal priors.
 
     ``und`` with score 0 if the text is null, has no letter, or nothing was
-    learnt. Of equal scores the first language by name wins. Null and repeated
-    ids keep their rows. Words never join across the text's blocks of
-    ``BLOCK_CHARS`` characters, which bound the memory for very long texts.
+    learnt; numbers of any kind are no letters. Of equal scores the first
+    language by name wins. Null and repeated ids and repeated rows keep their
+    rows; only the two named columns are read, so others cannot clash. A very
+    long text is read in blocks of ``BLOCK_CHARS`` characters that end between
+    words, so its result does not depend on them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.letters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
