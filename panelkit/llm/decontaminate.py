@@ -1,10 +1,11 @@
 """Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Seeds are word n-grams of the test items. A scan over the documents finds all
-places that share a seed with an item and cuts out the words around them. Each
-place is aligned unless it holds too few of the item's words to reach the
-threshold, so a common seed costs a count of words and loses no match.
-Alignment allows changed, added and dropped words.
+places that share a seed with an item. An item of whose words the text holds
+too few to reach the threshold is dropped, all items of the text in one count,
+so a seed that very many items hold is cheap and no match is lost. Of the others
+the words around their hits are cut out and aligned, again unless they hold
+too few of the item's words. Alignment allows changed, added and dropped words.
 
 The items are sent to all tasks in blocks of at most ``BLOCK_BYTES``; a larger
 benchmark takes several passes over the documents.
@@ -59,6 +60,17 @@ def can_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return np.count_nonzero(np.isin(a, b)) / len(a) >= threshold
 
 
+def hopeful(candidates: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """Of some items, those of whose words a whole text ``x`` holds enough to reach the threshold; all items are counted at once.
+
+    ``words`` holds the words of all items, item i from ``begin[i]`` on. A place holds no
+    more of an item's words than its text, so no match is lost.
+    """
+    n = size[candidates]
+    held = np.isin(words[np.repeat(begin[candidates] - (np.cumsum(n) - n), n) + np.arange(n.sum())], x)
+    return candidates[np.add.reduceat(held, np.cumsum(n) - n, dtype=np.int64) >= threshold * n]
+
+
 def reach(size: np.ndarray, threshold: float) -> np.ndarray:
     """How many diagonals an alignment of an item of ``size`` words may span and still score ``threshold``.
 
@@ -121,11 +133,13 @@ def _block(spark, d: DataFrame, items: list, item_type: str, threshold: float, n
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
     size = np.array([len(x) for x in words], np.int64)
-    shared = spark.sparkContext.broadcast((h, item, at, sieve, words, size, reach(size, threshold)))
+    begin = np.cumsum(size) - size
+    joined = np.concatenate(words) if words else np.zeros(0, np.int64)
+    shared = spark.sparkContext.broadcast((h, item, at, sieve, joined, begin, size, reach(size, threshold)))
     schema = FOUND.format(id=d.schema["doc_id"].dataType.simpleString())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, item, at, sieve, words, size, span = shared.value
+        h, item, at, sieve, joined, begin, size, span = shared.value
         names = [c.split()[0] for c in schema.split(", ")]
         for b in batches:
             row, out = [], []
@@ -136,11 +150,15 @@ def _block(spark, d: DataFrame, items: list, item_type: str, threshold: float, n
                 lo, hi = np.searchsorted(h, g[p]), np.searchsorted(h, g[p], side="right")
                 if not (hi > lo).any():
                     continue
-                for k, start, end in _places(x, np.repeat(p, hi - lo), _ranges(lo, hi), item, at, size, span):
-                    if not can_reach(words[k], x[start:end], threshold):
+                # a seed that very many items hold costs one count of words, not a place for each of them
+                places, seed = np.repeat(p, hi - lo), _ranges(lo, hi)
+                mine = np.isin(item[seed], hopeful(np.unique(item[seed]), joined, begin, size, x, threshold))
+                for k, start, end in _places(x, places[mine], seed[mine], item, at, size, span):
+                    words = joined[begin[k]:begin[k] + size[k]]
+                    if not can_reach(words, x[start:end], threshold):
                         continue
-                    got, first, last = align(words[k], x[start:end])
-                    got /= MATCH * len(words[k])
+                    got, first, last = align(words, x[start:end])
+                    got /= MATCH * len(words)
                     if got >= threshold:
                         row.append(i)
                         out.append((k, got, start + first, start + last))
@@ -173,7 +191,7 @@ def _places(x: np.ndarray, p: np.ndarray, seed: np.ndarray, item: np.ndarray, at
     k, diagonal = k[order], diagonal[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (np.diff(diagonal) > span[k[1:]])
-    edges = np.append(np.flatnonzero(new), len(k))
+    edges = np.append(np.flatnonzero(new), len(k)) if len(k) else np.zeros(0, np.int64)
     for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
         slack = int(span[k[a]])
         yield int(k[a]), max(0, int(diagonal[a]) - slack), min(len(x), int(diagonal[z - 1]) + int(size[k[a]]) + slack)
