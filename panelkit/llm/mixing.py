@@ -213,7 +213,9 @@ def mix(docs: DataFrame, weights: list[int], cap: int = 3, seed: int = 7,
     null source is a source of its own, after all others. Rows with equal id
     and text are equal in all: they share a place, and a cut that falls on
     them takes the same share of each. Hashes decide every choice, so reruns
-    agree. An empty table gives an empty result. The sizes are written once to
+    agree. An empty table gives an empty result. Only the three named columns
+    are read, so others cannot clash; a very long text is a document like any
+    other. The sizes are written once to
     the shared folder; the texts are read once.
     """
     spark = docs.sparkSession
@@ -223,12 +225,20 @@ def mix(docs: DataFrame, weights: list[int], cap: int = 3, seed: int = 7,
     return draw(d, plan_mix(d, weights, cap, seed)).select("doc_id", "size", "source_size", "target", "taken", "draws")
 
 
+def own_name(name: str, taken: list[str]) -> str:
+    """The name, or with ``mix_`` before it (as often as needed) where the input has such a column."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"mix_{name}"
+    return name
+
+
 def mixed_texts(docs: DataFrame, weights: list[int], cap: int = 3, seed: int = 7,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The drawn rows of ``docs`` with all their columns, and size, source_size, target, taken and draws.
 
-    Explode ``draws``, repartition by shard and sort by a hash within shards
-    to lay the mix out (``lay_out``).
+    A result column whose name the input has already is called ``mix_`` and its
+    name, so neither is lost. Explode ``draws``, repartition by shard and sort
+    by a hash within shards to lay the mix out (``lay_out``).
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "mix-sizes")
@@ -237,8 +247,8 @@ def mixed_texts(docs: DataFrame, weights: list[int], cap: int = 3, seed: int = 7
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     d = docs.select(row, *_place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{source_col}`"), seed))
     out = draw(d, plan).where(F.col("taken") > 0)
-    own = [c for c in ("size", "source_size", "target", "taken", "draws") if c not in docs.columns]
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *own)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns],
+                      *[F.col(c).alias(own_name(c, docs.columns)) for c in ("size", "source_size", "target", "taken", "draws")])
 
 
 def lay_out(mixed: DataFrame, seed: int = 7, id_col: str = "doc_id") -> DataFrame:

@@ -87,9 +87,12 @@ def test_null_ids_and_extra_columns_in_stages(spark, make, prose):
     t = " ".join(prose(60))
     docs = make([(1, t), (2, t), (None, t), (None, None), (3, " ".join(prose(40))), (3, " ".join(prose(40)))])
     out = stages.simhash_near_dedup(spark, docs, SF)
-    assert out.columns == docs.columns and sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 3, None, None]
+    # the two rows with id 3 have texts of their own, the null-id copy of document 1 goes
+    assert out.columns == docs.columns and sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 3, 3, None]
     assert stages.benchmark_decontamination(spark, docs, SF).count() == 6
-    assert stages.mix_sources(spark, docs, SF).columns[:len(docs.columns)] == docs.columns
+    mixed = stages.mix_sources(spark, docs, SF)
+    assert mixed.columns == [*docs.columns, "mix_size", "source_size", "target", "taken", "draws"]
+    assert {(r["size"], r["mix_size"] > 0) for r in mixed.collect()} == {("y", True)}
 
 
 def test_repeated_and_null_ids_lose_no_text_and_keep_no_copy(spark, make, prose):

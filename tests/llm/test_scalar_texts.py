@@ -1,7 +1,9 @@
 """Token counts, quality rules, mixing, language, classifier and decontamination on small fixtures."""
 
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -118,6 +120,97 @@ def test_language_on_held_out_rows(make, prose):
     assert langid.language(empty, langid.fit(empty)).count() == 0
 
 
+def slow_language(train, longest=4):
+    """Word-first backoff from the training texts, one word at a time; returns text -> (language, score)."""
+    import unicodedata
+
+    def words(t):
+        out = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower())
+        return [w for w in out.split(" ") if w]
+
+    langs = sorted({lang for t, lang in train if words(t)})
+    seen = {lang: Counter(w for t, x in train if x == lang for w in words(t)) for lang in langs}
+
+    def pieces(w, n):
+        p = f" {w} "
+        return list(w) if n == 1 else [p[i:i + n] for i in range(len(p) - n + 1)]
+
+    grams = [{lang: Counter() for lang in langs} for _ in range(longest)]
+    for lang in langs:
+        for w, k in seen[lang].items():
+            for n in range(1, longest + 1):
+                for g in pieces(w, n):
+                    if g.strip():
+                        grams[n - 1][lang][g] += k
+
+    def logs(table, g):
+        return np.array([math.log((table[x][g] + 0.1) / (1 + sum(table[x].values()))) for x in langs])
+
+    def score(w):
+        if any(seen[x][w] for x in langs):
+            return logs(seen, w)
+        for n in range(longest, 0, -1):
+            known = [g for g in pieces(w, n) if any(grams[n - 1][x][g] for x in langs)]
+            if known:
+                return sum(logs(grams[n - 1], g) for g in known) / (len(known) if n == 1 else max(1, len(known) / 2))
+        return np.zeros(len(langs))
+
+    def predict(t):
+        found = Counter(words(t))
+        if not found:
+            return "und", 0.0
+        total = sum(k * score(w) for w, k in found.items())
+        e = np.exp(total - total.max())
+        return langs[int(np.argmax(total))], float(e.max() / e.sum())
+
+    return predict
+
+
+def test_language_equals_slow_backoff(make, prose, monkeypatch):
+    r = random.Random(3)
+    parts = {"aa": ["ka", "lo", "mi"], "bb": ["ru", "ka", "zen"], "cc": ["été", "ça", "lo"]}
+    text = lambda lang, n: " ".join("".join(r.choice(parts[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, r.randint(1, 12)), lang) for i, lang in enumerate(r.choice(list(parts)) for _ in range(120))]
+    odd = [(900, "½ ²"), (901, "①"), (902, "Ⅷ"), (903, None), (904, ""), (905, "12 3_4 !"), (906, "kalozen unseenword"), (907, "xq ½xq"),
+           (908, "q"), (909, "mi" * 40), (910, "日本"), (911, text("bb", 300)), (None, "ka lo"), (905, "lo")]
+    docs = make(rows + odd)
+    train = [(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5]
+    slow = slow_language(train)
+    for block in (4_000_000, 7):  # the blocks of a long text do not change its words
+        monkeypatch.setattr(langid, "BLOCK_CHARS", block)
+        scorer = langid.Scorer(*vars(langid.fit(docs)).values())
+        for _, t, *_ in rows + odd:
+            lang, score = scorer.predict(t)
+            want = slow(t)
+            assert score == pytest.approx(want[1], abs=2e-4) and (lang == want[0] or want[1] < 0.51), t
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.language(docs, langid.fit(docs)).collect()}
+    assert [got[i] for i in (900, 901, 902, 903, 904)] == ["und"] * 5
+
+
+def test_rare_language_is_learnt(make):
+    ids = [i for i in range(8_000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "common words of one language", "big") for i in ids[1:5_000]] + [(ids[0], "zyx wvu", "tiny")]
+    model = langid.fit(make(rows), sample=20)
+    assert model.langs == ["big", "tiny"]
+    assert langid.Scorer(*vars(model).values()).predict("wvu zyx")[0] == "tiny"
+
+
+def test_a_seed_of_very_many_items_is_cheap(make, spark):
+    import time
+
+    items = [(i, "which of the " + " ".join(f"q{i}x{j}" for j in range(17))) for i in range(20_000)]
+    words = [decontaminate.fold(t) for _, t in items]
+    size = np.array([len(w) for w in words])
+    begin, joined = np.cumsum(size) - size, np.concatenate(words)
+    x = decontaminate.fold(" ".join(["which of the and so on"] * 20 + [f"z{j}" for j in range(1_800)]) + " " + items[77][1])
+    start = time.time()
+    left = decontaminate.hopeful(np.arange(20_000), joined, begin, size, x, 0.5)
+    assert left.tolist() == [77] and time.time() - start < 1
+    bench = spark.createDataFrame(items[:3_000], "item_id long, text string")
+    docs = make([(1, "which of the and so on " * 20), (2, "which of the " * 20 + items[5][1])])
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()] == [(2, 5)]
+
+
 def test_classifier_on_held_out_rows(spark, make, prose):
     rows, labels = [], []
     for i in range(300):
