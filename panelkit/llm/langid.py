@@ -33,10 +33,12 @@ CACHE_WORDS = 400_000
 BLOCK_CHARS = 4_000_000
 
 
-def letters_pattern() -> str:
-    r"""A run of letters: Python's ``\w`` less digits, underscore and the other numbers (fractions, Roman numerals, circled digits)."""
-    numbers = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")]
-    return r"[^\W\d_" + "".join(numbers) + "]+"
+LETTERS = r"[^\W\d_]+"  # letters and, besides digits, the other numbers
+
+
+def other_numbers() -> str:
+    """The numbers that are no digits (fractions, Roman numerals, circled digits), which are no letters either."""
+    return "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
 
 
 @dataclass
@@ -56,7 +58,7 @@ class Model:
     langs: list[str]
     words: Table
     grams: list[Table]  # by length - 1
-    letters: str
+    numbers: str
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -87,7 +89,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
             F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))).alias("g")) if n > 1 else w.select(
             "lang", "n", F.explode(F.split("g", "")).alias("g")).where("g <> ''")
         grams.append(_table(g.where(F.trim("g") != "").groupBy("lang", "g").agg(F.sum("n").alias("n")), langs))
-    return Model(langs, _table(w, langs), grams, letters_pattern())
+    return Model(langs, _table(w, langs), grams, other_numbers())
 
 
 def _table(counts: DataFrame, langs: list[str]) -> Table:
@@ -105,11 +107,12 @@ def _table(counts: DataFrame, langs: list[str]) -> Table:
 class Scorer:
     """Scores words with a bounded cache; one per task."""
 
-    def __init__(self, langs: list[str], words: Table, grams: list[Table], letters: str):
+    def __init__(self, langs: list[str], words: Table, grams: list[Table], numbers: str):
         self.langs, self.words, self.grams = langs, words, grams
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((1 << 16, len(langs)), np.float32)
-        self.letters = re.compile(letters)
+        self.numbers = frozenset(numbers)
+        self.plain, self.exact = re.compile(LETTERS), re.compile(LETTERS.replace("_", "_" + numbers))
 
     def word(self, w: str) -> np.ndarray:
         known = self.words.get(w)
@@ -141,11 +144,12 @@ class Scorer:
             self.cache.clear()
         counts: Counter = Counter()
         text, at = text or "", 0
+        letters = self.plain if text.isascii() or self.numbers.isdisjoint(text) else self.exact
         while at < len(text):
             end = at + BLOCK_CHARS
-            if end < len(text) and (rest := self.letters.match(text, end)):
+            if end < len(text) and (rest := letters.match(text, end)):
                 end = rest.end()  # a word at the border stays whole
-            counts.update(self.letters.findall(text[at:end].lower()))
+            counts.update(letters.findall(text[at:end].lower()))
             at = end
         if not counts or not self.langs:
             return "und", 0.0
@@ -171,7 +175,7 @@ def language(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     long text is read in blocks of ``BLOCK_CHARS`` characters that end between
     words, so its result does not depend on them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.letters))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.numbers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
