@@ -39,8 +39,8 @@ from panelkit.session import cut_lineage
 GRAIN = 4  # tokens in a length class
 SLACK = 8  # tokens that a greedy filling may leave open
 FULL = 0  # the class of full windows
-SLICE_BYTES = 16_000_000
-CACHE_WORDS = 1_500_000
+SLICE_BYTES = 8_000_000
+CACHE_WORDS = 1_000_000
 
 
 # White space of Unicode beside the six ASCII characters: separators for the tokenizer too.
@@ -60,6 +60,8 @@ class IdMaker(PieceCounter):
 
         super().__init__(spec)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        # where lower case first could change the result: special strings and marks that compose with a letter
+        self.keep_case = "\\p{M}|" + "|".join(regex.escape(x[:2]) for x in self.specials or ["\0\0"])
         self.marked = self.split and regex.compile("\n|" + self.split.pattern)
         self.forget()
 
@@ -111,6 +113,8 @@ class IdMaker(PieceCounter):
             return [np.array([*e.ids, end], self.dtype) for e in each]
         if pc.any(pc.match_substring_regex(texts, OTHER_SPACE)).as_py():
             texts = pc.replace_substring_regex(texts, OTHER_SPACE, " ")
+        if not pc.any(pc.match_substring_regex(texts, self.keep_case)).as_py():
+            texts = pc.ascii_lower(texts)  # as the tokenizer does; fewer different words
         words = pc.ascii_split_whitespace(texts)
         sizes = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
@@ -123,18 +127,16 @@ class IdMaker(PieceCounter):
         self.learn(list(map(distinct.__getitem__, new.tolist())))
         flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
         ends = np.frombuffer(self.ends, np.int64)
-        at = at[coded.indices.to_numpy()]
-        begin, out, done = ends[at], [], 0
-        count = ends[at + 1] - begin
-        for n in sizes.tolist():
-            b, c = begin[done:done + n], count[done:done + n]
-            got = np.empty(int(c.sum()) + 1, self.dtype)
-            got[:-1] = flat[np.repeat(b - (np.cumsum(c) - c), c) + np.arange(len(got) - 1)]
-            got[-1] = end
-            out.append(got)
-            done += n
-        del flat, ends  # views lock the growing arrays
-        return out
+        begin, count = ends[at], ends[at + 1] - ends[at]  # of the different words
+        del ends
+        at = coded.indices.to_numpy()
+        n = count[at]
+        total = np.append(0, np.cumsum(n))
+        got = flat[np.repeat(begin[at] - total[:-1], n) + np.arange(total[-1])].astype(self.dtype)
+        del flat  # views lock the growing arrays
+        bounds = total[np.append(0, np.cumsum(sizes))].tolist()
+        last = np.array([end], self.dtype)
+        return [np.concatenate((got[a:b], last)) for a, b in zip(bounds, bounds[1:])]
 
 
 def slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
