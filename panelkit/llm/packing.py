@@ -39,7 +39,7 @@ from panelkit.session import cut_lineage
 GRAIN = 4  # tokens in a length class
 SLACK = 8  # tokens that a greedy filling may leave open
 FULL = 0  # the class of full windows
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 12_000_000
 CACHE_WORDS = 1_000_000
 
 
@@ -118,7 +118,7 @@ class IdMaker(PieceCounter):
         words = pc.ascii_split_whitespace(texts)
         sizes = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.place) + len(distinct) > CACHE_WORDS:
             self.forget()
         at = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
@@ -127,12 +127,16 @@ class IdMaker(PieceCounter):
         self.learn(list(map(distinct.__getitem__, new.tolist())))
         flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
         ends = np.frombuffer(self.ends, np.int64)
-        begin, count = ends[at], ends[at + 1] - ends[at]  # of the different words
+        # 32-bit places: a slice and the ids kept are far below 2^31
+        begin, count = ends[at].astype(np.int32), (ends[at + 1] - ends[at]).astype(np.int32)  # of the different words
         del ends
         at = coded.indices.to_numpy()
         n = count[at]
-        total = np.append(0, np.cumsum(n))
-        got = flat[np.repeat(begin[at] - total[:-1], n) + np.arange(total[-1])].astype(self.dtype)
+        total = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=total[1:])
+        place = np.repeat(begin[at] - total[:-1], n)
+        place += np.arange(total[-1], dtype=np.int32)
+        got = flat.take(place).astype(self.dtype)
         del flat  # views lock the growing arrays
         bounds = total[np.append(0, np.cumsum(sizes))].tolist()
         last = np.array([end], self.dtype)
