@@ -3,8 +3,11 @@
 Reading: one partition is one or more whole archive files. Each record's
 headers are parsed first; predicates on ``record_type`` and on equality of
 other header columns are pushed down and decided there, and an unwanted
-payload is skipped by its length, neither read nor decoded. Plain files are
-stepped over by seeking; ``.gz`` files are read as a stream.
+payload is skipped by its length. In plain files a skip is a seek. In ``.gz``
+files each record is a gzip member of its own that names its length in the
+``sl`` (skip lengths) extra field; a skip then leaves the rest of the member
+packed and goes on at the next one. Members without that field (other writers)
+are inflated to their ends.
 
 Writing: each task writes files of its own and names them to the driver, which
 lists the files of successful tasks in a manifest. Files of lost or repeated
@@ -18,7 +21,9 @@ import base64
 import gzip
 import hashlib
 import json
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,11 +35,13 @@ from pyspark.sql.datasource import (
 
 SCHEMA = ("record_id string, record_type string, target_uri string, date string, refers_to string, "
           "payload_digest string, payload_bytes long, payload binary")
+HEADER_SCHEMA = SCHEMA.rpartition(", payload ")[0]  # all but the payload
 HEADER_COLUMNS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri",
                   "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "date": "warc-date"}
 MANIFEST = "_warc_files-"
 FILE_BYTES = 256 << 20
 PLAN_BYTES = 128 << 20
+HTTP_BYTES = 256  # an HTTP header is read in steps of this size
 VERSION = b"WARC/1.1\r\n"
 DATE = "1970-01-01T00:00:00Z"  # a fixed date keeps archives equal from run to run
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -144,8 +151,9 @@ class WarcReader(DataSourceReader):
         store, _ = filesystem(self.path)
         for path in partition.paths:
             if path.endswith(".gz"):
-                with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as f:
-                    yield from self._records(f, lambda n, f=f: _read_past(f, n))
+                with store.open_input_file(path) as raw:
+                    f = Members(raw)
+                    yield from self._records(f, f.skip)
             else:
                 with store.open_input_file(path) as raw:
                     f = Lines(raw)
@@ -172,9 +180,9 @@ class WarcReader(DataSourceReader):
                 continue
             row["payload_bytes"], row["payload"] = length, None
             http = head.get("content-type", "").startswith("application/http")
-            body = f.read(min(length, 4_096)) if http else b""
+            body = f.read(min(length, HTTP_BYTES)) if http else b""
             while http and b"\r\n\r\n" not in body and len(body) < length:
-                body += f.read(min(length - len(body), 4_096))
+                body += f.read(min(length - len(body), HTTP_BYTES))
             inner, _, start = body.partition(b"\r\n\r\n") if http else (b"", b"", b"")
             for x in inner.split(b"\r\n"):
                 if x.lower().startswith(b"content-length:"):
@@ -219,9 +227,110 @@ class Lines:
             self.buffer, self.at = b"", 0
 
 
-def _read_past(f, n: int) -> None:
-    while n > 0:
-        n -= len(f.read(min(n, 1 << 16))) or n
+def member(data: bytes) -> bytes:
+    """One gzip member with its packed and unpacked lengths in the extra field ``sl``, where they fit 32 bits."""
+    packed = gzip.compress(data, 6, mtime=0)
+    size = len(packed) + 14
+    if max(size, len(data)) >> 32:
+        return packed
+    # flag 4: an extra field follows the ten bytes of the plain header
+    return packed[:3] + b"\x04" + packed[4:10] + struct.pack("<H2sHII", 12, b"sl", 8, size, len(data)) + packed[10:]
+
+
+class Members:
+    """A seekable file of gzip members, inflated only as far as it is read.
+
+    A skip to the end of a member whose lengths are known is a step in the
+    packed bytes (a seek beyond those held), so nothing of it is inflated.
+    """
+
+    CLOSING = 4  # the two line ends after a record's block
+
+    def __init__(self, raw, ahead: int = 1 << 16, step: int = 1 << 10):
+        self.raw, self.ahead, self.step = raw, ahead, step
+        self.packed, self.inflate = b"", None
+        self.buffer, self.at = b"", 0
+        self.end, self.left = None, 0  # where the member ends in the file, and what it has beyond the buffer
+        self.inflated = 0
+
+    def _fill(self, n: int) -> bool:
+        """Hold at least ``n`` packed bytes, if the file has them."""
+        while len(self.packed) < n:
+            new = self.raw.read(max(self.ahead, n - len(self.packed)))
+            if not new:
+                return False
+            self.packed += new
+        return True
+
+    def _open(self) -> bool:
+        if not self._fill(1):
+            return False
+        self.inflate, self.end = zlib.decompressobj(31), None
+        if self._fill(12) and self.packed[3] & 4:
+            extra = int.from_bytes(self.packed[10:12], "little")
+            if self._fill(12 + extra):
+                at, stop = 12, 12 + extra
+                while at + 4 <= stop:
+                    name, n = self.packed[at:at + 2], int.from_bytes(self.packed[at + 2:at + 4], "little")
+                    if name == b"sl" and n == 8 and at + 12 <= stop:
+                        size, self.left = struct.unpack_from("<II", self.packed, at + 4)
+                        self.end = self.raw.tell() - len(self.packed) + size
+                    at += 4 + n
+        return True
+
+    def _more(self, n: int) -> bool:
+        """Put at most ``n`` further bytes into the buffer; False at the end of the file."""
+        while True:
+            if self.inflate is None and not self._open():
+                return False
+            data = self.inflate.decompress(self.packed, n)
+            done = self.inflate.eof
+            self.packed = self.inflate.unused_data if done else self.inflate.unconsumed_tail
+            if done:
+                self.inflate = self.end = None
+            if data:
+                self.buffer, self.at = self.buffer[self.at:] + data, 0
+                self.left -= len(data)
+                self.inflated += len(data)
+                return True
+            if not done and not self._fill(len(self.packed) + 1):
+                raise EOFError("a gzip member ends early")
+
+    def readline(self) -> bytes:
+        end = self.buffer.find(b"\n", self.at)
+        while end < 0 and self._more(self.step):
+            end = self.buffer.find(b"\n", self.at)
+        end = len(self.buffer) if end < 0 else end + 1
+        line, self.at = self.buffer[self.at:end], end
+        return line
+
+    def read(self, n: int) -> bytes:
+        out, have = [], 0
+        while have < n:
+            if self.at == len(self.buffer) and not self._more(min(n - have, 1 << 20)):
+                break
+            out.append(self.buffer[self.at:self.at + n - have])
+            self.at += len(out[-1])
+            have += len(out[-1])
+        return b"".join(out)
+
+    def skip(self, n: int) -> None:
+        n -= len(self.buffer) - self.at
+        if n <= 0:
+            self.at = len(self.buffer) + n
+            return
+        self.buffer, self.at = b"", 0
+        if self.end is not None and 0 <= self.left - n <= self.CLOSING:
+            start = self.raw.tell() - len(self.packed)
+            if self.end - start <= len(self.packed):
+                self.packed = self.packed[self.end - start:]
+            else:
+                self.raw.seek(self.end)
+                self.packed = b""
+            self.inflate = self.end = None
+            return
+        while n > 0:
+            n -= len(self.read(min(n, 1 << 16))) or n
 
 
 def _headers(f) -> dict[str, str]:
@@ -250,7 +359,7 @@ class WarcWriter(DataSourceArrowWriter):
                     paths.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.compress)
                     out, size = store.open_output_stream(f"{root}/{paths[-1]}", compression=None), 0
                 data = record(x[0], x[1], x[2] or b"", x[3])
-                data = gzip.compress(data, 6, mtime=0) if self.compress else data
+                data = member(data) if self.compress else data
                 out.write(data)
                 size += len(data)
         if out is not None:
@@ -302,9 +411,12 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ``write_pages`` with page ids again; an empty archive gives an empty result."""
+    """The records of ``write_pages`` with page ids again; an empty archive gives an empty result.
+
+    Only header columns are asked for, so payloads are skipped, however long.
+    """
     use(spark)
     page = lambda c: F.when(F.length(c) > 9, F.substring(c, 10, 30).cast("long"))
-    r = spark.read.format("warc").load(path)
+    r = spark.read.format("warc").schema(HEADER_SCHEMA).load(path)
     return r.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                     page("refers_to").alias("refers_to"))
