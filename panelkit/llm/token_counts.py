@@ -2,7 +2,10 @@
 
 A pre-token (the tokenizer's unit before its merges) always yields the same
 number of pieces, so pieces are counted once per distinct pre-token of a block
-of documents and joined to the documents' pre-token frequencies.
+of documents and joined to the documents' pre-token frequencies. Texts of
+plain characters are split by the tokenizer's pattern; texts with others (any
+script) by the library's normalizer and pre-tokenizer. Only a text that holds
+an added token's string is given to the library whole.
 
 The join stays inside the task: there are almost as many (document, pre-token)
 pairs as words, and shuffling them would move more bytes than the texts hold.
@@ -49,7 +52,11 @@ class PieceCounter:
                 and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
                 and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]):
             self.split = regex.compile(steps[0]["pattern"]["Regex"])
+        # added tokens that are looked for in normalized text would have to be looked for there
+        self.own_steps = (self.tokenizer.pre_tokenizer is not None
+                          and not any(a.get("normalized") for a in cfg.get("added_tokens", [])))
         self.pieces: dict[str, int] = {}
+        self.unit_pieces: dict[str, int] = {}
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -60,6 +67,27 @@ class PieceCounter:
             return None
         return Counter(self.split.findall(text.lower()))
 
+    def units(self, text: str) -> Counter | None:
+        """Frequencies of the units that the library's own normalizer and pre-tokenizer give, in any script.
+
+        None for a text that holds an added token, which is cut out before
+        these steps, and for tokenizers without a pre-tokenizer.
+        """
+        if not self.own_steps or any(s in text for s in self.specials):
+            return None
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return Counter([unit for unit, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
+
+    def learn_units(self, units: set[str]) -> None:
+        """Count the pieces of units not seen before by the model alone."""
+        new = units - self.unit_pieces.keys()
+        if len(self.unit_pieces) + len(new) > CACHE_WORDS:
+            self.unit_pieces.clear()
+            new = units
+        pieces = self.tokenizer.model.tokenize
+        self.unit_pieces.update((u, len(pieces(u))) for u in new)
+
     def learn(self, words: set[str]) -> None:
         """Count the pieces of pre-tokens not seen before; the memory kept for them is bounded."""
         new = list(words - self.pieces.keys())
@@ -73,10 +101,13 @@ class PieceCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         tables = [self.frequencies(t) for t in texts]
+        units = [self.units(t) if f is None else None for t, f in zip(texts, tables)]
         self.learn(set().union(*[t for t in tables if t]))
-        get = self.pieces.__getitem__
-        return [self.whole(t) if f is None else sum(map(mul, f.values(), map(get, f)))
-                for t, f in zip(texts, tables)]
+        self.learn_units(set().union(*[u for u in units if u]))
+        get, get_unit = self.pieces.__getitem__, self.unit_pieces.__getitem__
+        return [sum(map(mul, f.values(), map(get, f))) if f is not None else
+                sum(map(mul, u.values(), map(get_unit, u))) if u is not None else self.whole(t)
+                for t, f, u in zip(texts, tables, units)]
 
 
 def blocks(texts: list[str | None], chars: int) -> Iterator[list[str]]:

@@ -11,7 +11,7 @@ import pytest
 
 from panelkit.llm import crf, decontaminate, langid, mixing
 from panelkit.llm.quality_rules import quality_rules
-from panelkit.llm.token_counts import token_counts
+from panelkit.llm.token_counts import PieceCounter, token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
 ODD = [None, "", " \n\t ", "<|endoftext|> and <|startoftext|>x", "İstanbul ΣΑΣ ½ ² naïve é", "it's we'LL don't 'S",
@@ -29,6 +29,29 @@ def test_token_counts_equal_the_library(make, prose):
     assert got[None]["n_tokens"] == 2
 
 
+def test_all_scripts_are_split_without_whole_encoding(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        t = tokenizers.Tokenizer.from_file(public.path(name))
+        counter = PieceCounter(open(public.path(name), encoding="utf-8").read())
+        r = random.Random(11)
+        ranges = [(0x20, 0x250), (0x300, 0x600), (0x590, 0x780), (0x900, 0xD80), (0x1100, 0x1200), (0x2000, 0x2600),
+                  (0x3040, 0x3100), (0x4E00, 0x5000), (0xAC00, 0xAD00), (0x1F300, 0x1F650)]
+        texts = ["".join(chr(r.randrange(*r.choice(ranges))) if r.random() > 0.2 else r.choice(" \n\t\u00a0\u3000'") for _ in range(n))
+                 for n in [1, 2, 3] * 60 + [200] * 60 + [20_000]]
+        texts += [x for x in ODD if x] + ["Привет, мир! Это <|endoftext|> тест", "e\u0301 \u212b \u1e9b\u0323", "Ελληνικά ΣΊΣΥΦΟΣ"]
+        assert counter.own_steps
+        whole = PieceCounter.whole
+
+        def only_special(self, text):
+            assert any(s in text for s in self.specials), text
+            return whole(self, text)
+
+        monkeypatch.setattr(PieceCounter, "whole", only_special)
+        assert counter.count(texts) == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+        monkeypatch.undo()
+
+
 def test_quality_rules_counts_and_verdicts(make, prose):
     good = [(i, "\n".join(" ".join(prose(12)) + "." for _ in range(6))) for i in range(40)]
     junk = [(100 + i, "\n".join(" ".join(w + "###" for w in prose(12)) for _ in range(6))) for i in range(5)]
