@@ -31,6 +31,9 @@ VIEWS = 4
 BLOCK = 16
 LEAF_POINTS = 1_024  # a shard with fewer points is not split further
 CHUNK = 2_048
+DEEP_PAIRS = 1 << 26  # a shard with more pairs of a point and a query is split by its other blocks
+DEEP_POINTS = 256  # points in a leaf of such a split
+DEEP_ROWS = 1 << 22  # queries routed there at once
 _VALUES = np.arange(1 << BLOCK, dtype=np.uint32)
 
 
@@ -158,16 +161,56 @@ def links(fps: DataFrame, bits: int) -> DataFrame:
                 [pa.array(shard[first]), pa.array([fp[a:a + k].tobytes() for a, k in zip(first, n_asks)], pa.binary()),
                  pa.array([fp[a + k:z].tobytes() for a, k, z in zip(first, n_asks, ends)], pa.binary())], ["shard", "asks", "points"])
 
-    def search(t: pa.Table) -> pa.Table:
+    def search(key: tuple, t: pa.Table) -> pa.Table:
         asks, points = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64) for c in ("asks", "points"))
         stored = np.arange(len(asks) + len(points)) >= len(asks)
-        a, b = shard_links(np.concatenate([asks, points]), stored, bits)
+        a, b = deep_links(np.concatenate([asks, points]), stored, bits, [v for v in range(VIEWS) if v != key[0].as_py() % VIEWS])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     routed = fps.mapInArrow(route, "shard long, asks binary, points binary")
     return routed.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
 
 
+def deep_links(fp: np.ndarray, stored: np.ndarray, bits: int, views: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``shard_links`` of a shard of any size: a large one is split by trees over its other blocks.
+
+    Of the three blocks left, one holds at most ``bits // 3`` of the differing
+    bits, so a tree for each of them finds every pair again; its leaves go on
+    with the blocks still left. Leaves of few pairs, or without blocks left,
+    are compared.
+    """
+    if int(stored.sum()) * len(fp) <= DEEP_PAIRS or not views:
+        return shard_links(fp, stored, bits)
+    found = []
+    for v in views:
+        value = ((fp >> np.uint64(BLOCK * v)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
+        weight = np.bincount(value[stored], minlength=1 << BLOCK)
+        tree = VantageTree(weight, DEEP_POINTS, bits // len(views))
+        n = tree.first[value + 1] - tree.first[value]
+        ends = np.cumsum(n)
+        rows_at_once = max(1, DEEP_ROWS // max(1, int(n.max())))
+        points = np.flatnonzero(stored)
+        points_leaf = tree.own[value[points]]
+        by_leaf = points[np.argsort(points_leaf, kind="stable")]
+        point_ends = np.searchsorted(np.sort(points_leaf), np.arange(tree.leaves + 1))
+        for at in range(0, len(fp), rows_at_once):
+            rows = np.arange(at, min(len(fp), at + rows_at_once))
+            k = n[rows]
+            leaf = tree.asks[np.repeat(tree.first[value[rows]] - (ends[rows] - k - (ends[at] - n[at])), k) + np.arange(k.sum())]
+            row = np.repeat(rows, k)
+            order = np.argsort(leaf, kind="stable")
+            leaf, row = leaf[order], row[order]
+            cut = np.flatnonzero(np.diff(leaf, prepend=-1))
+            for a, b in zip(cut, np.append(cut[1:], len(leaf))):
+                mine = by_leaf[point_ends[leaf[a]]:point_ends[leaf[a] + 1]]
+                if len(mine):
+                    both = np.concatenate([fp[row[a:b]], fp[mine]])
+                    found.append(deep_links(both, np.arange(len(both)) >= b - a, bits, [w for w in views if w != v]))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return _spanning(np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+
+
 def shard_links(fp: np.ndarray, stored: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the shard's points and queries connect.
 

@@ -1,11 +1,15 @@
 """SimHash links against all pairs, and archives as round trips."""
 
 import base64
+import gzip
 import hashlib
+import io
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from panelkit.llm import hamming, warc
 
@@ -137,3 +141,54 @@ def test_empty_and_small_pages(spark, tmp_path):
     assert warc.read_pages(spark, str(tmp_path / "e")).count() == 0
     warc.write_pages(pages(spark, [(1, "u", "a"), (2, "u", "a")]), str(tmp_path / "s"), min_bytes=2)
     assert {r["record_type"] for r in warc.read_pages(spark, str(tmp_path / "s")).collect()} == {"response"}
+
+
+def test_skipped_payloads_stay_packed(spark, tmp_path):
+    r = random.Random(3)
+    long = "".join(chr(r.randrange(0x20, 0x3000)) for _ in range(400_000))
+    rows = [(1, "u", long), (2, "v", "a"), (3, "w", long + "x"), (4, None, None), (5, "u", "")]
+    data = b"".join(warc.member(warc.record(f"urn:page:{i}", u, (t or "").encode())) for i, u, t in rows)
+    assert gzip.decompress(data) == b"".join(warc.record(f"urn:page:{i}", u, (t or "").encode()) for i, u, t in rows)
+    for columns, all_read in ((["record_id", "payload_bytes"], False), (["record_id", "payload"], True)):
+        f = warc.Members(io.BytesIO(data))
+        got = list(warc.WarcReader("", columns)._records(f, f.skip))
+        assert [x[0] for x in got] == [f"urn:page:{i}" for i, _, _ in rows]
+        want = [(t or "").encode() for _, _, t in rows]
+        assert [x[1] for x in got] == (want if all_read else [len(t) for t in want])
+        assert (f.inflated > 1_000_000) == all_read and (all_read or f.inflated < 10_000)
+    # members without lengths, and a file cut off inside one
+    plain = b"".join(gzip.compress(warc.record(f"urn:page:{i}", u, (t or "").encode())) for i, u, t in rows)
+    f = warc.Members(io.BytesIO(plain + data))
+    assert [x[0] for x in warc.WarcReader("", ["payload_bytes"])._records(f, f.skip)] == 2 * [len((t or "").encode()) for _, _, t in rows]
+    f = warc.Members(io.BytesIO(plain[:1_000]))
+    with pytest.raises(EOFError):
+        list(warc.WarcReader("", ["payload_bytes"])._records(f, f.skip))
+    path = str(tmp_path / "w")
+    warc.write_pages(pages(spark, rows), path, compress=True)
+    plan = warc.read_pages(spark, path)._jdf.queryExecution().toString()
+    assert "payload_digest" in plan and "payload#" not in plan
+
+
+def test_predicate_skips_packed_records(spark, tmp_path):
+    path = str(tmp_path / "p")
+    warc.write_pages(pages(spark, [(i, "u", "same " * 50_000) for i in range(6)] + [(9, "v", "b")]), path, compress=True)
+    got = spark.read.format("warc").load(path).where("record_type = 'response'").select("record_id", F.length("payload").alias("n")).collect()
+    assert sorted((r["record_id"], r["n"]) for r in got) == [("urn:page:0", 250_000), ("urn:page:9", 1)]
+
+
+def test_large_shards_are_split_without_loss(monkeypatch):
+    r = np.random.default_rng(4)
+    n = 1_500
+    fp = r.integers(0, 1 << 48, n, dtype=np.uint64) << np.uint64(16)
+    for k in range(300):  # planted pairs with four differing bits anywhere in the other blocks
+        flips = np.uint64(sum(1 << int(b) for b in 16 + r.choice(48, 4, replace=False)))
+        fp[n - 1 - k] = fp[k] ^ flips
+    asks = np.concatenate([fp ^ np.uint64(1), fp[:5], fp[:5]])
+    both, stored = np.concatenate([asks, fp]), np.arange(len(asks) + n) >= len(asks)
+    want = hamming.shard_links(both, stored, 4)
+    monkeypatch.setattr(hamming, "DEEP_PAIRS", 20_000)
+    monkeypatch.setattr(hamming, "DEEP_POINTS", 64)
+    monkeypatch.setattr(hamming, "DEEP_ROWS", 4_000)
+    got = hamming.deep_links(both, stored, 4, [1, 2, 3])
+    assert len(want[0]) > 1_500 and all(np.array_equal(a, b) for a, b in zip(want, got))
+    assert not len(hamming.deep_links(both[:0], stored[:0], 4, [1, 2, 3])[0])
