@@ -5,84 +5,98 @@ A source gives whole passes over its blocks, then a prefix of the permuted
 blocks up to its target. The draws of all sources are divided among the output
 shards by a binary tree: each node splits its exact quotas between two halves
 of its shards by a multivariate hypergeometric draw. So each shard is a random
-sample of the mix with exact totals, and no step sorts or moves a whole source.
+sample of the mix with exact totals. ``lay_out`` brings the draws of a shard
+into one task, which shuffles them; no step sorts a whole source.
 
 What the driver holds is one row per source and block: at most ``MAX_SOURCES``
-times ``MAX_BLOCKS``, checked, and not more for more data.
+plus ``MAX_BLOCKS``, checked, and not more for more data, as blocks grow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.common import WORD, collect_bounded, pick
-from panelkit.session import scratch_path
+from panelkit.session import cut_lineage, scratch_path
 
-MAX_SOURCES = 1_000
-MAX_BLOCKS = 1_024
-MAX_SHARDS = 4_096
+MAX_SOURCES = 100_000
+MAX_BLOCKS = 1 << 20  # of all sources together
+MAX_SHARDS = 1 << 16
+BROADCAST_BYTES = 32 << 20
 BLOCK_WORDS = 50_000
 SHARD_WORDS = 5_000_000
 FINE = 1_024  # parts of a block, and parts of such a part, in which the last quota is cut
 
 
 def water_fill(sizes: list[int], weights: list[int], cap: int, share: Fraction = Fraction(1)) -> list[Fraction]:
-    """Targets in proportion to the weights, none above cap * size; the excess is reshared until none is above."""
-    total = sum(sizes) * share
+    """Targets in proportion to the weights, none above cap * size; the excess is reshared until none is above.
+
+    Sources fill up in the order of cap * size by weight, so one pass in that order finds those that do.
+    """
     target = [Fraction(0)] * len(sizes)
-    open_, left = set(range(len(sizes))), total
-    while open_:
-        w = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] > cap * sizes[i] * w]
-        if not full:
-            for i in open_:
-                target[i] = left * weights[i] / w
+    left, w = sum(sizes) * share, sum(weights)
+    order = sorted(range(len(sizes)), key=lambda i: (weights[i] == 0, Fraction(cap * sizes[i], weights[i] or 1)))
+    for k, i in enumerate(order):
+        if left * weights[i] <= cap * sizes[i] * w:
+            for j in order[k:]:
+                target[j] = left * weights[j] / (w or 1)
             break
-        for i in full:
-            target[i] = Fraction(cap * sizes[i])
-            left -= target[i]
-            open_.discard(i)
+        target[i] = Fraction(cap * sizes[i])
+        left -= target[i]
+        w -= weights[i]
     return target
 
 
-def split_tree(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Shards x sources: how many draws of each source go to each shard; columns add up to the quotas."""
-    out = np.zeros((shards, len(quota)), np.int64)
-    todo = [(0, shards, quota.astype(np.int64))]
+def tree_leaves(quota: np.ndarray, shards: int, rng: np.random.Generator) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, sources, draws of each) by halving the quotas; a node holds only the sources that it has draws of."""
+    index = np.flatnonzero(quota)
+    todo = [(0, shards, index, quota[index].astype(np.int64))]
     while todo:
-        lo, hi, q = todo.pop()
+        lo, hi, index, q = todo.pop()
         n = int(q.sum())
         if hi - lo == 1 or n == 0:
-            out[lo] = q
+            yield lo, index, q
             continue
         mid = (lo + hi) // 2
-        take = n * (mid - lo) // (hi - lo)
-        left = _hypergeometric(q, take, rng)
-        todo += [(lo, mid, left), (mid, hi, q - left)]
-    return out
+        left = rng.multivariate_hypergeometric(q, n * (mid - lo) // (hi - lo), method="marginals")
+        right = q - left
+        todo += [(lo, mid, index[left > 0], left[left > 0]), (mid, hi, index[right > 0], right[right > 0])]
 
 
-def _hypergeometric(q: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """One multivariate hypergeometric draw, by its chain of single hypergeometric draws."""
-    out, left = np.zeros_like(q), int(q.sum())
-    for i, n in enumerate(q.tolist()):
-        left -= n
-        out[i] = rng.hypergeometric(n, left, take) if n and take and left else min(n, take)
-        take -= int(out[i])
+def split_tree(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
+    """Shards x sources: how many draws of each source go to each shard; columns add up to the quotas."""
+    out = np.zeros((shards, len(quota)), np.int64)
+    for shard, index, n in tree_leaves(quota, shards, rng):
+        out[shard, index] = n
     return out
 
 
+def deal(quota: np.ndarray, shards: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """The shard of each draw of each source, in the order of its draws."""
+    leaves = list(tree_leaves(quota, shards, rng))
+    index = np.concatenate([i for _, i, _ in leaves])
+    n = np.concatenate([n for _, _, n in leaves])
+    shard = np.repeat([x for x, _, _ in leaves], [len(i) for _, i, _ in leaves])
+    order = np.lexsort((shard, index))
+    return np.split(np.repeat(shard[order], n[order]), np.cumsum(quota)[:-1])
+
+
 @dataclass
 class Plan:
-    """targets: a row per source; draws: a row per source and block with the shards of its whole draws and the bounds of its last."""
+    """targets: a row per source; draws: a row per source and block with the shards of its whole draws and the bounds of its last.
+
+    Both are small enough to be broadcast or else joined by their keys.
+    """
 
     targets: DataFrame
     draws: DataFrame
+    shards: int
     seed: int
 
 
@@ -105,15 +119,17 @@ def plan_mix(d: DataFrame, weights: list[int], cap: int = 3, seed: int = 7) -> P
     totals.sort(key=lambda r: (r["s_null"], r["s"]))
     sizes = [int(r["n"]) for r in totals]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], cap)
-    n_blocks = [max(1, min(MAX_BLOCKS, -(-n // BLOCK_WORDS))) for n in sizes]
+    block_words_aim = max(BLOCK_WORDS, -(-sum(sizes) // MAX_BLOCKS))
+    n_blocks = [max(1, -(-n // block_words_aim)) for n in sizes]
     names = [(r["s"], r["s_null"]) for r in totals]
     src = spark.createDataFrame(
         [(s, z, i, b, n, float(t)) for i, ((s, z), b, n, t) in enumerate(zip(names, n_blocks, sizes, targets))],
         "s string, s_null boolean, si int, blocks int, source_size long, target double")
-    placed = _parts(d.join(F.broadcast(src), ["s", "s_null"]))  # at most MAX_SOURCES rows
+    src = _small(src, sum(64 + 4 * len(s) for s, _ in names))
+    placed = _parts(d.join(src, ["s", "s_null"]))
 
     block_words = [np.zeros(b, np.int64) for b in n_blocks]
-    for r in collect_bounded(placed.groupBy("si", "block").agg(F.sum("size").alias("n")), MAX_SOURCES * MAX_BLOCKS, "blocks"):
+    for r in collect_bounded(placed.groupBy("si", "block").agg(F.sum("size").alias("n")), MAX_SOURCES + MAX_BLOCKS, "blocks"):
         block_words[r["si"]][r["block"]] = r["n"]
 
     # Whole passes, then whole blocks of a permuted order, then a cut inside one block.
@@ -130,40 +146,37 @@ def plan_mix(d: DataFrame, weights: list[int], cap: int = 3, seed: int = 7) -> P
         full.append(q)
         rest.append(left - (int(ends[q - 1]) if q else 0))
     cut = {i: int(order[i][full[i]]) for i in range(len(sizes)) if full[i] < len(order[i]) and rest[i] > 0}
-    bounds = {i: (0, 0, 0, 1) for i in cut}
+    bounds = {}
     if cut:
-        at = spark.createDataFrame(list(cut.items()), "si int, block int")
-        inside = placed.join(F.broadcast(at), ["si", "block"])
-        parts: dict[int, list] = {}
-        for r in collect_bounded(inside.groupBy("si", "part").agg(F.sum("size").alias("n")), MAX_SOURCES * FINE, "parts"):
-            parts.setdefault(r["si"], []).append((r["part"], r["n"]))
-        mid = {i: _cut(sorted(parts.get(i, [])), rest[i]) for i in cut}
-        at2 = spark.createDataFrame([(i, m[0]) for i, m in mid.items()], "si int, part int")
-        fine: dict[int, list] = {}
-        for r in collect_bounded(inside.join(F.broadcast(at2), ["si", "part"]).groupBy("si", "fine").agg(F.sum("size").alias("n")),
-                                 MAX_SOURCES * FINE, "parts"):
-            fine.setdefault(r["si"], []).append((r["fine"], r["n"]))
-        for i, (part, left, _) in mid.items():
-            f, left, n = _cut(sorted(fine.get(i, [])), left)
-            bounds[i] = (part, f, left, max(1, n))
+        at = spark.createDataFrame([(i, b, rest[i]) for i, b in cut.items()], "si int, block int, left long")
+        inside = placed.join(_small(at, 64 * len(cut)), ["si", "block"])
+        mid = cut_lineage(_cut(inside, "part"))
+        inside = inside.drop("left").join(_small(mid.select("si", "part", "left"), 64 * len(cut)), ["si", "part"])
+        ends = _cut(inside, "fine").select("si", "fine", "left", "n").join(mid.select("si", "part"), "si")
+        for r in collect_bounded(ends, MAX_SOURCES, "cuts"):
+            bounds[r["si"]] = (r["part"], r["fine"], r["left"], r["n"])
 
     # Draw k of source i is block order[k % blocks] in pass k // blocks; the tree says how many draws each shard gets.
     quota = np.array([e * len(o) + q + (i in cut) for i, (e, o, q) in enumerate(zip(passes, order, full))], np.int64)
-    shards = int(max(1, min(MAX_SHARDS, -(-sum(map(int, sizes)) // SHARD_WORDS), max(1, quota.sum()))))
-    per_shard = split_tree(quota, shards, rng)
+    n_draws = int(quota.sum())
+    shards = int(max(1, min(MAX_SHARDS, -(-sum(sizes) // SHARD_WORDS), n_draws)))
     rows = []
-    for i, ((s, z), perm) in enumerate(zip(names, order)):
-        deal = np.repeat(np.arange(shards), per_shard[:, i])
+    for i, (perm, dealt) in enumerate(zip(order, deal(quota, shards, rng) if n_draws else [])):
         whole: list[list[int]] = [[] for _ in perm]
         for k in range(passes[i] * len(perm) + full[i]):
-            whole[int(perm[k % len(perm)])].append(int(deal[k]))
+            whole[int(perm[k % len(perm)])].append(int(dealt[k]))
         for b, shard_list in enumerate(whole):
-            last = int(deal[-1]) if cut.get(i) == b else None
+            last = int(dealt[-1]) if cut.get(i) == b else None
             if shard_list or last is not None:
                 rows.append((i, b, shard_list, last, *(bounds[i] if last is not None else (0, 0, 0, 1))))
     draws = spark.createDataFrame(
         rows, "si int, block int, shards array<int>, last_shard int, cut_part int, cut_fine int, cut_words long, cut_of long")
-    return Plan(src, draws, seed)
+    return Plan(src, _small(draws, 112 * len(rows)), shards, seed)
+
+
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """Marked for a broadcast if its rows, which the driver has just made, are small enough; else it is joined by its key."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _parts(d: DataFrame) -> DataFrame:
@@ -175,13 +188,12 @@ def _parts(d: DataFrame) -> DataFrame:
     }).withColumn("fine", (F.shiftright(F.col("u"), 40) % FINE).cast("int"))
 
 
-def _cut(parts: list[tuple[int, int]], left: int) -> tuple[int, int, int]:
-    """The part in which ``left`` words end, the words still to take there, and its size."""
-    for p, n in parts:
-        if left < n:
-            return p, left, n
-        left -= n
-    return (parts[-1][0] + 1 if parts else 0), 0, 1
+def _cut(inside: DataFrame, place: str) -> DataFrame:
+    """Of each source the place (at most ``FINE`` of them) in which its ``left`` words end, the words still to take there, and its size."""
+    up_to = Window.partitionBy("si").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    sums = inside.groupBy("si", place).agg(F.sum("size").alias("n"), F.first("left").alias("left"))
+    sums = sums.withColumn("end", F.sum("n").over(up_to))
+    return sums.where("end > left AND end - n <= left").select("si", place, (F.col("left") - (F.col("end") - F.col("n"))).alias("left"), "n")
 
 
 def draw(d: DataFrame, plan: Plan) -> DataFrame:
@@ -194,7 +206,7 @@ def draw(d: DataFrame, plan: Plan) -> DataFrame:
         F.col("part") > F.col("cut_part"), 0).when(F.col("fine") < F.col("cut_fine"), F.col("size")).when(
         F.col("fine") > F.col("cut_fine"), 0).otherwise(F.floor(F.col("size") * F.col("cut_words") / F.col("cut_of"))).cast("long")
     n = F.coalesce(F.size("shards"), F.lit(0))
-    out = _parts(d.join(F.broadcast(plan.targets), ["s", "s_null"])).join(F.broadcast(plan.draws), ["si", "block"], "left")
+    out = _parts(d.join(plan.targets, ["s", "s_null"])).join(plan.draws, ["si", "block"], "left")
     out = out.withColumn("last_words", part).withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
     last = F.struct(F.col("last_shard").alias("shard"), n.alias("pass"), F.col("last_words").alias("words"))
     draws = F.concat(
@@ -237,8 +249,7 @@ def mixed_texts(docs: DataFrame, weights: list[int], cap: int = 3, seed: int = 7
     """The drawn rows of ``docs`` with all their columns, and size, source_size, target, taken and draws.
 
     A result column whose name the input has already is called ``mix_`` and its
-    name, so neither is lost. Explode ``draws``, repartition by shard and sort
-    by a hash within shards to lay the mix out (``lay_out``).
+    name, so neither is lost. ``lay_out`` gives a row a draw instead.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "mix-sizes")
@@ -251,9 +262,49 @@ def mixed_texts(docs: DataFrame, weights: list[int], cap: int = 3, seed: int = 7
                       *[F.col(c).alias(own_name(c, docs.columns)) for c in ("size", "source_size", "target", "taken", "draws")])
 
 
-def lay_out(mixed: DataFrame, seed: int = 7, id_col: str = "doc_id") -> DataFrame:
-    """One row per draw, rows of a shard together and locally shuffled by a seeded hash."""
-    d = mixed.withColumn("draw", F.explode("draws")).withColumns(
-        {"shard": F.col("draw.shard"), "pass": F.col("draw.pass"), "words": F.col("draw.words")}).drop("draw", "draws")
-    return d.withColumn("_o", F.xxhash64(F.lit(seed), "shard", "pass", F.col(f"`{id_col}`"))).repartition("shard").sortWithinPartitions(
-        "shard", "_o").drop("_o")
+def lay_out(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: a row per draw with all columns of ``docs`` and shard, place, pass, words and row_key.
+
+    A shard is one task; its rows are shuffled by a seeded hash, and place
+    counts them from 0. A draw of fewer words than its document has gives those
+    first words, joined by one space. A result column whose name the input has
+    is called ``mix_`` and its name. row_key is the hash of id and text.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    d = docs.select(row, *_place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{source_col}`"), plan.seed))
+    d = draw(d, plan).where("taken > 0").select("row", "size", "u", F.explode("draws").alias("dr"))
+    d = d.select("row", "size", "u", "dr.*").withColumn("o", F.xxhash64(F.lit(plan.seed), "shard", "pass", "u"))
+    d = d.repartitionById(plan.shards, F.col("shard")).sortWithinPartitions("o", "u", "pass")
+    # ids count the rows of a partition from a multiple of 2^33 on
+    d = d.withColumn("place", F.monotonically_increasing_id() % (1 << 33)).withColumnRenamed("u", "row_key")
+    text = F.col("row").getField(text_col)
+    words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), F.col("words").cast("int")), " ")
+    cut = F.when(F.col("words") < F.col("size"), words).otherwise(text)
+    return d.select(*[(cut if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns],
+                    *[F.col(c).alias(own_name(c, docs.columns)) for c in ("shard", "place", "pass", "words", "row_key")])
+
+
+def write_mix(docs: DataFrame, path: str, weights: list[int], cap: int = 3, seed: int = 7,
+              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Write the laid-out mix (``lay_out``) as Parquet to ``path``; returns what it took of each input row.
+
+    The result has doc_id, size, source_size, target and taken, the words that
+    the written shards hold of the row. Nulls, ties, repeated rows and empty
+    tables are as in ``mix``: rows equal in id and text take equal parts of
+    what their common key has in the shards.
+    """
+    spark = docs.sparkSession
+    sizes = scratch_path(spark, "mix-sizes")
+    sized(docs, seed, id_col, text_col, source_col).write.parquet(sizes)
+    d = spark.read.parquet(sizes)
+    plan = plan_mix(d, weights, cap, seed)
+    lay_out(docs, plan, id_col, text_col, source_col).write.parquet(path)
+    laid = spark.read.parquet(path)
+    words, key = (F.col(f"`{own_name(c, docs.columns)}`") for c in ("words", "row_key"))
+    id_text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("id_text")
+    # every drawn row has a draw of pass 0, so those count the equal rows behind a key
+    equal = F.count_if(F.col(f"`{own_name('pass', docs.columns)}`") == 0)
+    took = laid.groupBy(key.alias("u"), id_text(id_col)).agg(F.sum(words).alias("words"), equal.alias("equal"))
+    took = took.select("u", "id_text", F.expr("words div equal").alias("taken"))
+    rows = d.join(plan.targets, ["s", "s_null"]).withColumn("id_text", id_text("doc_id")).join(took, ["u", "id_text"], "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

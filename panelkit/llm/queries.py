@@ -10,9 +10,10 @@ from panelkit.llm.common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from panelkit.llm.mixing import mix
+    from panelkit.llm.mixing import write_mix
+    from panelkit.session import scratch_path
 
-    return mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1]).drop("draws")
+    return write_mix(table(spark, sf_dir, "documents"), scratch_path(spark, "mix-shards"), weights=[5, 2, 1])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelkit.llm import crf, decontaminate, langid, mixing
 from panelkit.llm.quality_rules import quality_rules
@@ -128,6 +130,74 @@ def test_split_tree_keeps_quotas_and_shard_sizes():
     assert (t.sum(axis=0) == quota).all() and t.sum(axis=1).max() - t.sum(axis=1).min() <= 3 and (t >= 0).all()
 
 
+def test_laid_out_shards_hold_the_mix(spark, make, prose, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 6_000)
+    monkeypatch.setattr(mixing, "FINE", 8)
+    r = random.Random(2)
+    rows = [(i, " ".join(prose(r.randint(0, 60))), None, "abc"[min(2, i % 7 // 2)] if i % 40 else None) for i in range(1_500)]
+    rows += [(7, "w " * 900, None, "a")] * 3 + [(None, "x y\n z", None, "a")] * 2 + [(None, None, None, "a"), (5_000, " ".join(prose(30_000)), None, "b")]
+    docs = make(rows).withColumns({"shard": F.lit("theirs"), "words": F.lit(1)})
+    got = mixing.write_mix(docs, str(tmp_path / "m"), [5, 2, 1]).collect()
+    plain = mixing.mix(docs, [5, 2, 1]).drop("draws").collect()
+    key = lambda x: (x["doc_id"] is None, x["doc_id"] or 0, x["size"], x["taken"])
+    assert sorted(got, key=key) == sorted(plain, key=key) and len(got) == len(rows)
+    laid = spark.read.parquet(str(tmp_path / "m"))
+    assert laid.columns == [*docs.columns, "mix_shard", "place", "pass", "mix_words", "row_key"]
+    laid = laid.collect()
+    assert sum(x["mix_words"] for x in laid) == sum(x["taken"] for x in got) and {x["shard"] for x in laid} == {"theirs"}
+    shards, texts = defaultdict(list), defaultdict(set)
+    for i, t, _, s in rows:
+        texts[i].add(t)
+    for x in laid:
+        shards[x["mix_shard"]].append(x)
+        assert x["mix_words"] == len(x["text"].split())
+        assert x["text"] in texts[x["doc_id"]] or any((t or "").split()[:x["mix_words"]] == x["text"].split() for t in texts[x["doc_id"]])
+    assert len(shards) > 5
+    for rows_of in shards.values():  # gapless places, in an order that follows neither ids nor blocks
+        rows_of.sort(key=lambda x: x["place"])
+        assert [x["place"] for x in rows_of] == list(range(len(rows_of)))
+        ids = [x["doc_id"] or 0 for x in rows_of]
+        assert len(ids) < 10 or ids != sorted(ids)
+    # a draw is in one shard: a row's passes never repeat
+    seen = Counter((x["row_key"], x["pass"], x["doc_id"]) for x in laid)
+    equal = Counter((i, t) for i, t, _, _ in rows)
+    assert all(n <= max(v for (i, _), v in equal.items() if i == k[2]) for k, n in seen.items())
+    assert mixing.write_mix(make([]), str(tmp_path / "e"), [5, 2, 1]).count() == 0
+
+
+def test_more_sources_than_a_thousand(make):
+    rows = [(i, "a b c d e", None, f"s{i % 1_500}") for i in range(4_500)] + [(10_000 + i, "long text " * 20, None, "zz") for i in range(500)]
+    got = mixing.mix(make(rows), [5, 2, 1]).collect()
+    per = defaultdict(lambda: [0, 0.0, 0])
+    for x, n in ((x, x["taken"]) for x in got):
+        k = f"s{x['doc_id'] % 1_500}" if x["doc_id"] < 10_000 else "zz"
+        per[k][0] += n
+        per[k][1] = x["target"]
+        assert n <= 3 * x["size"]
+    assert len(per) == 1_501 and all(abs(n - t) <= 4 for n, t, _ in per.values())
+
+
+def test_targets_equal_repeated_resharing():
+    r = random.Random(9)
+    for _ in range(200):
+        sizes = [r.choice([0, 1, 5, 40, 1_000]) for _ in range(r.randint(1, 12))]
+        weights = [r.choice([0, 1, 2, 5]) for _ in sizes]
+        if sum(weights):
+            got = mixing.water_fill(sizes, weights, 3)
+            open_, left, want = {i for i, w in enumerate(weights) if w}, Fraction(sum(sizes)), [Fraction(0)] * len(sizes)
+            while open_:
+                w = sum(weights[i] for i in open_)
+                full = {i for i in open_ if left * weights[i] > 3 * sizes[i] * w}
+                for i in full or open_:
+                    want[i] = Fraction(3 * sizes[i]) if full else left * weights[i] / w
+                if not full:
+                    break
+                left -= sum(want[i] for i in full)
+                open_ -= full
+            assert got == want
+
+
 def test_language_on_held_out_rows(make, prose):
     def text(alphabet, seed):
         q = random.Random(seed)
