@@ -1,11 +1,13 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Seeds are word n-grams of the test items. A scan over the documents finds all
-places that share a seed with an item. An item of whose words the text holds
-too few to reach the threshold is dropped, all items of the text in one count,
-so a seed that very many items hold is cheap and no match is lost. Of the others
-the words around their hits are cut out and aligned, again unless they hold
-too few of the item's words. Alignment allows changed, added and dropped words.
+An alignment that reaches the threshold matches a known share of the item's
+words, so of the item's rarest words (by their count in all documents) some must be matched too: with ``u`` words that may stay unmatched,
+``SEEDS`` of the rarest ``u + SEEDS``. Passages of the text that hold that many
+in the reach of one alignment are joined to the item. No passing alignment
+lacks them, whatever was edited, and words that are common anywhere are no
+seeds. A passage is aligned unless even a match of each of its words that the
+item has could not reach the threshold. Alignment allows changed, added and
+dropped words.
 
 The items are sent to all tasks in blocks of at most ``BLOCK_BYTES``; a larger
 benchmark takes several passes over the documents.
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from panelkit.llm import cover as C
 from panelkit.llm.common import collect_bounded, pick, text_key
 
-NGRAM = 3
+MIN_WORDS = 3
+SEEDS = 6
 BLOCK_BYTES = 4 << 20
 MAX_BLOCK_ITEMS = 1_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -42,41 +45,113 @@ def fold(text: str | None) -> np.ndarray:
     return C.spans(C.byte_symbols(raw), *C.word_bounds(raw))
 
 
-def seeds_of(items: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All n-grams of the items by hash: hash, item, place in the item."""
-    h, item, at = [], [], []
-    for i, x in enumerate(items):
-        p = np.arange(max(0, len(x) - n + 1))
-        h.append(C.windows(x, p, n))
-        item.append(np.full(len(p), i, np.int64))
-        at.append(p)
-    h, item, at = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (h, item, at))
-    order = np.argsort(h, kind="stable")
-    return h[order].astype(np.uint64), item[order], at[order]
+class Items:
+    """Folded items with the score that each must reach, the reach of such an alignment, and the seeds.
 
-
-def can_reach(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Whether an alignment of words a (the item) within b can reach the threshold: only item words that b holds can match."""
-    return np.count_nonzero(np.isin(a, b)) / len(a) >= threshold
-
-
-def hopeful(candidates: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
-    """Of some items, those of whose words a whole text ``x`` holds enough to reach the threshold; all items are counted at once.
-
-    ``words`` holds the words of all items, item i from ``begin[i]`` on. A place holds no
-    more of an item's words than its text, so no match is lost.
+    An alignment must score ``threshold`` of an unchanged copy, and as much as
+    ``min_words`` matches. Its gains then bound its losses, and so the words
+    of the text that it spans.
     """
-    n = size[candidates]
-    held = np.isin(words[np.repeat(begin[candidates] - (np.cumsum(n) - n), n) + np.arange(n.sum())], x)
-    return candidates[np.add.reduceat(held, np.cumsum(n) - n, dtype=np.int64) >= threshold * n]
 
+    def __init__(self, texts: list[str], threshold: float, min_words: int):
+        self.words = [fold(t) for t in texts]
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        self.least = np.maximum(threshold * MATCH * self.size, MATCH * min_words)
+        self.span = self.size + np.ceil((MATCH * self.size - self.least) / -max(GAP, MISMATCH)).astype(np.int64)
+        matched = np.ceil(self.least / MATCH).astype(np.int64)
+        self.need = np.minimum(SEEDS, matched)
+        self.n_seeds = np.where(matched <= self.size, self.size - matched + self.need, 0)  # none where the item is too short
+        self.distinct = [np.unique(x) for x in self.words]
+        self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+        self.set_seeds(np.zeros(len(self.vocabulary), np.int64))
+
+    def set_seeds(self, counts: np.ndarray) -> None:
+        """Seeds of each item: its words with the smallest counts (in the order of ``vocabulary``), repeats of a word beside each other."""
+        h, item = [], []
+        for i, (x, n) in enumerate(zip(self.words, self.n_seeds.tolist())):
+            rare = x[np.lexsort((x, counts[np.searchsorted(self.vocabulary, x)]))]
+            h.append(np.unique(rare[:n]))
+            item.append(np.full(len(h[-1]), i, np.int64))
+        h, item = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((h, np.uint64), (item, np.int64)))
+        order = np.argsort(h, kind="stable")
+        self.seed, self.item = h[order], item[order]
+        self.sieve = sieve(self.seed)
+
+    def passages(self, x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, first word and end of the passages of a text that together hold every passing alignment."""
+        at = np.flatnonzero(self.sieve[_top(x)])
+        lo, hi = np.searchsorted(self.seed, x[at]), np.searchsorted(self.seed, x[at], side="right")
+        at, k = np.repeat(at, hi - lo), self.item[_ranges(lo, hi)]
+        often = np.bincount(k, minlength=len(self.size)) >= self.need
+        keep = often[k]
+        if not keep.any():
+            return
+        at, k = at[keep], k[keep]
+        order = np.lexsort((at, k))
+        at, k = at[order], k[order]
+        j = np.arange(len(k)) + self.need[k] - 1
+        i = np.flatnonzero(j < len(k))
+        i = i[(k[j[i]] == k[i]) & (at[j[i]] - at[i] < self.span[k[i]])]
+        k, start, end = k[i], np.maximum(0, at[j[i]] - self.span[k[i]] + 1), np.minimum(len(x), at[i] + self.span[k[i]])
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (start[1:] > end[:-1])
+        first = np.flatnonzero(new)
+        yield from zip(k[first].tolist(), start[first].tolist(), end[np.append(first[1:], len(k)) - 1].tolist() if len(k) else [])
+
+    def scored(self, x: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+        """Item, score, first word and end of the best alignment in each passage where one passes."""
+        for k, start, end in self.passages(x):
+            words, part = self.words[k], x[start:end]
+            if bound(self.distinct[k], part) < self.least[k]:
+                continue
+            if _best(words, part)[0] >= self.least[k]:
+                got, first, last = align(words, part)
+                yield k, got / (MATCH * len(words)), start + first, start + last
+
+
+def _top(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def sieve(h: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << SIEVE_BITS, bool)
+    out[_top(h)] = True
+    return out
+
+
+def _held(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among the ascending values; for few values this is much faster than a set operation."""
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
+def bound(ordered: np.ndarray, b: np.ndarray) -> float:
+    """No alignment of an item, given by its distinct words, within b scores more: each word that it has counts as a match, the others as a loss."""
+    gain = np.where(_held(ordered, b), MATCH, max(GAP, MISMATCH)).cumsum()
+    low = np.minimum.accumulate(gain)
+    return float(max(gain.max(), (gain[1:] - low[:-1]).max(initial=0.0)))
+
+
+def word_counts(d: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each word (by hash) occurs in all texts; each task sums its own first."""
+    shared = d.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        n = np.zeros(len(vocabulary), np.int64)
+        for b in batches:
+            for (text,) in C.rows(b, "text"):
+                x = fold(text)
+                at = np.minimum(np.searchsorted(vocabulary, x), len(vocabulary) - 1)
+                np.add.at(n, at[vocabulary[at] == x], 1)
+        word = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(n[word], pa.int64())], ["word", "n"])
 
-def reach(size: np.ndarray, threshold: float) -> np.ndarray:
-    """How many diagonals an alignment of an item of ``size`` words may span and still score ``threshold``.
-
-    All words matched give MATCH * size, and each diagonal that a gap moves on costs GAP at least.
-    """
-    return np.maximum(0, np.ceil(MATCH * (1 - threshold) * size / -GAP)).astype(np.int64)
+    out = np.zeros(len(vocabulary), np.int64)
+    if len(vocabulary):
+        sums = d.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for r in collect_bounded(sums, len(vocabulary), "words of the items"):
+            out[r["word"]] = r["n"]
+    return out
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[float, int, int]:
@@ -101,17 +176,19 @@ def _best(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM,
+def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS,
             id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Contaminated documents: doc_id, item_id, score, start_word, end_word, with the text's key (k1, k2).
 
     score is the best local alignment of the whole item (2 a match, -1 a
     mismatch or gap) over that of an unchanged copy; rows below ``threshold``
-    are not reported. A place is looked at if it shares ``ngram`` words in a
-    row with the item. Words are compared in lower case without ASCII
-    punctuation and counted from 0. One row per row id, text and item, its
-    best place (the first of equals); repeated rows give one. Null and empty
-    texts, and items of fewer than ``ngram`` words, match nothing. Null ids
+    are not reported, nor those that score less than ``min_words`` words in a
+    row would (this matters for items of fewer than twice as many words). All
+    texts and items whose alignment passes are found. Words are compared in
+    lower case without ASCII punctuation and counted from 0. One row per row
+    id, text and item, its best place (the first of equals); repeated rows
+    give one. Null and empty texts, and items of fewer than ``min_words``
+    words, match nothing. A very long text is searched whole. Null ids
     are reported as null. An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
@@ -122,47 +199,22 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ngr
     for k in range(n_blocks):
         block = b.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks)) == k).select("item_id", "text").orderBy("item_id", "text")
         part = _block(spark, d, collect_bounded(block, MAX_BLOCK_ITEMS, "items of a block"), items.schema[item_col].dataType.simpleString(),
-                      threshold, ngram)
+                      threshold, min_words)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _block(spark, d: DataFrame, items: list, item_type: str, threshold: float, n: int) -> DataFrame:
-    words = [fold(r["text"]) for r in items]
-    h, item, at = seeds_of(words, n)
-    sieve = np.zeros(1 << SIEVE_BITS, bool)
-    sieve[(h >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
-    size = np.array([len(x) for x in words], np.int64)
-    begin = np.cumsum(size) - size
-    joined = np.concatenate(words) if words else np.zeros(0, np.int64)
-    shared = spark.sparkContext.broadcast((h, item, at, sieve, joined, begin, size, reach(size, threshold)))
+def _block(spark, d: DataFrame, items: list, item_type: str, threshold: float, min_words: int) -> DataFrame:
+    block = Items([r["text"] for r in items], threshold, min_words)
+    block.set_seeds(word_counts(d, block.vocabulary))
+    shared = spark.sparkContext.broadcast(block)
     schema = FOUND.format(id=d.schema["doc_id"].dataType.simpleString())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, item, at, sieve, joined, begin, size, span = shared.value
         names = [c.split()[0] for c in schema.split(", ")]
         for b in batches:
-            row, out = [], []
-            for i, (text,) in enumerate(C.rows(b, "text")):
-                x = fold(text)
-                g = C.windows(x, np.arange(max(0, len(x) - n + 1)), n)
-                p = np.flatnonzero(sieve[(g >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)])
-                lo, hi = np.searchsorted(h, g[p]), np.searchsorted(h, g[p], side="right")
-                if not (hi > lo).any():
-                    continue
-                # a seed that very many items hold costs one count of words, not a place for each of them
-                places, seed = np.repeat(p, hi - lo), _ranges(lo, hi)
-                mine = np.isin(item[seed], hopeful(np.unique(item[seed]), joined, begin, size, x, threshold))
-                for k, start, end in _places(x, places[mine], seed[mine], item, at, size, span):
-                    words = joined[begin[k]:begin[k] + size[k]]
-                    if not can_reach(words, x[start:end], threshold):
-                        continue
-                    got, first, last = align(words, x[start:end])
-                    got /= MATCH * len(words)
-                    if got >= threshold:
-                        row.append(i)
-                        out.append((k, got, start + first, start + last))
-            cols = list(zip(*out)) or [[]] * 4
+            found = [(i, *hit) for i, (text,) in enumerate(C.rows(b, "text")) for hit in shared.value.scored(fold(text))]
+            row, *cols = list(zip(*found)) or [[]] * 5
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column(c).take(take) for c in ("doc_id", "k1", "k2")] +
@@ -180,23 +232,6 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-def _places(x: np.ndarray, p: np.ndarray, seed: np.ndarray, item: np.ndarray, at: np.ndarray,
-            size: np.ndarray, span: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Item, first word and end of the places in one text that hold every alignment through a seed hit.
-
-    Hits on one alignment are at most ``span`` diagonals apart, so they are joined, and its words reach as far.
-    """
-    k, diagonal = item[seed], p - at[seed]
-    order = np.lexsort((diagonal, k))
-    k, diagonal = k[order], diagonal[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (np.diff(diagonal) > span[k[1:]])
-    edges = np.append(np.flatnonzero(new), len(k)) if len(k) else np.zeros(0, np.int64)
-    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        slack = int(span[k[a]])
-        yield int(k[a]), max(0, int(diagonal[a]) - slack), min(len(x), int(diagonal[z - 1]) + int(size[k[a]]) + slack)
-
-
 def without_matches(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text is in no match; all columns stay as they are."""
     keys = found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
