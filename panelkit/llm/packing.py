@@ -23,7 +23,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,20 @@ CACHE_WORDS = 1_000_000
 OTHER_SPACE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+class ByteSigns(dict):
+    """Character code -> the signs that a byte-level tokenizer writes for the character's UTF-8 bytes.
+
+    Printable ASCII stands for itself; pre-tokens hold no white space and no control characters.
+    """
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        (signs, _), = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(code))
+        self[code] = signs
+        return signs
+
+
 class IdMaker(PieceCounter):
     """Token ids of texts; the ids of a blank-delimited word are made once and looked up afterwards.
 
@@ -63,6 +77,7 @@ class IdMaker(PieceCounter):
         # where lower case first could change the result: special strings and marks that compose with a letter
         self.keep_case = "\\p{M}|" + "|".join(regex.escape(x[:2]) for x in self.specials or ["\0\0"])
         self.marked = self.split and regex.compile("\n|" + self.split.pattern)
+        self.merge, self.byte_signs = self.tokenizer.model.tokenize, ByteSigns()
         self.forget()
 
     def forget(self) -> None:
@@ -93,11 +108,11 @@ class IdMaker(PieceCounter):
         late = np.flatnonzero(at < 0).tolist()
         if late:
             new = list(dict.fromkeys(map(cut.__getitem__, late)))
-            each = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            each = [[t.id for t in self.merge(x if x.isascii() else x.translate(self.byte_signs))] for x in new]
             self.piece.update(zip(new, range(len(self.piece), len(self.piece) + len(new))))
-            ends = self.piece_ends[-1] + np.cumsum(np.bincount(each.word_ids, minlength=len(new)))
+            ends = self.piece_ends[-1] + np.cumsum(list(map(len, each)))
             self.piece_ends.frombytes(ends.astype(np.int64).tobytes())
-            self.piece_flat.frombytes(np.asarray(each.ids, np.uint32).tobytes())
+            self.piece_flat.frombytes(np.fromiter(chain.from_iterable(each), np.uint32).tobytes())
             at[late] = np.fromiter(map(self.piece.__getitem__, map(cut.__getitem__, late)), np.int64, len(late))
         ends = np.frombuffer(self.piece_ends, np.int64)
         n = ends[at + 1] - ends[at]
