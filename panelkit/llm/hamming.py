@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: st
     ``bits`` differing bits, the row's own included. Null ids: they link as any
     row but name no component, unless it has no other ids (null then). Repeated
     rows share a fingerprint and so a component. Texts without words all have
-    fingerprint 0 and link. An empty table gives an empty result.
+    fingerprint 0 and link. All shingles of a very long text count; they are
+    hashed in blocks. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "simhash")

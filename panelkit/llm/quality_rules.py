@@ -147,7 +147,8 @@ def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30
 
     ``base_failed`` (too few words, or too many of them repeated) overrides the
     posterior. Null text: no words, so base_failed. Null and repeated ids keep
-    their rows. An empty table gives an empty result. The counts are written
+    their rows. A very long text is measured whole, in its row's task. An
+    empty table gives an empty result. The counts are written
     once to the shared folder, so the texts are read once.
     """
     spark = docs.sparkSession

@@ -1,7 +1,9 @@
 """Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
 
 All but the last return the columns of ``documents``. Each is one operator
-with the parameters of its query, and its decisions take effect.
+with the parameters of its query, and its decisions take effect. Null, empty
+and very long texts, repeated rows, ties and empty tables are treated as the
+operator's docstring says; extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations

@@ -200,7 +200,8 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, ho
     also starts at any other place, in the same row or another; matches never
     cross rows and are judged on the input. Null and empty texts have no bytes.
     Repeated rows, whatever their ids, are repeats of each other. Null ids keep
-    their rows. An empty table gives an empty result.
+    their rows. A very long text is searched whole, by one task at a time. An
+    empty table gives an empty result.
     """
     done = _distinct_texts(docs, window, period, hot, id_col, text_col, keep=False).drop("kept_text")
     return C.keyed(docs, id_col, text_col).join(done, ["k1", "k2"]).drop("k1", "k2")

@@ -129,7 +129,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048,
 
     A null text counts as empty: 0 bytes, 0 tokens. Null and repeated ids are
     kept, one result row per input row. Special strings inside a text count as
-    the library's default does; nothing is truncated. The tokenizer file is
+    the library's default does; nothing is truncated, and a very long text is
+    counted whole, as a block of its own. The tokenizer file is
     read on the driver (a vocabulary, bounded) and sent to the tasks.
     """
     spark = docs.sparkSession

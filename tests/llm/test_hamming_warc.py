@@ -54,6 +54,13 @@ def test_near_duplicates_equal_all_pairs(make, prose):
     assert got == {(i, f"{f:016x}"): least[c] for (i, _), f, c in zip(rows, fps, root)}
 
 
+def test_very_long_text_has_the_fingerprint_of_all_its_shingles(prose):
+    text = " ".join(prose(70_000))  # more shingles than are hashed at once
+    whole = hamming._fingerprint(text, 4) & (1 << 64) - 1
+    assert whole == fingerprint(text) & (1 << 64) - 1
+    assert whole == hamming._fingerprint(text, 4, at_once=999) & (1 << 64) - 1
+
+
 def test_null_ids_name_no_component(make, prose):
     t = " ".join(prose(40))
     got = [(r["doc_id"], r["component_id"]) for r in hamming.near_duplicates(make([(None, t), (3, t), (None, "other words here now")])).collect()]

@@ -71,6 +71,14 @@ def test_suffix_dedup_equals_brute_force(make, prose, hot):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_suffix_dedup_of_a_very_long_text(make, prose):
+    w = prose(40_000)
+    texts = [" ".join(w + w[100:160]), " ".join(prose(50) + w[39_900:39_970])]
+    got = {r["doc_id"]: r for r in suffix_dedup(make(list(enumerate(texts)))).collect()}
+    for i, want in enumerate(brute_bytes(texts, 200)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want and want[1] > 0
+
+
 def test_suffix_dedup_rows_keeps_columns_and_cuts_texts(make, prose):
     long = " ".join(prose(80, seed=9))
     out = {r["doc_id"]: r for r in suffix_dedup_rows(make([(1, long), (2, "before " + long), (3, None), (4, "é")])).collect()}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm import crf, decontaminate, langid, mixing
 from panelkit.llm.quality_rules import quality_rules
-from panelkit.llm.token_counts import PieceCounter, token_counts
+from panelkit.llm.token_counts import BLOCK_CHARS, PieceCounter, token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
 ODD = [None, "", " \n\t ", "<|endoftext|> and <|startoftext|>x", "İstanbul ΣΑΣ ½ ² naïve é", "it's we'LL don't 'S",
@@ -31,6 +31,15 @@ def test_token_counts_equal_the_library(make, prose):
     assert got[None]["n_tokens"] == 2
 
 
+def test_very_long_text_is_counted_whole(make, prose):
+    public = pytest.importorskip("public_tokenizers")
+    text = "\n".join(" ".join(prose(100)) for _ in range(6_000))
+    assert len(text) > BLOCK_CHARS
+    got = token_counts(make([(1, "a b"), (2, text), (3, "c")]), public.path("word_bpe_49k.json")).collect()
+    n = len(tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids)
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {1: 2, 2: n, 3: 1}
+
+
 def test_all_scripts_are_split_without_whole_encoding(monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
@@ -75,6 +84,15 @@ def test_quality_rules_counts_and_verdicts(make, prose):
     assert quality_rules(make([])).count() == 0
 
 
+def test_quality_rules_count_very_long_texts_whole(make, prose):
+    w = prose(30_000)
+    w += w[:9]  # two windows at the very end that also start the text
+    r = quality_rules(make([(1, "\n".join(" ".join(w[k:k + 11]) for k in range(0, len(w), 11)))])).collect()[0]
+    n = Counter(tuple(w[k:k + 8]) for k in range(len(w) - 7))
+    cover = {k + j for k in range(len(w) - 7) if n[tuple(w[k:k + 8])] > 1 for j in range(8)}
+    assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(cover)) and len(cover) >= 18
+
+
 def test_quality_rules_run_without_python(make, prose):
     plan = quality_rules(make([(1, "a b")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -343,6 +361,13 @@ def brute_align(a, b):
     return h.max()
 
 
+def test_scores_of_very_many_lines_do_not_depend_on_the_step(prose):
+    lines = [" ".join(prose(k % 7)).encode() for k in range(66_000)]  # more than are featured at once
+    weights = np.random.default_rng(1).normal(size=crf.line_features(lines[:3], 0, 3).shape[1])
+    whole = crf.line_scores(lines, weights)
+    assert len(whole) == len(lines) and np.allclose(whole, crf.line_scores(lines, weights, step=10_007), rtol=0, atol=1e-12)
+
+
 def test_alignment_equals_full_table():
     q = random.Random(4)
     for _ in range(50):
