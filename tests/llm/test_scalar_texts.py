@@ -476,3 +476,43 @@ def test_decontamination_finds_split_copies(spark, make, prose):
     for r in found:
         place = decontaminate.fold(text[r["doc_id"]])[r["start_word"]:r["end_word"]]
         assert decontaminate.align(decontaminate.fold(items[r["item_id"]][1]), place) == (r["score"] * 80, 0, len(place))
+
+
+def test_repeated_words_of_an_item_are_not_aligned(make, prose, monkeypatch):
+    item = [f"w{j}" for j in range(40)]
+    block = decontaminate.Items([" ".join(item)], 0.5, 3)
+    aligned, best = [], decontaminate._best
+    monkeypatch.setattr(decontaminate, "_best", lambda *a: aligned.extend(a[0]) or best(*a))
+    text = decontaminate.fold(" ".join(item[:15] * 20))  # 300 words in a row that the item has, but 15 different ones
+    assert list(block.scored(text)) == [] and aligned == []
+    scattered = decontaminate.fold(" ".join(x for w in item for x in [w, "a", "b", "c"]))  # all of the item, too far apart
+    assert list(block.scored(scattered)) == [] and aligned == []
+    assert [hit[:2] for hit in block.scored(decontaminate.fold(" ".join(["x"] + item)))] == [(0, 1.0)] and aligned
+
+
+def test_decontamination_of_common_words_equals_all_pairs(make, spark):
+    q = random.Random(8)
+    words = [f"v{j}" for j in range(40)]
+    items = [(k, " ".join(q.choices(words, k=q.randint(3, 30)))) for k in range(12)]
+    rows = [(i, " ".join(q.choices(words + ["other"] * 10, k=q.randint(0, 150)))) for i in range(60)]
+    for i in range(60):  # copies with repeated, dropped and added words between texts of the same words
+        w = items[i % 12][1].split()
+        for _ in range(q.randrange(len(w))):
+            w.insert(q.randrange(len(w) + 1), q.choice([*words, "other"])) if q.random() < 0.6 or len(w) < 3 else w.pop(q.randrange(len(w)))
+        rows.append((100 + i, " ".join(q.choices(words, k=20) + w + q.choices(words, k=20))))
+    rows += [(500, None), (501, ""), (502, items[4][1]), (503, "")]
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in
+           decontaminate.matches(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = all_pairs(rows, items)
+    want = {k: s for k, s in want.items() if round(s * 2 * len(items[k[1]][1].split())) >= 6}
+    assert got == want and len(want) > 40
+
+
+def test_texts_of_many_lengths_are_aligned_together(make, prose, spark):
+    items = [(k, " ".join(prose(5 + 7 * k))) for k in range(8)]
+    rows = [(100 * k + n, " ".join(prose(n) + t.split()[1:] + prose(3 * n))) for k, t in items for n in (0, 1, 50, 400)]
+    block = decontaminate.Items([t for _, t in items], 0.5, 3)
+    texts = [None, "", *(t for _, t in rows), ""]
+    got = [(i, k, start, end) for i, k, _, start, end in block.found(texts)]
+    assert sorted(got) == sorted((2 + 4 * k + j, k, n, n + 4 + 7 * k) for k in range(8) for j, n in enumerate((0, 1, 50, 400)))
+    assert list(block.found([])) == [] == list(decontaminate.Items([], 0.5, 3).found(["a b c", None]))
